@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import selections, sources_sinks  # noqa: F401
+from . import aggregates, joining, selections, sources_sinks  # noqa: F401
 from .registry import CHECK, RUN, SURVEY  # noqa: F401
 
 FLAGSHIP = "scan_transfers"

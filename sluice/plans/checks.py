@@ -207,3 +207,20 @@ SELECT incident, model, account, score,
        row_number() OVER (PARTITION BY incident, model ORDER BY score DESC, account) AS pos
 FROM c_scores
 """)
+
+view("c_outcomes", """
+SELECT i.incident, m.model AS policy, i.amount, i.amount * ((i.incident * 31 + m.model * 17) % 101) / 100.0::DOUBLE AS prevented,
+       ((i.incident * 31 + m.model * 17) % 101) / 100.0::DOUBLE AS rate,
+       (i.incident + m.model) % 4 AS innocent, (i.incident * m.model) % 6 AS mules, (i.incident + m.model) % 4 + (i.incident * m.model) % 6 AS frozen,
+       CASE WHEN i.incident % 7 <> 0 THEN 2 + i.incident % 9 END AS first_freeze, (i.incident * m.model * 13 % 1000) / 10.0::DOUBLE AS solve_ms
+FROM c_incidents i, (SELECT unnest([1, 2, 3]) AS model) m
+""")
+
+view("c_legs", """
+SELECT src AS account, 'OUT' AS direction, dst AS peer, amount, epoch FROM c_transfers
+UNION ALL SELECT dst, 'IN', src, amount, epoch FROM c_transfers
+""")
+
+view("c_positive", """
+SELECT s.model, s.incident, s.account, s.score, coalesce(l.is_mule, false) AS positive FROM c_scores s LEFT JOIN c_labels l ON l.account = s.account
+""")

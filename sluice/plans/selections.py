@@ -111,10 +111,10 @@ def validate_transactions(spark, sf):
 
 
 @query("account_search", "2.2.10", """
-SELECT account, holder, bank, segment, score, severity FROM c_profiles WHERE holder ILIKE '%CUSTOMER#0000000%' AND severity = 'CRITICAL'
+SELECT account, holder, bank, segment, score, severity FROM c_profiles WHERE holder ILIKE '%CUSTOMER#0000000%' AND severity = 'IMMINENT'
 ORDER BY score DESC, account LIMIT 21 OFFSET 2""")
 def account_search(spark, sf):
-    return P.search_accounts(A.profiles(spark, sf), "CUSTOMER#0000000", "CRITICAL", 2, 20)
+    return P.search_accounts(A.profiles(spark, sf), "CUSTOMER#0000000", "IMMINENT", 2, 20)
 
 
 @query("alert_queue", "2.2.11", "SELECT * FROM c_alerts WHERE status = 'NEW'")

@@ -318,3 +318,20 @@ def case_transfers(spark, folder) -> DataFrame:
             "epoch", "channel", (F.col("epoch") - F.col("t0")).alias("offset_sec"), (F.col("dst") % 25 == 7).alias("to_exit"),
         )
     )
+
+
+def outcomes(spark, folder) -> DataFrame:
+    """Stand-in replay outcomes of three policies on every incident."""
+    i, m = F.col("incident"), F.col("policy")
+    pct = (i * 31 + m * 17) % 101
+    return incidents(spark, folder).withColumn("policy", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3)]))).select(
+        "incident", "policy", "amount", (F.col("amount") * pct / 100.0).alias("prevented"), (pct / 100.0).alias("rate"),
+        ((i + m) % 4).alias("innocent"), ((i * m) % 6).alias("mules"), ((i + m) % 4 + (i * m) % 6).alias("frozen"),
+        F.when(i % 7 != 0, F.lit(2) + i % 9).alias("first_freeze"), ((i * m * 13 % 1000) / 10.0).alias("solve_ms"),
+    )
+
+
+def labelled_scores(spark, folder) -> DataFrame:
+    """Model scores with the truth attached; unlabelled accounts are innocent."""
+    truth = labels(spark, folder).select("account", F.col("is_mule").alias("positive"))
+    return model_scores(spark, folder).join(truth, "account", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
