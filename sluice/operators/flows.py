@@ -163,13 +163,13 @@ def device_peers(pool: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def activity_weight(matrix: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """How much of a financial life an account shows, against its incident's p95."""
+    """How much of a financial life an account shows, against its incident's p95.
+
+    The candidate limit bounds a group, so the percentile state is bounded too.
+    """
     keys = list(keys)
     parts = {"account_age_days": 0.4, "in_degree": 0.35, "log_total_out": 0.25}
-    tops = None
-    for c in parts:
-        q = exact_quantiles(matrix, keys, c, {f"top_{c}": 0.95})
-        tops = q if tops is None else tops.join(q, keys)
+    tops = matrix.groupBy(*keys).agg(*[F.percentile(c, 0.95).alias(f"top_{c}") for c in parts])
     score = sum(
         (clamp(F.col(c) / F.greatest(F.col(f"top_{c}"), F.lit(1e-6)), 0, 1) * w for c, w in parts.items()), F.lit(0.0)
     )

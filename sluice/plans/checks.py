@@ -6,9 +6,16 @@ import re
 
 VIEWS: dict[str, tuple[list[str], str]] = {}
 
+# DuckDB reads 0.5 as a decimal; the library computes in doubles.
+LITERAL = re.compile(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])")
+
+
+def doubles(sql: str) -> str:
+    return LITERAL.sub(r"CAST(\1 AS DOUBLE)", sql)
+
 
 def view(name: str, sql: str) -> None:
-    VIEWS[name] = ([], sql)
+    VIEWS[name] = ([], doubles(sql))
 
 
 def _deps(sql: str) -> list[str]:
@@ -25,6 +32,7 @@ def with_views(sql: str) -> str:
                 visit(VIEWS[dep][1], dep)
                 needed.append(dep)
 
+    sql = doubles(sql)
     visit(sql)
     body = sql.strip().rstrip(";")
     if not needed:
