@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..core import share
 from ..session import cut
+from .ranking import top_ranked
 
 UNREACHABLE = 99.0
 
@@ -53,20 +53,20 @@ def breadth_first(start: DataFrame, links: DataFrame, keys: Sequence[str], depth
     return seen
 
 
-def hops_from_victim(nodes: DataFrame, links: DataFrame, victims: DataFrame) -> DataFrame:
-    """Directed hops inside each incident's candidates, 99 where unreachable.
+def hops_from(nodes: DataFrame, links: DataFrame, starts: DataFrame, keys: Sequence[str], out: str = "hops_from_victim", depth: int | None = None) -> DataFrame:
+    """Directed hops from the start accounts inside each key's graph, 99 where unreachable.
 
-    ``nodes``: incident, account. ``links``: incident, account, peer.
+    ``nodes`` and ``starts``: keys, account. ``links``: keys, account, peer.
     """
-    found = breadth_first(victims.select("incident", "account"), links, ["incident"], None)
-    return nodes.join(found, ["incident", "account"], "left").select("incident", "account", F.coalesce(F.col("hops").cast("double"), F.lit(UNREACHABLE)).alias("hops_from_victim"))
+    keys = list(keys)
+    found = breadth_first(starts, links, keys, depth)
+    return nodes.join(found, [*keys, "account"], "left").select(*keys, "account", F.coalesce(F.col("hops").cast("double"), F.lit(UNREACHABLE)).alias(out))
 
 
-def hops_to_exit(nodes: DataFrame, links: DataFrame, payers: DataFrame, depth: int = 12) -> DataFrame:
+def hops_to_exit(nodes: DataFrame, links: DataFrame, payers: DataFrame, keys: Sequence[str], depth: int = 12) -> DataFrame:
     """Hops back from the accounts that pay an exit directly (0)."""
-    back = links.select("incident", F.col("peer").alias("account"), F.col("account").alias("peer"))
-    found = breadth_first(payers.select("incident", "account"), back, ["incident"], depth)
-    return nodes.join(found, ["incident", "account"], "left").select("incident", "account", F.coalesce(F.col("hops").cast("double"), F.lit(UNREACHABLE)).alias("hops_to_exit"))
+    back = links.select(*keys, F.col("peer").alias("account"), F.col("account").alias("peer"))
+    return hops_from(nodes, back, payers, keys, "hops_to_exit", depth)
 
 
 def pagerank(nodes: DataFrame, weights: DataFrame, keys: Sequence[str] = (), alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
@@ -105,48 +105,44 @@ def pagerank(nodes: DataFrame, weights: DataFrame, keys: Sequence[str] = (), alp
     return state.select(*on, F.col("rank").alias("pagerank"))
 
 
-def betweenness(nodes: DataFrame, links: DataFrame, pivots: int = 64, seed: int = 7, max_depth: int = 64) -> DataFrame:
-    """Directed betweenness from seeded pivots, scaled to all nodes and normalised.
+def betweenness(nodes: DataFrame, links: DataFrame, keys: Sequence[str] = (), pivots: int = 64, seed: int = 7, max_depth: int = 64) -> DataFrame:
+    """Directed betweenness from seeded pivots of each key, scaled to all nodes and normalised.
 
-    Shortest-path counts go out level by level from all pivots at once, dependencies
-    come back the same way. ``links``: distinct account -> peer.
+    Shortest-path counts go out level by level from all pivots of all keys at once,
+    dependencies come back the same way. ``links``: keys, account -> peer, distinct.
     """
-    n = nodes.count()
-    k = min(pivots, n)
-    start = nodes.select("account").orderBy(F.xxhash64("account", F.lit(seed)), "account").limit(k)
-    seen = cut(start.select(F.col("account").alias("pivot"), "account", F.lit(0).alias("level"), F.lit(1.0).alias("paths")))
+    keys = list(keys)
+    on, full = [*keys, "account"], [*keys, "pivot", "account"]
+    start = top_ranked(nodes.select(*on), keys or [F.lit(0)], [F.xxhash64("account", F.lit(seed)), F.col("account")], pivots)
+    seen = cut(start.select(*keys, F.col("account").alias("pivot"), "account", F.lit(0).alias("level"), F.lit(1.0).alias("paths")))
     frontier, levels = seen, [seen]
     for level in range(1, max_depth + 1):
-        step = frontier.join(links, "account").groupBy("pivot", F.col("peer").alias("account")).agg(F.sum("paths").alias("paths"))
-        new = cut(step.join(seen, ["pivot", "account"], "left_anti").select("pivot", "account", F.lit(level).alias("level"), "paths"))
+        step = frontier.join(links, on).groupBy(*keys, "pivot", F.col("peer").alias("account")).agg(F.sum("paths").alias("paths"))
+        new = cut(step.join(seen, full, "left_anti").select(*full, F.lit(level).alias("level"), "paths"))
         if new.isEmpty():
             break
         levels.append(new)
         seen = seen.unionByName(new)
         frontier = new
-    later, parts = None, []
+    later, merged = None, None
     for level in range(len(levels) - 1, 0, -1):
-        here = levels[level]
-        if later is None:
-            here = here.withColumn("dep", F.lit(0.0))
-        else:
-            here = here.join(later, ["pivot", "account"], "left").fillna(0.0, ["dep"])
+        here = levels[level].withColumn("dep", F.lit(0.0)) if later is None else levels[level].join(later, full, "left").fillna(0.0, ["dep"])
         here = cut(here)
-        parts.append(here.select("account", "dep"))
-        above = levels[level - 1].select("pivot", "account", F.col("paths").alias("up"))
-        child = here.select("pivot", F.col("account").alias("peer"), "paths", "dep")
-        later = (
-            above.join(links, "account").join(child, ["pivot", "peer"])
-            .groupBy("pivot", "account").agg(F.sum(F.col("up") / F.col("paths") * (1 + F.col("dep"))).alias("dep"))
+        merged = here.select(*on, "dep") if merged is None else merged.unionByName(here.select(*on, "dep"))
+        above = levels[level - 1].select(*full, F.col("paths").alias("up"))
+        child = here.select(*keys, "pivot", F.col("account").alias("peer"), "paths", "dep")
+        later = above.join(links, on).join(child, [*keys, "pivot", "peer"]).groupBy(*full).agg(
+            F.sum(F.col("up") / F.col("paths") * (1 + F.col("dep"))).alias("dep")
         )
-    if not parts:
-        return nodes.select("account", F.lit(0.0).alias("betweenness"))
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    got = merged.groupBy("account").agg((F.sum("dep") * scale).alias("betweenness"))
-    return nodes.select("account").join(got, "account", "left").fillna(0.0, ["betweenness"])
+    if merged is None:
+        return nodes.select(*on, F.lit(0.0).alias("betweenness"))
+    sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    scale = F.when(n > 2, n / F.least(n, F.lit(pivots)) / ((n - 1) * (n - 2))).otherwise(0.0)
+    got = merged.groupBy(*on).agg(F.sum("dep").alias("dep"))
+    rows = nodes.select(*on).join(got, on, "left").fillna(0.0, ["dep"])
+    rows = rows.join(sizes, keys) if keys else rows.join(sizes)
+    return rows.select(*on, (F.col("dep") * scale).alias("betweenness"))
 
 
 def reciprocity(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -365,26 +361,21 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFr
 
 
 def decay_taint(seeds: DataFrame, edges: DataFrame, max_hops: int = 4, start: float = 55.0, decay: float = 0.62) -> DataFrame:
-    """Strongest taint per account from confirmed seeds; fewest hops wins for every seed.
+    """Strongest taint per account over all confirmed seeds.
 
-    The strongest value only depends on the nearest seed, so one search from all
-    seeds together replaces a search per seed. A seed itself is tainted only by
-    another seed, hence its own nearest distance is taken over its neighbours.
+    Taint falls with the distance to a seed, so only the nearest seed other than the
+    account itself matters. Two nearest seeds per account are enough to know it, and
+    one search carries them for any number of seeds.
     """
-    links = undirected(edges)
-    near = breadth_first(seeds.select("account"), links, [], max_hops)
-    value = lambda d: F.round(start * F.pow(F.lit(decay), d - 1), 2)
-    outside = near.where("hops > 0").select("account", F.col("hops").alias("d"))
-    # seeds reached from other seeds: through a second label kept per node
-    tagged = cut(seeds.select("account", F.col("account").alias("origin"), F.lit(0).alias("d")))
-    state = tagged
+    links = cut(undirected(edges))
+    state = cut(seeds.select("account", F.col("account").alias("origin"), F.lit(0).alias("d")))
+    rank = W.partitionBy("account").orderBy("d", "origin")
     for level in range(1, max_hops + 1):
         step = state.where(F.col("d") == level - 1).join(links, "account").select(F.col("peer").alias("account"), "origin", F.lit(level).alias("d"))
         merged = state.unionByName(step).groupBy("account", "origin").agg(F.min("d").alias("d"))
-        rank = W.partitionBy("account").orderBy("d", "origin")
         state = cut(merged.withColumn("r", F.row_number().over(rank)).where("r <= 2").drop("r"))
-    cross = state.join(seeds.select("account"), "account", "left_semi").where("origin <> account").groupBy("account").agg(F.min("d").alias("d"))
-    return outside.unionByName(cross).groupBy("account").agg(F.max(value(F.col("d"))).alias("taint"))
+    near = state.where("origin <> account").groupBy("account").agg(F.min("d").alias("d"))
+    return near.select("account", F.round(F.pow(F.lit(decay), F.col("d") - 1) * start, 2).alias("taint"))
 
 
 def neighbour_means(features: DataFrame, links: DataFrame, names: Sequence[str], hops: int = 2) -> DataFrame:
@@ -418,7 +409,7 @@ def cross_bank_hops(parents: DataFrame, accounts: DataFrame, victims: DataFrame,
     while steps < guard:
         nxt = state.select("incident", F.col("account").alias("up"), F.col("up").alias("up2"), F.col("crossings").alias("more"))
         state = cut(state.join(nxt, ["incident", "up"], "left").select(
-            "incident", "account", F.coalesce("up2", F.lit(None)).alias("up"), (F.col("crossings") + F.coalesce("more", F.lit(0))).alias("crossings")
+            "incident", "account", F.col("up2").alias("up"), (F.col("crossings") + F.coalesce("more", F.lit(0))).alias("crossings")
         ))
         steps *= 2
     return state.select("incident", "account", "crossings").unionByName(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, joining, limits_sets, ordered, scalars, selections, sources_sinks  # noqa: F401
+from . import aggregates, graphs, joining, limits_sets, ordered, scalars, selections, sources_sinks  # noqa: F401
 from .registry import CHECK, RUN, SURVEY  # noqa: F401
 
 FLAGSHIP = "scan_transfers"
