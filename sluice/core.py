@@ -158,6 +158,18 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*aggs)
 
 
+def interval_join(asks: DataFrame, rows: DataFrame, on: Sequence[str], at: str, lo: str, hi: str, width: int = HOUR) -> DataFrame:
+    """Rows of the same key with ``lo <= at <= hi``, as an equi-join on time cells.
+
+    Intervals must be short against ``width`` times a small number: each ask is
+    repeated once per cell it touches, and a hot key splits by cell.
+    """
+    cells = F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))).alias("__cell")
+    left = asks.where(F.col(hi) >= F.col(lo)).select("*", cells)
+    right = rows.withColumn("__cell", F.floor(F.col(at) / width))
+    return left.join(right, [*on, "__cell"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("__cell")
+
+
 def share(num: Column, den: Column) -> Column:
     """num/den, 0 where the denominator is 0 or null."""
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
