@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, graphs, joining, limits_sets, ordered, planning, scalars, selections, sources_sinks, tracing  # noqa: F401
+from . import aggregates, graphs, joining, limits_sets, ordered, planning, scalars, scoring, selections, sources_sinks, tracing  # noqa: F401
 from .registry import CHECK, RUN, SURVEY  # noqa: F401
 
 FLAGSHIP = "scan_transfers"
