@@ -216,7 +216,7 @@ def baseline_plans_of_case(spark, sf):
     return rounded(b.select("policy", "incident", "account", "rank", "issue_at_minute", "cost"), 6, "cost")
 
 
-@query("replay_results", "2.9.56")
+@query("replay_results", "2.9.56 2.11.1")
 def replay_results(spark, sf):
     return results(spark, sf)
 

@@ -10,6 +10,7 @@ from .checks import with_views
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK: dict[str, str] = {}
+RAW: dict[str, str] = {}
 SURVEY: dict[str, str] = {}
 
 
@@ -22,6 +23,7 @@ def query(name: str, row: str, sql: str | None = None):
         RUN[name] = fn
         SURVEY[name] = row
         if sql is not None:
+            RAW[name] = sql
             CHECK[name] = with_views(sql)
         return fn
 

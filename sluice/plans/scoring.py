@@ -216,7 +216,7 @@ def forest_of(spark, sf):
     return stages.stage(spark, sf, "forest", lambda: Z.fit_forest(rows, "node", names)), rows, names
 
 
-@query("isolation_forest", "2.9.36")
+@query("isolation_forest", "2.9.36 2.11.2")
 def isolation_forest(spark, sf):
     from ..core import exact_quantiles
     forest, rows, names = forest_of(spark, sf)
