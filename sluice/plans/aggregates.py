@@ -482,3 +482,15 @@ def seed_spread(spark, sf):
 @query("score_histogram", "2.4.40", "SELECT m.model, b.bin, (SELECT count(*) FROM c_scores s WHERE s.model = m.model AND least(9, floor(s.score * 10)) = b.bin) AS n FROM (SELECT unnest([1, 2, 3]) AS model) m, (SELECT unnest(range(0, 10)) AS bin) b")
 def score_histogram(spark, sf):
     return E.score_histogram(A.model_scores(spark, sf), ["model"])
+
+
+@query("account_profile", "2.4.4 2.9.25", f"""
+WITH f AS ({FLOWS}), r AS ({RESIDENCE}), rs AS (SELECT account, median(gap / 60.0::DOUBLE) AS med, avg(CASE WHEN gap <= 600 THEN 1.0 ELSE 0.0 END) AS fast FROM r GROUP BY account)
+SELECT f.account, round(out_value, 2) AS out_value, round(in_value, 2) AS in_value, out_degree, in_degree, round(out_value / greatest(in_value, 1), 6) AS turnover_ratio,
+  round(coalesce(med, 0), 6) AS median_residence_minutes, round(coalesce(fast, 0), 6) AS outflow_within_10min_share FROM f LEFT JOIN rs ON rs.account = f.account""")
+def account_profile(spark, sf):
+    """Value in and out, turnover, and how fast money moves on, per account."""
+    t = A.transfers(spark, sf)
+    flows = W.ratios(W.flow_aggregate(t)).select("account", "out_value", "in_value", "out_degree", "in_degree", "turnover_ratio")
+    rows = flows.join(W.residence_summary(t).drop("burstiness"), "account", "left").fillna(0.0, ["median_residence_minutes", "outflow_within_10min_share"])
+    return rounded(rounded(rows, 2, "out_value", "in_value"), 6, "turnover_ratio", "median_residence_minutes", "outflow_within_10min_share")

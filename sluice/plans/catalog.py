@@ -5,4 +5,4 @@ from __future__ import annotations
 from . import aggregates, graphs, joining, limits_sets, ordered, planning, scalars, scoring, selections, sources_sinks, streams, tracing  # noqa: F401
 from .registry import CHECK, RUN, SURVEY  # noqa: F401
 
-FLAGSHIP = "scan_transfers"
+FLAGSHIP = "account_profile"
