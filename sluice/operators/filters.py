@@ -13,18 +13,18 @@ SIX_HOURS = 6 * 3600
 def visible_edges(transfers: DataFrame, keep: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Per incident: transfers at or before its cutoff touching a kept account.
 
-    The OR over both endpoints is two equi-joins unioned and made distinct, never
-    a scan per incident. ``keep``: incident, account. ``cutoffs``: incident, until.
+    The OR over both endpoints is two equi-joins: rows found by the receiver leave out
+    those the sender already brought, so the wide result is never made distinct.
+    ``keep``: incident, account. ``cutoffs``: incident, until.
     """
-    wanted = keep.join(cutoffs, "incident").select("incident", "account", "until")
-    sides = []
-    for side in ("src", "dst"):
-        sides.append(
-            transfers.join(wanted.withColumnRenamed("account", side), side)
-            .where(F.col("epoch") <= F.col("until"))
-            .select("incident", "txn_id", "src", "dst", "amount", "epoch", "channel")
-        )
-    return sides[0].unionByName(sides[1]).dropDuplicates(["incident", "txn_id"])
+    wanted = keep.select("incident", "account").distinct().join(cutoffs, "incident").select("incident", "account", "until")
+
+    def touching(side):
+        rows = transfers.join(wanted.withColumnRenamed("account", side), side).where(F.col("epoch") <= F.col("until"))
+        return rows.select("incident", "txn_id", "src", "dst", "amount", "epoch", "channel")
+
+    sent = wanted.select("incident", F.col("account").alias("src"))
+    return touching("src").unionByName(touching("dst").join(sent, ["incident", "src"], "left_anti"))
 
 
 def window_slice(transfers: DataFrame, start: int, end: int) -> DataFrame:

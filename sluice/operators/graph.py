@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import cut
+from .joins import common_payees, payee_sets
 from .ranking import top_ranked
 
 UNREACHABLE = 99.0
@@ -166,24 +167,15 @@ def recipient_jaccard(edges: DataFrame, keys: Sequence[str] = (), hot: int = 500
     spare is kept so an account never partners itself.
     """
     keys = list(keys)
-    sets = edges.select(*keys, F.col("src").alias("account"), "dst").distinct()
-    deg = sets.groupBy(*keys, "dst").agg(F.count(F.lit(1)).alias("payers"))
-    size = sets.groupBy(*keys, "account").agg(F.count(F.lit(1)).alias("n"))
-    marked = sets.join(deg, [*keys, "dst"])
-    busy = marked.where(F.col("payers") > hot)
-    pattern = busy.groupBy(*keys, "account").agg(F.sort_array(F.collect_list("dst")).alias("hot"))
-    none = F.array().cast(edges.schema["dst"].dataType.simpleString().join(["array<", ">"]))
-    facts = size.join(pattern, [*keys, "account"], "left").withColumn("hot", F.coalesce("hot", none))
-    cold = marked.where(F.col("payers").between(2, hot)).select(*keys, "account", "dst")
-    common = (
-        cold.join(cold.withColumnRenamed("account", "peer"), [*keys, "dst"]).where("account < peer")
-        .groupBy(*keys, "account", "peer").agg(F.count(F.lit(1)).alias("c"))
+    _, facts = payee_sets(edges, keys, hot)
+    met = common_payees(edges, keys, hot)
+    met = met.select(*keys, F.col("a").alias("account"), F.col("b").alias("peer"), "common").unionByName(
+        met.select(*keys, F.col("b").alias("account"), F.col("a").alias("peer"), "common")
+    )
+    sized = lambda who, n: facts.select(*keys, F.col("account").alias(who), F.col("n").alias(n))
+    direct = met.join(sized("account", "na"), [*keys, "account"]).join(sized("peer", "nb"), [*keys, "peer"]).select(
+        *keys, "account", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("j")
     )
-    common = common.unionByName(common.select(*keys, F.col("peer").alias("account"), F.col("account").alias("peer"), "c"))
-    f = lambda who, n, h: facts.select(*keys, F.col("account").alias(who), F.col("n").alias(n), F.col("hot").alias(h))
-    joined = common.join(f("account", "na", "ha"), [*keys, "account"]).join(f("peer", "nb", "hb"), [*keys, "peer"])
-    c = F.col("c") + F.array_size(F.array_intersect("ha", "hb"))
-    direct = joined.select(*keys, "account", (c / (F.col("na") + F.col("nb") - c)).alias("j"))
     # patterns: few, because hot payees are few; the two smallest members stand for each
     crowded = facts.where(F.size("hot") > 0)
     two = W.partitionBy(*keys, "hot").orderBy("n", "account")
@@ -191,11 +183,14 @@ def recipient_jaccard(edges: DataFrame, keys: Sequence[str] = (), hot: int = 500
     shapes = crowded.select(*keys, "hot").distinct()
     per_payee = shapes.withColumn("d", F.explode("hot")).join(reps.withColumn("d", F.explode("hb")), [*keys, "d"])
     meet = per_payee.select(*keys, "hot", "peer", "nb", "hb").distinct().withColumn("h", F.array_size(F.array_intersect("hot", "hb")))
+    # for one pattern and one overlap only the smallest partners can win
+    tight = W.partitionBy(*keys, "hot", "h").orderBy("nb", "peer")
+    meet = meet.withColumn("r", F.row_number().over(tight)).where("r <= 2").drop("r")
     remote = crowded.join(meet, [*keys, "hot"]).where("account <> peer").select(
         *keys, "account", (F.col("h") / (F.col("n") + F.col("nb") - F.col("h"))).alias("j")
     )
     best = direct.unionByName(remote).groupBy(*keys, "account").agg(F.max("j").alias("recipient_jaccard_max"))
-    return size.select(*keys, "account").join(best, [*keys, "account"], "left").fillna(0.0, ["recipient_jaccard_max"])
+    return facts.select(*keys, "account").join(best, [*keys, "account"], "left").fillna(0.0, ["recipient_jaccard_max"])
 
 
 def same_window_openings(edges: DataFrame, accounts: DataFrame, keys: Sequence[str] = (), days: int = 21) -> DataFrame:

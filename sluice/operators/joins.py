@@ -103,20 +103,39 @@ def intercepted(parcels: DataFrame, freezes: DataFrame) -> DataFrame:
     return parcels.join(freezes, ["incident", "account"]).where(F.col("departs") >= F.col("at_minute"))
 
 
-def common_payees(edges: DataFrame, hot: int = 500) -> DataFrame:
-    """Pairs of payers with their number of common payees.
+def payee_sets(edges: DataFrame, keys: Sequence[str] = (), hot: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Payees split by how busy they are.
 
-    Payees with up to ``hot`` payers pair their payers directly; pairs that meet only
-    at busier payees are found in ``graph.recipient_jaccard``, which needs just the
-    best partner there and not every pair.
+    Returns the distinct (payer, payee) rows of payees with 2..``hot`` payers, and per
+    payer its number of payees and the sorted list of its hot payees.
     """
-    pairs = edges.select("src", "dst").distinct()
-    degree = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("payers"))
-    cold = pairs.join(degree.where(F.col("payers").between(2, hot)), "dst")
-    return (
-        cold.select("dst", F.col("src").alias("a")).join(cold.select("dst", F.col("src").alias("b")), "dst")
-        .where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    )
+    keys = list(keys)
+    sets = edges.select(*keys, F.col("src").alias("account"), "dst").distinct()
+    marked = sets.join(sets.groupBy(*keys, "dst").agg(F.count(F.lit(1)).alias("payers")), [*keys, "dst"])
+    busy = marked.where(F.col("payers") > hot).groupBy(*keys, "account").agg(F.sort_array(F.collect_list("dst")).alias("hot"))
+    size = sets.groupBy(*keys, "account").agg(F.count(F.lit(1)).alias("n"))
+    none = F.array().cast(f"array<{edges.schema['dst'].dataType.simpleString()}>")
+    facts = size.join(busy, [*keys, "account"], "left").withColumn("hot", F.coalesce("hot", none))
+    return marked.where(F.col("payers").between(2, hot)).select(*keys, "account", "dst"), facts
+
+
+def common_payees(edges: DataFrame, keys: Sequence[str] = (), hot: int = 500) -> DataFrame:
+    """Pairs of payers (a < b) with the exact number of payees they share.
+
+    Payees with at most ``hot`` payers pair their payers; the hot payees of a pair are
+    then added from the two lists, so counts are whole. Pairs that meet only at hot
+    payees are not listed, since that list is quadratic; what is asked of them (the best
+    partner) is answered exactly by ``graph.recipient_jaccard``.
+    """
+    keys = list(keys)
+    cold, facts = payee_sets(edges, keys, hot)
+    side = lambda c: cold.withColumnRenamed("account", c)
+    met = side("a").join(side("b"), [*keys, "dst"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("cold"))
+    crowd = facts.where(F.size("hot") > 0)
+    f = lambda c, h: crowd.select(*keys, F.col("account").alias(c), F.col("hot").alias(h))
+    rows = met.join(f("a", "ha"), [*keys, "a"], "left").join(f("b", "hb"), [*keys, "b"], "left")
+    extra = F.coalesce(F.array_size(F.array_intersect("ha", "hb")), F.lit(0))
+    return rows.select(*keys, "a", "b", (F.col("cold") + extra).alias("common"))
 
 
 def truth_join(decisions: DataFrame, labels: DataFrame) -> DataFrame:

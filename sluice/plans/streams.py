@@ -127,8 +127,7 @@ def stream_identity(spark, sf):
 
     def profile(df, batch):
         from ..sources.datasets import missing_files
-        known = [f"{folder}/pairs/b={b}" for b in range(batch) if not missing_files(spark, [f"{folder}/pairs/b={b}"])]
-        seen = spark.read.parquet(*known) if known else None
+        seen = None if missing_files(spark, [f"{folder}/pairs"]) else spark.read.parquet(f"{folder}/pairs").where(F.col("b") < batch)
         scored, pairs = I.profile_batch(df, seen)
         T.batch_writer(folder, "pairs")(pairs, batch)
         T.batch_writer(folder, "scored")(scored, batch)
