@@ -276,15 +276,33 @@ def budget_sweep(spark, sf):
     return t.groupBy("k", "budget").agg(F.avg(F.col("recovery") / F.col("amount")).alias("mean_recovery"), F.avg("secured").alias("mean_secured"), F.count(F.lit(1)).alias("incidents"))
 
 
+def delayed(spark, sf):
+    """Every incident once per complaint delay, under an id that carries both."""
+    inc = A.incidents(spark, sf)
+    at = P.materialise_complaints(inc, DELAYS).select("incident", "delay", "complaint")
+    return inc.drop("delay", "complaint").join(at, "incident").withColumn("incident", F.col("incident") * 1000 + F.col("delay"))
+
+
 @query("delay_sweep", "2.9.58")
 def delay_sweep(spark, sf):
-    """Named-account outcome at each complaint delay: share of the money still inside."""
+    """Prevented share at each delay of the grid for freezing the named account.
+
+    The traced, planned and replayed incidents are all (incident, delay) pairs in one job.
+    """
     def build():
-        inc = A.incidents(spark, sf)
-        at = P.materialise_complaints(inc, DELAYS).select("incident", "delay", "complaint")
-        flows = S.flows(spark, sf, "horizon").where("to_exit")
-        left = at.join(flows.select("incident", "epoch", "tainted"), "incident", "left").groupBy("incident", "delay").agg(
-            F.sum(F.when(F.col("epoch") <= F.col("complaint"), F.col("tainted")).otherwise(0.0)).alias("gone"))
-        rate = left.join(inc.select("incident", "amount"), "incident").select("delay", (1 - F.col("gone") / F.col("amount")).alias("rate"))
-        return rate.groupBy("delay").agg(F.avg("rate").alias("still_inside"), F.count(F.lit(1)).alias("incidents"))
-    return build()
+        t, ex = A.transfers(spark, sf), A.exits(spark, sf)
+        inc = cut(delayed(spark, sf).where("complaint <= horizon"))
+        flows = cut(T.taint_flows(inc, t, ex))
+        held = cut(T.taint_accounts(inc, flows))
+        left = flows.where("to_exit").groupBy("incident").agg(F.sum("tainted").alias("exited"))
+        named = I.named_account(flows, inc, ex).join(inc.select("incident", "delay"), "incident")
+        runs = inc.select("incident", F.explode(F.array(F.lit("none"), F.lit("named_account_only"))).alias("policy")).select(
+            F.concat_ws("|", F.col("incident").cast("string"), "policy").alias("run"), "incident", "policy", F.lit(0.0).alias("reroute"))
+        freezes = named.select(
+            F.concat_ws("|", F.col("incident").cast("string"), F.lit("named_account_only")).alias("run"), "incident", "account",
+            I.issue_minute(F.lit(0), F.col("delay")).alias("issue_at_minute"), F.lit(I.EFFECT["full_freeze"]).alias("effectiveness"))
+        moves = cut(Y.replay_moves(inc, held, t, ex, freezes, runs))
+        done = Y.prevented(Y.replay_results(inc, held, left, moves, freezes, runs, ex, A.labels(spark, sf)))
+        rows = done.join(inc.select("incident", "delay"), "incident")
+        return rows.groupBy("policy", "delay").agg(F.avg(F.col("prevented") / F.col("amount")).alias("mean_prevented"), F.avg(F.col("already_gone") / F.col("amount")).alias("already_gone"), F.count(F.lit(1)).alias("incidents"))
+    return S.stage(spark, sf, "delay-sweep", build)
