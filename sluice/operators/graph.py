@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -326,13 +326,22 @@ def ring_shapes(rings: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Data
     return agg.select(*keys, "ring", "size", shape.alias("shape"), (-F.col("h.neg")).alias("hub"))
 
 
-def ring_roles(rings: DataFrame, shapes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """HUB for the hub of the ring, MULE for the rest; bridges come from betweenness."""
+def ring_roles(rings: DataFrame, shapes: DataFrame, edges: DataFrame, keys: Sequence[str], longest: int = 6) -> DataFrame:
+    """HUB, BRIDGE or MULE for every member of every ring.
+
+    A bridge is not the hub and carries more than twice the ring's mean betweenness,
+    taken exactly over the edges among the ring's few members, all rings together.
+    """
     keys = list(keys)
+    on = [*keys, "ring"]
     member = rings.select(*keys, F.array_join("nodes", "-").alias("ring"), F.explode("nodes").alias("account"))
-    return member.join(shapes.select(*keys, "ring", "hub"), [*keys, "ring"]).select(
-        *keys, "ring", "account", F.when(F.col("account") == F.col("hub"), "HUB").otherwise("MULE").alias("role")
-    )
+    pairs = edges.select(*keys, F.col("src").alias("account"), F.col("dst").alias("peer")).distinct()
+    links = member.join(pairs, [*keys, "account"]).join(member.withColumnRenamed("account", "peer"), [*on, "peer"], "left_semi")
+    between = betweenness(cut(member), cut(links.select(*on, "account", "peer")), on, longest)
+    mean = between.groupBy(*on).agg(F.avg("betweenness").alias("mean"))
+    rows = between.join(mean, on).join(shapes.select(*on, "hub"), on)
+    bridge = F.round("betweenness", 9) > F.round(F.col("mean") * 2, 9)
+    return rows.select(*on, "account", F.when(F.col("account") == F.col("hub"), "HUB").when(bridge, "BRIDGE").otherwise("MULE").alias("role"))
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:

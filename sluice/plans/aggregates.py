@@ -8,7 +8,6 @@ from ..operators import cards as C
 from ..operators import cases as K
 from ..operators import evaluation as E
 from ..operators import flows as W
-from ..operators.joins import residence
 from ..operators.signals import account_legs
 from ..sources import adapters as A
 from .joining import RESIDENCE

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import graph as R
-from ..operators.filters import visible_edges
 from ..operators.joins import shared_infrastructure
 from ..sources import adapters as A
 from .aggregates import rounded
@@ -227,11 +226,16 @@ def ring_shapes(spark, sf):
     return R.ring_shapes(R.cycles(t, ["day"]), t, ["day"])
 
 
-@query("ring_roles", "2.9.19", f"WITH {SHAPES} SELECT m.day, m.ring, m.account, CASE WHEN m.account = s.hub THEN 'HUB' ELSE 'MULE' END AS role FROM mem m JOIN shp s ON s.day = m.day AND s.ring = m.ring WHERE m.size = 3")
+@query("ring_roles", "2.9.19", f"""
+WITH {SHAPES}, m3 AS (SELECT * FROM mem WHERE size = 3),
+pr AS (SELECT x.day, x.ring, x.account AS a, y.account AS b FROM m3 x JOIN m3 y ON y.day = x.day AND y.ring = x.ring AND y.account <> x.account),
+ms AS (SELECT pr.* FROM pr WHERE NOT EXISTS (SELECT 1 FROM dd WHERE dd.day = pr.day AND dd.src = pr.a AND dd.dst = pr.b)),
+bc AS (SELECT m.day, m.ring, m.account, (SELECT count(*) FROM ms WHERE ms.day = m.day AND ms.ring = m.ring AND ms.a <> m.account AND ms.b <> m.account) AS k FROM m3 m)
+SELECT b.day, b.ring, b.account, CASE WHEN b.account = s.hub THEN 'HUB' WHEN b.k > 2 * avg(b.k) OVER (PARTITION BY b.day, b.ring) THEN 'BRIDGE' ELSE 'MULE' END AS role FROM bc b JOIN shp s ON s.day = b.day AND s.ring = b.ring""")
 def ring_roles(spark, sf):
     t = daily(spark, sf)
     rings = R.cycles(t, ["day"], 3)
-    return R.ring_roles(rings, R.ring_shapes(rings, t, ["day"]), ["day"])
+    return R.ring_roles(rings, R.ring_shapes(rings, t, ["day"]), t, ["day"], 3)
 
 
 @query("degree_centrality", "2.9.20", """

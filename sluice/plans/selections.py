@@ -4,16 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.digests import hmac_sha256, pads
 from ..operators import filters as P
-from ..operators import ledger as L
-from ..operators.signals import signal_features
 from ..sources import adapters as A
 from .registry import query
-from .views import AUDIT_KEY, AS_OF, AUDIT_SQL, SIGNALS_SQL, audit_with_hashes, signal_rows
-
-IPAD, OPAD = pads(AUDIT_KEY)
-
+from .views import AUDIT_SQL, SIGNALS_SQL, audit_with_hashes, signal_rows
 
 @query("visible_edges", "2.2.1", """
 SELECT DISTINCT i.incident, t.txn_id, t.src, t.dst, t.amount, t.epoch, t.channel

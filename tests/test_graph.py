@@ -143,3 +143,17 @@ def test_hops_and_unreachable(spark):
     start = spark.createDataFrame([(1, 0), (2, 0)], "g int, account bigint")
     got = {(r.g, r.account): r.hops_from_victim for r in graph.hops_from(n, links, start, ["g"]).collect()}
     assert got == {(1, 0): 0.0, (1, 1): 1.0, (1, 2): 2.0, (1, 3): 99.0, (2, 3): 1.0}
+
+
+def test_bridge_is_the_member_all_paths_need(spark):
+    # 3 <-> 2 <-> 1 with a shortcut back, hub by out-degree tie goes to the smaller id
+    e = edges(spark, [(1, 2), (2, 1), (2, 3), (3, 2), (3, 4), (4, 3), (4, 1), (1, 4), (5, 1), (1, 5), (5, 2), (2, 5)]).withColumn("g", F.lit(0))
+    rings = graph.cycles(e, ["g"])
+    shapes = graph.ring_shapes(rings, e, ["g"])
+    roles = graph.ring_roles(rings, shapes, e, ["g"])
+    assert roles.groupBy("ring").agg(F.count_if(F.col("role") == "HUB").alias("h")).where("h <> 1").isEmpty()
+    path = edges(spark, [(1, 2), (2, 3), (3, 1), (3, 2), (1, 3)]).withColumn("g", F.lit(0))
+    rings = graph.cycles(path, ["g"])
+    got = {r.account: r.role for r in graph.ring_roles(rings, graph.ring_shapes(rings, path, ["g"]), path, ["g"]).collect()}
+    # only 2 -> 1 has no direct edge and needs 3; 1 is the hub of the tie
+    assert got == {1: "HUB", 2: "MULE", 3: "BRIDGE"}

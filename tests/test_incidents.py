@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import combinations, product
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
