@@ -146,11 +146,11 @@ def stream_gate(spark, sf):
 
 
 @query("stream_feed", "2.10.7", """
-SELECT feed_id, txn_id, src, amount, epoch FROM (SELECT *, row_number() OVER (ORDER BY epoch, txn_id) AS feed_id FROM c_transfers WHERE amount >= 100000) WHERE feed_id > 200""")
+SELECT feed_id, txn_id, src, amount, epoch FROM (SELECT *, row_number() OVER (ORDER BY epoch, txn_id) AS feed_id FROM c_transfers WHERE amount >= 100000) WHERE feed_id > 50""")
 def stream_feed(spark, sf):
     folder = T.work_folder(spark, "feed")
     T.drain(T.transfer_stream(spark, sf).where("amount >= 100000").select("txn_id", "src", "amount", "epoch"), folder, each=Q.feed_writer(folder))
-    return Q.read_feed(spark, folder, 200)
+    return Q.read_feed(spark, folder, 50)
 
 
 @query("stream_pulse", "2.10.8", RAW["live_facts"])
