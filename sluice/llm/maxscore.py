@@ -11,8 +11,6 @@ Shards give k rows each for a query, which are merged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,14 +85,11 @@ class Shard:
 
 
 def _searcher(k: int):
-    def search(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, queries = list(left), list(right)
-        if not docs or not queries:
-            return
-        docs, queries = (pa.Table.from_batches(side).combine_chunks() for side in (docs, queries))
+    def search(docs: pa.Table, queries: pa.Table) -> pa.Table:
+        names = ["query_uid", "query_id", "vec_id", "score"]
         if not docs.num_rows or not queries.num_rows:
-            return
-        lists = [t.column("v").combine_chunks() for t in (docs, queries)]
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 4, names=names)
+        lists = [pa.concat_arrays(t.column("v").chunks) for t in (docs, queries)]
         width = max(1, *[int(np.diff(x.offsets.to_numpy()).max(initial=0)) for x in lists])
         weights, asked = (_matrix(x, width) for x in lists)
         top = float(np.abs(weights.astype(float)).max()) * float(np.abs(asked.astype(float)).max()) * width
@@ -106,7 +101,7 @@ def _searcher(k: int):
             rows, scores = shard.search(asked[:, n], own, k, rank)
             for column, values in zip(out, ([own] * len(rows), [qid] * len(rows), docs.column("vec_id").take(pa.array(rows)).to_pylist(), [int(s) for s in scores]), strict=True):
                 column.extend(values)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_uid", "query_id", "vec_id", "score"])
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
 
     return search
 
