@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, maxscore, mixing, pieces, polyhash, reputation, simhash, token_rollup
+from . import katz, language, licenses, maxscore, mixing, pieces, polyhash, reputation, simhash, token_rollup
 from .common import fresh, saved, table
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def license_scan(spark, folder):
     )
 
 
+@query("op2_katz_score")
+def katz_score(spark, folder):
+    return katz.score(documents(spark, folder, "text"), katz.held_out())
+
+
 @query("op3_source_mix", sql="""
 WITH sized AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
