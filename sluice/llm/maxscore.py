@@ -112,7 +112,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_ROWS
     ``vectors`` has vec_id and v (array of longs). Ties go to the smaller vec_id, null ids
     last. A vector shorter than another counts as 0 there. Rows that repeat a vec_id are
     candidates of their own, and queries of their own. Queries and rows meet in blocks:
-    every (shard, block of queries) is one group of bounded size.
+    every (shard, block of queries) is one group of bounded size. A score beyond a long is an
+    error.
     """
     rows = saved(vectors.select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asked")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     n, asked = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("asked").cast("long")), F.lit(0))).first()
