@@ -39,66 +39,66 @@ def resolve_prefix(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     return asked.join(exact, "id", "left").join(first, "id", "left").select("id", F.coalesce("exact", "by_prefix").alias("node"))
 
 
-# Fixed values: (feature, lowest value it speaks for, format, scale of the value).
-PHRASES = (
-    ("dormancy_days", None, "dormant for %,.0f days before it woke up", 1.0, 0.0),
-    ("device_cluster_size", 1.0, "shares a device with %,.0f other accounts", 1.0, -1.0),
-    ("device_peers_in_incident", 0.0, "%,.0f accounts on the same device are in this incident", 1.0, 0.0),
-    ("ip_cluster_size", 1.0, "shares an IP range with %,.0f other accounts", 1.0, -1.0),
-    ("structuring_band_share", 0.0, "%.0f%% of its transfers sit just under 50,000", 100.0, 0.0),
-    ("same_window_openings", 0.0, "%,.0f of its counterparties opened accounts the same fortnight", 1.0, 0.0),
-    ("recipient_jaccard_max", 0.0, "%.0f%% of its payee list is shared with another account", 100.0, 0.0),
-    ("hops_from_victim", None, "%,.0f hops from the victim", 1.0, 0.0),
-    ("turnover_ratio", None, "forwarded %.0f%% of everything it received", 100.0, 0.0),
-    ("account_age_days", None, "account is %,.1f years old", 1 / 365, 0.0),
-    ("max_fanout_10min", None, "paid %,.0f recipients within ten minutes", 1.0, 0.0),
-    ("in_degree", None, "receives from %,.0f accounts", 1.0, 0.0),
-    ("out_degree", None, "sends to %,.0f accounts", 1.0, 0.0),
-    ("fanout_ratio", None, "%,.1f recipients for every sender", 1.0, 0.0),
-    ("night_activity_share", 0.0, "%.0f%% of its activity is between 23:00 and 05:00", 100.0, 0.0),
-    ("round_amount_share", 0.0, "%.0f%% of its transfers are round numbers", 100.0, 0.0),
-    ("outflow_within_10min_share", 0.0, "%.0f%% of its transfers go out within ten minutes", 100.0, 0.0),
-    ("in_out_ratio_1h", None, "sent %,.1fx what it received in the last 1h", 1.0, 0.0),
-    ("in_out_ratio_6h", None, "sent %,.1fx what it received in the last 6h", 1.0, 0.0),
-    ("in_out_ratio_24h", None, "sent %,.1fx what it received in the last 24h", 1.0, 0.0),
-    ("atm_value_share", 0.0, "%.0f%% of what it sends is withdrawn as cash", 100.0, 0.0),
-    ("burstiness", None, "activity is clustered rather than steady (index %,.1f)", 1.0, 0.0),
-    ("txn_count", None, "%,.0f transfers in the window", 1.0, 0.0),
-    ("pagerank", None, "centrality %.4f in the incident graph", 1.0, 0.0),
-)
-FLAG_PHRASES = {
-    "exchange_flag": "pays into a crypto exchange deposit account",
-    "crossborder_flag": "sends money cross-border",
-    "exit_adjacent": "is one hop from a cash-out point",
-    "kyc_video_flag": "opened by video KYC",
-    "kyc_small_flag": "a small account with limited KYC",
+# unit -> (format, factor)
+UNITS = {
+    "number": ("%.0f", 1.0), "share": ("%.0f%%", 100.0), "ratio": ("%.2f", 1.0), "rank": ("%.4f", 1.0),
+    "days": ("%.0f d", 1.0), "years": ("%.1f y", 1 / 365), "hours": ("%.1f h", 1.0), "minutes": ("%.0f min", 1.0),
+}
+# feature -> (what it measures, unit)
+MEASURES = {
+    "account_age_days": ("age of the account", "years"),
+    "activity_span_hours": ("time from first to last transfer", "hours"),
+    "amount_cv": ("variation of outgoing amounts", "ratio"),
+    "atm_value_share": ("outgoing value taken as cash", "share"),
+    "betweenness": ("shortest paths through it", "share"),
+    "burstiness": ("burstiness", "ratio"),
+    "device_cluster_size": ("accounts on the device", "number"),
+    "device_peers_in_incident": ("accounts on the device within the incident", "number"),
+    "dormancy_days": ("idle time before the incident", "days"),
+    "fanout_ratio": ("payees per payer", "ratio"),
+    "hops_from_victim": ("distance to the victim", "number"),
+    "hops_to_exit": ("distance to an exit", "number"),
+    "in_degree": ("payers", "number"),
+    "in_out_ratio_1h": ("outflow over inflow, 1 h", "ratio"),
+    "in_out_ratio_6h": ("outflow over inflow, 6 h", "ratio"),
+    "in_out_ratio_24h": ("outflow over inflow, 24 h", "ratio"),
+    "ip_cluster_size": ("accounts on the network prefix", "number"),
+    "max_fanout_10min": ("payees in its busiest ten minutes", "number"),
+    "median_residence_minutes": ("median time money stays", "minutes"),
+    "night_activity_share": ("transfers at night", "share"),
+    "out_degree": ("payees", "number"),
+    "outflow_within_10min_share": ("outgoing transfers within ten minutes of a credit", "share"),
+    "pagerank": ("pagerank", "rank"),
+    "recipient_jaccard_max": ("overlap of payees with its nearest account", "share"),
+    "reciprocity": ("partners that pay and are paid", "share"),
+    "round_amount_share": ("round amounts", "share"),
+    "same_window_openings": ("partners opened at about the same time", "number"),
+    "structuring_band_share": ("transfers just under the reporting limit", "share"),
+    "turnover_ratio": ("outflow over inflow", "share"),
+    "txn_count": ("transfers", "number"),
+}
+# features that are logarithms of an amount, and marks that hold or don't
+LOGARITHMS = {"log_max_credit": "largest credit", "log_total_out": "total outflow"}
+MARKS = {
+    "crossborder_flag": "payments abroad", "exchange_flag": "payments to an exchange", "exit_adjacent": "payments straight to an exit",
+    "kyc_small_flag": "reduced identity check", "kyc_video_flag": "identity check by video",
 }
-# (feature, turning point, text below, scale below, text at or above, scale above)
-SPLIT_PHRASES = (
-    ("median_residence_minutes", 60.0, "forwards money %,.0f minutes after receiving it", 1.0, "holds money for %,.1f hours before forwarding", 1 / 60),
-    ("hops_to_exit", 90.0, "%,.0f hops from a cash-out point", 1.0, "no path to a cash-out point", 0.0),
-    ("activity_span_hours", 24.0, "all of its activity falls inside %,.0f hours", 1.0, "active across %,.0f days", 1 / 24),
-    ("amount_cv", 0.35, "its outgoing amounts are unusually uniform (spread %.2f)", 1.0, "spread of its outgoing amounts is %.2f", 1.0),
-    ("reciprocity", 0.05, "never pays anyone who pays it", 0.0, "%.0f%% of its counterparties are two-way", 100.0),
-    ("betweenness", 0.01, "not on the critical path of the money", 0.0, "a bottleneck: %.1f%% of paths run through it", 100.0),
-)
-LOG_PHRASES = {"log_max_credit": "largest single credit was %,.0f", "log_total_out": "sent %,.0f in total"}
 
 
 def phrase(feature: Column, value: Column) -> Column:
-    """One attribution as a sentence; features without a template name themselves."""
-    say = lambda fmt, v: F.format_string(fmt, v) if "%" in fmt.replace("%%", "") else F.lit(fmt)
+    """One attribution as "measure: value unit"; a mark is yes or no.
+
+    An unknown feature is named by its column, underscores as spaces, with two digits.
+    """
     out = F.when(F.lit(False), F.lit(""))
-    for name, above, fmt, scale, shift in PHRASES:
-        when = feature == name if above is None else (feature == name) & (value > above)
-        out = out.when(when, say(fmt, (value + shift) * scale))
-    for name, fmt in FLAG_PHRASES.items():
-        out = out.when((feature == name) & (value > 0), F.lit(fmt))
-    for name, turn, low, s_low, high, s_high in SPLIT_PHRASES:
-        out = out.when((feature == name) & (value < turn), say(low, value * s_low)).when(feature == name, say(high, value * s_high))
-    for name, fmt in LOG_PHRASES.items():
-        out = out.when(feature == name, say(fmt, F.expm1(value)))
-    return out.otherwise(F.concat(feature, F.lit(": "), F.format_string("%,.2f", value)))
+    for name, (label, unit) in MEASURES.items():
+        form, factor = UNITS[unit]
+        out = out.when(feature == name, F.concat(F.lit(f"{label}: "), F.format_string(form, value * factor)))
+    for name, label in LOGARITHMS.items():
+        out = out.when(feature == name, F.concat(F.lit(f"{label}: "), F.format_string("%.0f", F.expm1(value))))
+    for name, label in MARKS.items():
+        out = out.when(feature == name, F.concat(F.lit(f"{label}: "), F.when(value > 0, "yes").otherwise("no")))
+    return out.otherwise(F.concat(F.translate(feature, "_", " "), F.lit(": "), F.format_string("%.2f", value)))
 
 
 def reason_codes(attributions: DataFrame, keys: list[str], k: int = 3) -> DataFrame:

@@ -107,7 +107,8 @@ def minute_frames(incidents: DataFrame, money: DataFrame, freezes: DataFrame, mi
 def context_rank(edges: DataFrame, core: DataFrame, exits: DataFrame) -> DataFrame:
     """Outside accounts by transfers with the core, and the core account seen first.
 
-    ``edges``: incident, src, dst, epoch, txn_id. The rank splits by transfer count.
+    ``edges``: incident, src, dst, epoch, txn_id. The rank splits by transfer
+    count and range of accounts.
     """
     both = edges.select("incident", F.col("src").alias("near"), F.col("dst").alias("far"), "epoch", "txn_id").unionByName(
         edges.select("incident", F.col("dst").alias("near"), F.col("src").alias("far"), "epoch", "txn_id")
@@ -119,7 +120,8 @@ def context_rank(edges: DataFrame, core: DataFrame, exits: DataFrame) -> DataFra
     agg = rows.groupBy("incident", F.col("far").alias("account")).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("epoch", "txn_id", "near")).alias("f")
     )
-    ranked = ordinal(agg, ["incident"], -F.col("n"), [F.desc("n"), F.col("account")], "o")
+    cell = F.struct((-F.col("n")).alias("n"), F.floor(F.col("account") / 4096).alias("range"))
+    ranked = ordinal(agg, ["incident"], cell, [F.desc("n"), F.col("account")], "o")
     return ranked.select("incident", "account", "n", (F.col("o") - 1).alias("context_rank"), F.col("f.near").alias("attached_to"))
 
 

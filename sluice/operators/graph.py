@@ -1,13 +1,14 @@
 """Iterative graph operators as joins keyed by incident or graph id.
 
-Every loop has a bounded number of rounds. A round writes its small state to the
-reliable checkpoint folder, so plans stay short and a lost executor recomputes one
+Loops run until nothing changes, unless a caller asks for a number of rounds. A round
+writes its small state to the reliable checkpoint folder, so plans stay short and a lost executor recomputes one
 round, not the chain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,15 +71,18 @@ def hops_to_exit(nodes: DataFrame, links: DataFrame, payers: DataFrame, keys: Se
     return hops_from(nodes, back, payers, keys, "hops_to_exit", depth)
 
 
-def pagerank(nodes: DataFrame, weights: DataFrame, keys: Sequence[str] = (), alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, weights: DataFrame, keys: Sequence[str] = (), alpha: float = 0.85, rounds: int | None = None, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
     """Weighted PageRank per key with dangling mass spread evenly.
 
     Shares per edge are computed once. Each round is one join on the source and one
     aggregation on the target, both combined map-side; nodes carry a dangling mark, so
     their mass is a per-key sum. Convergence (L1 under n*tolerance for every key) is
     tested every few rounds. The state is read three times per round, so each round
-    is checkpointed rather than chained.
+    is checkpointed rather than chained. Rounds go on until all keys have converged;
+    ``rounds`` with ``tolerance=None`` asks for that many instead.
     """
+    if (rounds is None) == (tolerance is None):
+        raise ValueError("give either a tolerance or a number of rounds")
     keys = list(keys)
     on = [*keys, "account"]
     total = weights.groupBy(*keys, "src").agg(F.sum("weight").alias("t"))
@@ -88,7 +92,7 @@ def pagerank(nodes: DataFrame, weights: DataFrame, keys: Sequence[str] = (), alp
     sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     attach = (lambda d: d.join(sizes, keys)) if keys else (lambda d: d.join(sizes))
     state = cut(attach(nodes.join(senders, on, "left").fillna(True, ["dangling"])).withColumn("rank", F.lit(1.0) / F.col("n")))
-    for i in range(1, rounds + 1):
+    for i in count(1) if rounds is None else range(1, rounds + 1):
         got = state.join(shares, on).groupBy(*keys, F.col("dst").alias("account")).agg(F.sum(F.col("rank") * F.col("s")).alias("got"))
         lost = state.groupBy(*keys).agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("lost"))
         base = state.join(lost, keys) if keys else state.join(lost)
@@ -105,18 +109,19 @@ def pagerank(nodes: DataFrame, weights: DataFrame, keys: Sequence[str] = (), alp
     return state.select(*on, F.col("rank").alias("pagerank"))
 
 
-def betweenness(nodes: DataFrame, links: DataFrame, keys: Sequence[str] = (), pivots: int = 64, seed: int = 7, max_depth: int = 64) -> DataFrame:
+def betweenness(nodes: DataFrame, links: DataFrame, keys: Sequence[str] = (), pivots: int = 64, seed: int = 7, max_depth: int | None = None) -> DataFrame:
     """Directed betweenness from seeded pivots of each key, scaled to all nodes and normalised.
 
     Shortest-path counts go out level by level from all pivots of all keys at once,
-    dependencies come back the same way. ``links``: keys, account -> peer, distinct.
+    dependencies come back the same way, until no level is new. ``max_depth`` is for
+    graphs that are known to end there. ``links``: keys, account -> peer, distinct.
     """
     keys = list(keys)
     on, full = [*keys, "account"], [*keys, "pivot", "account"]
     start = top_ranked(nodes.select(*on), keys or [F.lit(0)], [F.xxhash64("account", F.lit(seed)), F.col("account")], pivots)
     seen = cut(start.select(*keys, F.col("account").alias("pivot"), "account", F.lit(0).alias("level"), F.lit(1.0).alias("paths")))
     frontier, levels = seen, [seen]
-    for level in range(1, max_depth + 1):
+    for level in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(links, on).groupBy(*keys, "pivot", F.col("peer").alias("account")).agg(F.sum("paths").alias("paths"))
         new = cut(step.join(seen, full, "left_anti").select(*full, F.lit(level).alias("level"), "paths"))
         if new.isEmpty():
@@ -208,15 +213,15 @@ def projection(edges: DataFrame, shared: DataFrame) -> DataFrame:
     return flow.unionByName(shared.select("a", "b", "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Connected components by smallest label with pointer jumping.
 
     ``pairs``: a, b. Labels fall to the neighbours' minimum and then to the label of
-    the label, so the rounds grow with the logarithm of the diameter.
+    the label, so the rounds grow with the logarithm of the diameter; they end when no label falls.
     """
     links = cut(pairs.select(F.col("a").alias("account"), F.col("b").alias("peer")).unionByName(pairs.select(F.col("b").alias("account"), F.col("a").alias("peer"))))
     state = cut(nodes.select("account", F.col("account").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = links.join(state.select(F.col("account").alias("peer"), "label"), "peer").groupBy("account").agg(F.min("label").alias("m"))
         low = state.join(near, "account", "left").select("account", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = low.join(low.select(F.col("account").alias("label"), F.col("label").alias("root")), "label", "left")
@@ -228,18 +233,19 @@ def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFram
     return state.select("account", F.col("label").alias("community"))
 
 
-def label_propagation(nodes: DataFrame, weights: DataFrame, rounds: int = 8) -> DataFrame:
+def label_propagation(nodes: DataFrame, weights: DataFrame, rounds: int = 100) -> DataFrame:
     """Weighted label propagation with deterministic ties and alternating halves.
 
     A node takes the label with the largest summed weight among its neighbours (its
     own label holds on a tie); halves picked by hash move in turn, which stops two
-    labels swapping forever. ``weights``: a, b, weight.
+    labels swapping forever. It ends when neither half moves; labels that don't settle
+    within ``rounds`` raise an error. ``weights``: a, b, weight.
     """
     links = cut(
         weights.select(F.col("a").alias("account"), F.col("b").alias("peer"), "weight")
         .unionByName(weights.select(F.col("b").alias("account"), F.col("a").alias("peer"), "weight"))
     )
-    state = cut(nodes.select("account", F.col("account").alias("label")))
+    state, still = cut(nodes.select("account", F.col("account").alias("label"))), 0
     for i in range(rounds):
         moving = links.where(F.pmod(F.xxhash64("account"), F.lit(2)) == i % 2)
         votes = moving.join(state.select(F.col("account").alias("peer"), "label"), "peer").groupBy("account", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
@@ -247,8 +253,12 @@ def label_propagation(nodes: DataFrame, weights: DataFrame, rounds: int = 8) ->
         own = votes.select("account", F.col("label").alias("label"), F.col("w").alias("own"))
         nxt = state.join(best, "account", "left").join(own, ["account", "label"], "left")
         stay = F.col("m").isNull() | (F.coalesce("own", F.lit(-1.0)) >= F.col("m.w"))
-        state = cut(nxt.select("account", F.when(stay, F.col("label")).otherwise(-F.col("m.neg")).alias("label")))
-    return state.select("account", F.col("label").alias("community"))
+        nxt = cut(nxt.select("account", F.col("label").alias("was"), F.when(stay, F.col("label")).otherwise(-F.col("m.neg")).alias("label")))
+        still = still + 1 if nxt.where("was <> label").isEmpty() else 0
+        state = nxt.select("account", "label")
+        if still == 2:
+            return state.select("account", F.col("label").alias("community"))
+    raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
 def modularity(members: DataFrame, weights: DataFrame) -> DataFrame:
@@ -395,21 +405,22 @@ def neighbour_means(features: DataFrame, links: DataFrame, names: Sequence[str],
     return out
 
 
-def cross_bank_hops(parents: DataFrame, accounts: DataFrame, victims: DataFrame, guard: int = 32) -> DataFrame:
+def cross_bank_hops(parents: DataFrame, accounts: DataFrame, victims: DataFrame) -> DataFrame:
     """Bank changes along the first-parent chain back to the victim.
 
-    Pointer doubling over the parent links: five rounds cover a chain of 32. A chain
-    that does not reach the victim counts its crossings until it ends; a loop stops
-    at the guard. ``parents``: incident, account, parent.
+    Pointer doubling over the parent links, until every chain has ended. A chain that
+    does not reach the victim counts its crossings until it ends; a loop, which first
+    parents never form, raises an error. ``parents``: incident, account, parent.
     """
     bank = lambda c, b: accounts.select(F.col("account").alias(c), F.col("bank").alias(b))
     rows = parents.join(victims.select("incident", F.col("victim").alias("account")), ["incident", "account"], "left_anti")
     state = rows.join(bank("account", "x"), "account", "left").join(bank("parent", "y"), "parent", "left").select(
         "incident", "account", F.col("parent").alias("up"), F.when(F.col("x").eqNullSafe(F.col("y")), 0).otherwise(1).cast("bigint").alias("crossings")
     )
-    state = cut(state)
-    steps = 1
-    while steps < guard:
+    state, links, steps = cut(state), rows.count(), 1
+    while not state.where("up IS NOT NULL").isEmpty():
+        if steps > 2 * links:
+            raise RuntimeError("the parent links hold a loop")
         nxt = state.select("incident", F.col("account").alias("up"), F.col("up").alias("up2"), F.col("crossings").alias("more"))
         state = cut(state.join(nxt, ["incident", "up"], "left").select(
             "incident", "account", F.col("up2").alias("up"), (F.col("crossings") + F.coalesce("more", F.lit(0))).alias("crossings")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import exact_quantiles, latest_before
+from ..core import exact_quantiles, interval_join, latest_before
 from .ranking import top_ranked
 
 
@@ -40,12 +40,18 @@ def forwarding_delay(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return mid.join(quarts, keys)
 
 
-def shared_infrastructure(accounts: DataFrame, columns: Sequence[str], weight: float = 2.5, largest: int = 25) -> DataFrame:
-    """Pairs sharing an identifier. Groups above ``largest`` are an artefact by definition."""
+def shared_infrastructure(accounts: DataFrame, columns: Sequence[str], weight: float = 2.5, largest: int | None = None) -> DataFrame:
+    """Pairs sharing an identifier.
+
+    Pairs grow with the square of a group. Where large groups count as an artefact,
+    ``largest`` leaves those above it out; ``shared_groups`` has them as a table of accounts.
+    """
     parts = []
     for c in columns:
         rows = accounts.where(F.col(c).isNotNull()).select("account", F.col(c).alias("value"))
-        sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, largest))
+        sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+        if largest is not None:
+            sizes = sizes.where(F.col("n") <= largest)
         kept = rows.join(sizes.select("value"), "value")
         parts.append(
             kept.select(F.col("account").alias("a"), "value")
@@ -58,18 +64,26 @@ def shared_infrastructure(accounts: DataFrame, columns: Sequence[str], weight: f
     return out.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def cooccurrence_edges(cards: DataFrame, columns: Sequence[str], largest: int = 20, generic: Sequence[str] = ()) -> DataFrame:
+def shared_groups(accounts: DataFrame, columns: Sequence[str], least: int = 2) -> DataFrame:
+    """Accounts with each identifier that at least ``least`` of them share: column, value, account, n; one row per account, whatever the group's size."""
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("g")
+    rows = accounts.select("account", named).select("g.column", "g.value", "account").where("value IS NOT NULL")
+    sizes = rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return rows.join(sizes, ["column", "value"])
+
+
+def cooccurrence_edges(cards: DataFrame, columns: Sequence[str], largest: int | None = None, generic: Sequence[str] = ()) -> DataFrame:
     """Both-way edges among the largest flows sharing an attribute value.
 
-    Per value the ``largest`` accounts by flow are kept (the reference rule), the
-    edge carries their mean flow, and a pair found twice keeps the larger amount.
+    With ``largest`` only that many accounts by flow are kept per value. The edge carries
+    the mean flow of its group, and a pair found twice keeps the larger amount.
     """
     parts = []
     for c in columns:
         value = F.trim(F.col(c).cast("string"))
         rows = cards.where(F.col(c).isNotNull() & (value != "") & ~F.lower(value).isin(*(generic or ["\0"])))
         flows = rows.groupBy(value.alias("value"), "card").agg(F.sum("amt").alias("flow"))
-        kept = top_ranked(flows, ["value"], [F.desc("flow"), F.col("card")], largest)
+        kept = flows if largest is None else top_ranked(flows, ["value"], [F.desc("flow"), F.col("card")], largest)
         mean = kept.groupBy("value").agg(F.avg("flow").alias("amount"), F.count(F.lit(1)).alias("n")).where("n >= 2")
         kept = kept.join(mean, "value")
         parts.append(
@@ -86,13 +100,13 @@ def cooccurrence_edges(cards: DataFrame, columns: Sequence[str], largest: int =
 def usable_edges(arrivals: DataFrame, transfers: DataFrame, until: str) -> DataFrame:
     """Edges an account can use: sent at or after arrival and no later than the limit.
 
+    A busy account splits by hour.
+
     ``arrivals``: incident, account, arrival, plus the ``until`` column.
     """
-    return (
-        transfers.join(arrivals.withColumnRenamed("account", "src"), "src")
-        .where((F.col("epoch") >= F.col("arrival")) & (F.col("epoch") <= F.col(until)))
-        .select("incident", "txn_id", "src", "dst", "amount", "epoch", "channel")
-    )
+    ask = arrivals.select("incident", F.col("account").alias("src"), "arrival", F.col(until).alias("until"))
+    moves = transfers.select("txn_id", "src", "dst", "amount", "epoch", "channel")
+    return interval_join(ask, moves, ["src"], "epoch", "arrival", "until").select("incident", "txn_id", "src", "dst", "amount", "epoch", "channel")
 
 
 def intercepted(parcels: DataFrame, freezes: DataFrame) -> DataFrame:
@@ -119,15 +133,19 @@ def payee_sets(edges: DataFrame, keys: Sequence[str] = (), hot: int = 500) -> tu
     return marked.where(F.col("payers").between(2, hot)).select(*keys, "account", "dst"), facts
 
 
-def common_payees(edges: DataFrame, keys: Sequence[str] = (), hot: int = 500) -> DataFrame:
+def common_payees(edges: DataFrame, keys: Sequence[str] = (), hot: int | None = None) -> DataFrame:
     """Pairs of payers (a < b) with the exact number of payees they share.
 
-    Payees with at most ``hot`` payers pair their payers; the hot payees of a pair are
-    then added from the two lists, so counts are whole. Pairs that meet only at hot
-    payees are not listed, since that list is quadratic; what is asked of them (the best
-    partner) is answered exactly by ``graph.recipient_jaccard``.
+    All pairs are listed, which grows with the square of a payee's payers; where the pairs
+    of interest are known, ``listed_common_payees`` counts just those. With ``hot`` only
+    payees of at most that many payers pair their payers, the others are then added to
+    those pairs' counts; ``graph.recipient_jaccard`` finds the best of the rest.
     """
     keys = list(keys)
+    if hot is None:
+        sets = edges.select(*keys, F.col("src").alias("account"), "dst").distinct()
+        side = lambda c: sets.withColumnRenamed("account", c)
+        return side("a").join(side("b"), [*keys, "dst"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("common"))
     cold, facts = payee_sets(edges, keys, hot)
     side = lambda c: cold.withColumnRenamed("account", c)
     met = side("a").join(side("b"), [*keys, "dst"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("cold"))
@@ -138,6 +156,16 @@ def common_payees(edges: DataFrame, keys: Sequence[str] = (), hot: int = 500) ->
     return rows.select(*keys, "a", "b", (F.col("cold") + extra).alias("common"))
 
 
+def listed_common_payees(edges: DataFrame, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``pairs`` (keys, a, b) with the number of payees both pay, 0 included; linear in the pairs' payees."""
+    keys = list(keys)
+    sets = edges.select(*keys, F.col("src").alias("account"), "dst").distinct()
+    asked = pairs.select(*keys, "a", "b").distinct()
+    mine = asked.join(sets.withColumnRenamed("account", "a"), [*keys, "a"])
+    both = mine.join(sets.withColumnRenamed("account", "b"), [*keys, "b", "dst"], "left_semi").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("common"))
+    return asked.join(both, [*keys, "a", "b"], "left").fillna(0, ["common"])
+
+
 def truth_join(decisions: DataFrame, labels: DataFrame) -> DataFrame:
     """Decisions with truth and layer; an unlabelled account is innocent."""
     return decisions.join(labels.select("account", "is_mule", "layer_index"), "account", "left").withColumn(

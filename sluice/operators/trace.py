@@ -9,6 +9,7 @@ task never holds an incident's events in memory.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 from pyspark.sql import DataFrame
@@ -19,24 +20,34 @@ from ..session import cut
 from .graph import breadth_first
 from .ranking import top_ranked
 
-# Smallest tainted move, smallest share, node limit, horizon, hops.
+# Smallest tainted move, smallest share, hops.
 FLOOR = 250.0
 MIN_SHARE = 0.02
-MAX_NODES = 5_000
 CANDIDATE_HOPS = 3
+FOLD_EVERY = 8
+# moves a task holds before it hands them on
+MOVES = 50_000
 
 
-def reach(starts: DataFrame, transfers: DataFrame, exits: DataFrame | None = None, extra: DataFrame | None = None, rounds: int = 40) -> DataFrame:
+def reach(starts: DataFrame, transfers: DataFrame, exits: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
     """Earliest arrival and hop depth along time-respecting transfers.
 
     ``starts``: run, account, arrival, until. ``extra``: run, src, dst links usable at
     any time (rerouted payments). Each round joins only arrivals that improved; a hot
-    sender splits by hour. Accounts in ``exits`` are reached and not left.
+    sender splits by hour. Accounts in ``exits`` are reached and not left. Rounds only
+    add what improved and go on until nothing does; every few rounds the additions are
+    folded into one state.
     """
     moves = transfers.select("src", "dst", "epoch")
-    state = cut(starts.select("run", "account", "arrival", "until", F.lit(0).alias("depth")))
-    new = state
-    for _ in range(rounds):
+    new = cut(starts.select("run", "account", "arrival", "until", F.lit(0).alias("depth")))
+    parts = [new]
+
+    def best_of(rows: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, rows).groupBy("run", "account").agg(F.min(F.struct("arrival", "depth", "until")).alias("b")).select(
+            "run", "account", F.col("b.arrival").alias("arrival"), F.col("b.until").alias("until"), F.col("b.depth").alias("depth")
+        )
+
+    while True:
         ask = new if exits is None else new.join(exits.select("account"), "account", "left_anti")
         ask = ask.withColumnRenamed("account", "src")
         step = interval_join(ask, moves, ["src"], "epoch", "arrival", "until").select(
@@ -46,13 +57,14 @@ def reach(starts: DataFrame, transfers: DataFrame, exits: DataFrame | None = Non
             jump = ask.join(extra, ["run", "src"]).select("run", F.col("dst").alias("account"), "arrival", "until", (F.col("depth") + 1).alias("depth"))
             step = step.unionByName(jump)
         best = step.groupBy("run", "account").agg(F.min(F.struct("arrival", "depth", "until")).alias("b"))
-        was = state.select("run", "account", F.col("arrival").alias("was"))
+        was = reduce(DataFrame.unionByName, parts).groupBy("run", "account").agg(F.min("arrival").alias("was"))
         new = best.join(was, ["run", "account"], "left").where(F.col("was").isNull() | (F.col("b.arrival") < F.col("was")))
         new = cut(new.select("run", "account", F.col("b.arrival").alias("arrival"), F.col("b.until").alias("until"), F.col("b.depth").alias("depth")))
         if new.isEmpty():
-            break
-        state = cut(state.join(new.select("run", "account"), ["run", "account"], "left_anti").unionByName(new))
-    return state
+            return cut(best_of(parts))
+        parts.append(new)
+        if len(parts) > FOLD_EVERY:
+            parts = [cut(best_of(parts))]
 
 
 EVENT = (
@@ -75,7 +87,8 @@ def _fold(batches: Iterator) -> Iterator:
         for pdf in batches:
             yield from zip(*(pdf[c].tolist() for c in FIELDS))
 
-    def settle(run, events, out):
+    def settle(run, events):
+        out: list[tuple] = []
         held, through, known = {}, {}, set()
         waiting, retries = [], {}
 
@@ -92,6 +105,9 @@ def _fold(batches: Iterator) -> Iterator:
                 out.append((run, "reroute_in", src, dst, amount, amount, when, -1))
 
         for epoch, second in groupby(events, key=lambda r: r[1]):
+            if len(out) >= MOVES:
+                yield out
+                out.clear()
             # accounts reached inside this second may still spend later in it
             todo, parked = [], {}
             arrivals(epoch)
@@ -118,12 +134,12 @@ def _fold(batches: Iterator) -> Iterator:
                     out.append((run, "blocked", src, r[5], r[6], moved, epoch, pos))
                     tries = retries.get(src, 0)
                     target, leaves = ((r[13], r[15]), (r[14], r[16]))[min(tries, 1)]
-                    if r[12] and tries < 2 and target is not None and target == target:
+                    if r[12] and tries < 2 and target >= 0:
                         retries[src] = tries + 1
                         if epoch + r[17] <= r[18]:
                             held[src] = available - moved
-                            heapq.heappush(waiting, (epoch + r[17], src, int(target), moved, bool(leaves)))
-                            out.append((run, "reroute_out", src, int(target), r[6], moved, epoch, pos))
+                            heapq.heappush(waiting, (epoch + r[17], src, target, moved, bool(leaves)))
+                            out.append((run, "reroute_out", src, target, r[6], moved, epoch, pos))
                     continue
                 held[src] = available - moved
                 fresh = r[5] not in known
@@ -133,11 +149,11 @@ def _fold(batches: Iterator) -> Iterator:
                     for later in parked.pop(r[5], ()):
                         heapq.heappush(todo, (later[3], later[4], later))
         arrivals(float("inf"))
+        if out:
+            yield out
 
     for run, events in groupby(rows(), key=lambda r: r[0]):
-        out = []
-        settle(run, events, out)
-        if out:
+        for out in settle(run, events):
             yield pd.DataFrame(out, columns=names)
 
 
@@ -171,12 +187,12 @@ def exposed_debits(reached: DataFrame, transfers: DataFrame, exits: DataFrame, r
 
 def as_events(debits: DataFrame, opening: DataFrame) -> DataFrame:
     """Debits and opening balances in the fold's layout. ``opening``: run, account, epoch, held, through."""
-    none = lambda t: F.lit(None).cast(t)
-    have = set(debits.columns)
-    default = {"stopped": F.lit(False), "rerouted": F.lit(False), "alt1": none("bigint"), "alt2": none("bigint"), "exit1": F.lit(False), "exit2": F.lit(False), "delay": F.lit(0).cast("bigint")}
+    # -1 stands for no account, as a null would turn the column into doubles
+    have, none = set(debits.columns), F.lit(-1).cast("bigint")
+    default = {"stopped": F.lit(False), "rerouted": F.lit(False), "alt1": none, "alt2": none, "exit1": F.lit(False), "exit2": F.lit(False), "delay": F.lit(0).cast("bigint")}
     d = debits.select(
         F.col("run").cast("string").alias("run"), "epoch", F.lit(0).alias("opening"), "src", "pos", "dst", "amount", "inflow", "to_exit",
-        F.lit(0.0).alias("held0"), F.lit(0.0).alias("through0"), *[F.col(c) if c in have else v.alias(c) for c, v in default.items()], "until",
+        F.lit(0.0).alias("held0"), F.lit(0.0).alias("through0"), *[F.coalesce(F.col(c), v).alias(c) if c in have else v.alias(c) for c, v in default.items()], "until",
     )
     o = opening.select(
         F.col("run").cast("string").alias("run"), "epoch", F.lit(1).alias("opening"), F.col("account").alias("src"), F.lit(-1).cast("bigint").alias("pos"),
@@ -226,34 +242,45 @@ def taint_depth(incidents: DataFrame, flows: DataFrame) -> DataFrame:
     return breadth_first(incidents.select("incident", F.col("victim").alias("account")), links, ["incident"], None)
 
 
-def frontier(touched: DataFrame, transfers: DataFrame, exits: DataFrame, cutoffs: DataFrame, hops: int = CANDIDATE_HOPS, limit: int = MAX_NODES) -> DataFrame:
+def frontier(touched: DataFrame, transfers: DataFrame, exits: DataFrame, cutoffs: DataFrame, hops: int = CANDIDATE_HOPS, limit: int | None = None) -> DataFrame:
     """Accounts within ``hops`` observed payments of the tainted ones, exits left out.
 
     ``touched``: incident, account. ``cutoffs``: incident, until. Past links are
-    reduced to the first time each pair was used, so a busy pair costs one row. The
-    limit is the reference rule: lowest ids fill the room left, hop by hop.
+    reduced to the first time each pair was used, so a busy pair costs one row. With a
+    ``limit`` the lowest ids fill the room left, hop by hop, and ``truncated`` tells
+    whether an incident lost accounts to it.
     """
     first = transfers.groupBy("src", "dst").agg(F.min("epoch").alias("first")).join(exits.select(F.col("account").alias("dst")), "dst", "left_anti")
     first = cut(first)
     seen = touched.join(exits.select("account"), "account", "left_anti").select("incident", "account").distinct().join(cutoffs, "incident")
     seen = cut(seen)
-    edge = seen
+    edge, lost = seen, []
     for _ in range(hops):
-        room = seen.groupBy("incident").agg((F.lit(limit) - F.count(F.lit(1))).alias("room"))
+        room = seen.groupBy("incident").agg((F.lit(limit or 0) - F.count(F.lit(1))).alias("room"))
         step = edge.join(first.withColumnRenamed("src", "account"), "account").where(F.col("first") <= F.col("until")).select("incident", F.col("dst").alias("account"), "until").distinct()
         new = step.join(seen.select("incident", "account"), ["incident", "account"], "left_anti")
-        edge = cut(top_ranked(new, ["incident"], [F.col("account")], limit).join(room, "incident").where("rank <= room").select("incident", "account", "until"))
+        if limit is None:
+            edge = cut(new.select("incident", "account", "until"))
+        else:
+            new = cut(new)
+            edge = cut(top_ranked(new, ["incident"], [F.col("account")], limit).join(room, "incident").where("rank <= room").select("incident", "account", "until"))
+            lost.append(new.select("incident", "account").join(edge, ["incident", "account"], "left_anti").select("incident"))
         if edge.isEmpty():
             break
         seen = cut(seen.unionByName(edge.select(*seen.columns)))
-    return seen.select("incident", "account")
+    seen = seen.select("incident", "account")
+    if limit is None:
+        return seen
+    cut_off = reduce(DataFrame.unionByName, lost).distinct().withColumn("truncated", F.lit(True))
+    return seen.join(cut_off, "incident", "left").fillna(False, ["truncated"])
 
 
-def incident_graph(incidents: DataFrame, flows: DataFrame, transfers: DataFrame, accounts: DataFrame, labels: DataFrame, limit: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
+def incident_graph(incidents: DataFrame, flows: DataFrame, transfers: DataFrame, accounts: DataFrame, labels: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and links of every incident: the traced core and one hop around it.
 
-    ``flows`` are traced to the horizon. Context accounts fill the room left by the
-    core, lowest ids first; links are the window's transfers inside the kept set.
+    ``flows`` are traced to the horizon; links are the window's transfers inside the kept
+    set. With a ``limit`` the context accounts fill the room left by the core, lowest ids
+    first, and ``truncated`` marks the nodes of incidents that lost some.
     """
     state = taint_accounts(incidents, flows)
     gone = flows.where("to_exit").select("incident", F.col("dst").alias("account"), "epoch", "tainted").groupBy("incident", "account").agg(
@@ -268,7 +295,10 @@ def incident_graph(incidents: DataFrame, flows: DataFrame, transfers: DataFrame,
         touch.append(rows.select("incident", F.col(far).alias("account")))
     extra = touch[0].unionByName(touch[1]).distinct().join(core.where("first_seen IS NOT NULL").select("incident", "account"), ["incident", "account"], "left_anti")
     sizes = core.where("first_seen IS NOT NULL").groupBy("incident").agg(F.count(F.lit(1)).alias("core"))
-    context = top_ranked(extra, ["incident"], [F.col("account")], limit).join(sizes, "incident").where(F.col("rank") <= F.lit(limit) - F.col("core")).select("incident", "account")
+    context = extra.select("incident", "account")
+    if limit is not None:
+        extra = cut(context)
+        context = top_ranked(extra, ["incident"], [F.col("account")], limit).join(sizes, "incident").where(F.col("rank") <= F.lit(limit) - F.col("core")).select("incident", "account")
     keep = cut(traced.select("incident", "account").unionByName(context))
     side = keep.join(frame, "incident").withColumnRenamed("account", "src")
     inside = interval_join(side, transfers.select("txn_id", "src", "dst", "amount", "epoch", "channel"), ["src"], "epoch", "t0", "horizon").join(
@@ -293,6 +323,9 @@ def incident_graph(incidents: DataFrame, flows: DataFrame, transfers: DataFrame,
         F.coalesce(F.floor((F.col("first_seen") - F.col("t0")) / 60), F.lit(-1)).alias("first_seen_minute"),
         F.coalesce("amount_in", F.lit(0.0)).alias("amount_in"), F.coalesce("amount_out", F.lit(0.0)).alias("amount_out"), F.round(F.coalesce("through", F.lit(0.0)), 2).alias("tainted_in"),
     )
+    if limit is not None:
+        cut_off = extra.join(keep, ["incident", "account"], "left_anti").select("incident").distinct().withColumn("truncated", F.lit(True))
+        nodes = nodes.join(cut_off, "incident", "left").fillna(False, ["truncated"])
     return nodes, links
 
 

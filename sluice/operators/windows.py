@@ -54,7 +54,9 @@ def benchmark_sample(incidents: DataFrame, rounds: int, seed: int = 7) -> DataFr
 def number_communities(members: DataFrame, least: int = 4) -> DataFrame:
     """C01, C02... by size desc, then smallest member; numbered before the size filter."""
     sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("account").alias("first"))
-    ranked = ordinal(sizes, [], -F.col("size"), [F.desc("size"), F.col("first")], "pos")
+    # many communities share a size: a cell is a size and a range of first members
+    cell = F.struct((-F.col("size")).alias("size"), F.floor(F.col("first") / 4096).alias("range"))
+    ranked = ordinal(sizes, [], cell, [F.desc("size"), F.col("first")], "pos")
     return ranked.where(F.col("size") >= least).select(
         "community", F.concat(F.lit("C"), F.lpad(F.col("pos").cast("string"), 2, "0")).alias("ring_id"), "size"
     )

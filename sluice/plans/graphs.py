@@ -61,10 +61,10 @@ def pagerank_sql(rounds):
             + f" SELECT account, round(rank, 9) AS pagerank FROM r{rounds}")
 
 
-@query("pagerank", "2.9.8", pagerank_sql(10))
+@query("pagerank", "2.9.8", pagerank_sql(25))
 def pagerank(spark, sf):
     nodes = A.accounts(spark, sf).select("account")
-    return rounded(R.pagerank(nodes, R.pair_weights(A.transfers(spark, sf)), rounds=10, tolerance=None), 9, "pagerank")
+    return rounded(R.pagerank(nodes, R.pair_weights(A.transfers(spark, sf)), ), 9, "pagerank")
 
 
 @query("betweenness", "2.9.9")
@@ -107,7 +107,7 @@ proj AS (SELECT a, b, sum(w) AS weight FROM (
 
 
 def projected(spark, sf):
-    return R.projection(A.transfers(spark, sf), shared_infrastructure(A.accounts(spark, sf), ["device", "ip"]))
+    return R.projection(A.transfers(spark, sf), shared_infrastructure(A.accounts(spark, sf), ["device", "ip"], largest=25))
 
 
 @query("projection_graph", "2.9.15", f"WITH {PROJ} SELECT a, b, round(weight, 6) AS weight FROM proj")

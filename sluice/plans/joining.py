@@ -85,7 +85,7 @@ WITH v AS (SELECT account, 'd' || device AS v FROM c_accounts UNION ALL SELECT a
 g AS (SELECT v FROM v GROUP BY v HAVING count(*) BETWEEN 2 AND 25)
 SELECT x.account AS a, y.account AS b, sum(2.5::DOUBLE) AS weight FROM v x JOIN v y ON x.v = y.v AND x.account < y.account WHERE x.v IN (SELECT v FROM g) GROUP BY ALL""")
 def shared_infrastructure(spark, sf):
-    return J.shared_infrastructure(A.accounts(spark, sf), ["device", "ip"])
+    return J.shared_infrastructure(A.accounts(spark, sf), ["device", "ip"], largest=25)
 
 
 @query("cooccurrence_edges", "2.3.9", """
@@ -97,7 +97,7 @@ m AS (SELECT v, avg(flow) AS amount FROM k WHERE r <= 20 GROUP BY v HAVING count
 SELECT x.card AS source, y.card AS target, round(max(m.amount), 4) AS amount FROM k x JOIN k y ON x.v = y.v AND x.card <> y.card JOIN m ON m.v = x.v
 WHERE x.r <= 20 AND y.r <= 20 GROUP BY ALL""")
 def cooccurrence_edges(spark, sf):
-    e = J.cooccurrence_edges(A.cards(spark, sf), ["addr1", "card1", "device_info"], generic=("windows", "ios device", "macos"))
+    e = J.cooccurrence_edges(A.cards(spark, sf), ["addr1", "card1", "device_info"], largest=20, generic=("windows", "ios device", "macos"))
     return e.select("source", "target", F.round("amount", 4).alias("amount"))
 
 

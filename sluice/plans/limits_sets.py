@@ -69,7 +69,7 @@ def drawn_rows(spark, sf):
     from ..core import ordinal
     core = A.case_transfers(spark, sf).select("incident", F.col("src").alias("account")).distinct()
     flagged = T.top_ranked(A.model_scores(spark, sf).where("model = 2"), ["incident"], [F.desc("score"), F.col("account")], 6).select("incident", "account")
-    ctx = ordinal(A.candidates(spark, sf), ["incident"], F.lit(0), [F.desc("account")], "o").select("incident", "account", (F.col("o") - 1).alias("context_rank"))
+    ctx = ordinal(A.candidates(spark, sf), ["incident"], -F.floor(F.col("account") / 4096), [F.desc("account")], "o").select("incident", "account", (F.col("o") - 1).alias("context_rank"))
     return T.draw_list(core, flagged, ctx, 20)
 
 

@@ -138,22 +138,28 @@ def signal_tags(spark, sf):
     return A.nodes(spark, sf).select("node", F.array_join(S.signal_tags(m), ",").alias("tags"))
 
 
-@query("reason_phrases", "2.8.14", """
-WITH v AS (SELECT node, unnest(['account_age_days', 'out_degree', 'fanout_ratio', 'recipient_jaccard_max', 'exit_adjacent', 'mystery']) AS feature,
-   unnest([account_age_days * 1.0, tx_count * 1.0, in_out_ratio + 0.0013, fan_out_ratio, (ring_membership > 0)::INT * 1.0, pagerank + 0.0003]) AS value,
-   unnest([account_age_days / 1400.0, tx_count / 90.0, in_out_ratio / 8, fan_out_ratio - 0.5, ring_membership * 0.3, pagerank - 0.5]) AS contribution FROM c_nodes),
+# every measure once per node, with values that spread over the nodes and hit no rounding tie
+SPOKEN = [*X.MEASURES, *X.LOGARITHMS, *X.MARKS, "mystery_feature"]
+SPOKEN_SQL = ", ".join(
+    [f"('{f}', '{label}: ', '{u}')" for f, (label, u) in X.MEASURES.items()] + [f"('{f}', '{label}: ', 'log')" for f, label in X.LOGARITHMS.items()]
+    + [f"('{f}', '{label}: ', 'mark')" for f, label in X.MARKS.items()] + ["('mystery_feature', 'mystery feature: ', 'ratio')"])
+
+
+@query("reason_phrases", "2.8.14", f"""
+WITH names AS (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {SPOKEN_SQL}) t(feature, label, unit)),
+v AS (SELECT node, feature, label, unit, CASE WHEN unit = 'mark' THEN (node + i) % 2 WHEN unit = 'log' THEN ln(1.2137 + tx_count + i) ELSE (tx_count + i) / 7.0 + 0.00137 END::DOUBLE AS value,
+   ((node * 31 + i * 17) % 101 - 40) / 40.0 AS contribution FROM c_nodes, names),
 r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY abs(contribution) DESC, feature) AS rank FROM v)
-SELECT node, rank, CASE WHEN feature = 'account_age_days' THEN 'account is ' || printf('%.1f', value * (1 / 365.0)) || ' years old' WHEN feature = 'out_degree' THEN 'sends to ' || printf('%.0f', value) || ' accounts'
-  WHEN feature = 'fanout_ratio' THEN printf('%.1f', value) || ' recipients for every sender' WHEN feature = 'recipient_jaccard_max' AND value > 0 THEN printf('%.0f', value * 100) || '% of its payee list is shared with another account'
-  WHEN feature = 'exit_adjacent' AND value > 0 THEN 'is one hop from a cash-out point' ELSE feature || ': ' || printf('%.2f', value) END AS reason
-FROM r WHERE rank <= 3 AND contribution > 0""")
+SELECT node, rank, label || CASE unit WHEN 'number' THEN printf('%.0f', value) WHEN 'share' THEN printf('%.0f', value * 100) || '%' WHEN 'ratio' THEN printf('%.2f', value) WHEN 'rank' THEN printf('%.4f', value)
+  WHEN 'days' THEN printf('%.0f', value) || ' d' WHEN 'years' THEN printf('%.1f', value * (1 / 365.0)) || ' y' WHEN 'hours' THEN printf('%.1f', value) || ' h' WHEN 'minutes' THEN printf('%.0f', value) || ' min'
+  WHEN 'log' THEN printf('%.0f', exp(value) - 1) ELSE CASE WHEN value > 0 THEN 'yes' ELSE 'no' END END AS reason
+FROM r WHERE rank <= 12 AND contribution > 0""")
 def reason_phrases(spark, sf):
-    long = A.nodes(spark, sf).selectExpr("node", """stack(6, 'account_age_days', account_age_days * 1D, account_age_days / 1400D, 'out_degree', tx_count * 1D, tx_count / 90D,
-      'fanout_ratio', in_out_ratio + 0.0013D, in_out_ratio / 8, 'recipient_jaccard_max', fan_out_ratio, fan_out_ratio - 0.5D, 'exit_adjacent', IF(ring_membership > 0, 1D, 0D), ring_membership * 0.3D,
-      'mystery', pagerank + 0.0003D, pagerank - 0.5D) AS (feature, value, contribution)""")
-    from ..operators.ranking import top_ranked
-    top = top_ranked(long, ["node"], [F.desc(F.abs("contribution")), F.col("feature")], 3).where("contribution > 0")
-    return top.select("node", "rank", X.phrase(F.col("feature"), F.col("value")).alias("reason"))
+    i, n = F.col("i"), F.col("node")
+    kind = F.when(F.col("feature").isin(*X.MARKS), F.pmod(n + i, F.lit(2)).cast("double")).when(F.col("feature").isin(*X.LOGARITHMS), F.log(F.lit(1.2137) + F.col("tx_count") + i))
+    long = A.nodes(spark, sf).select("node", "tx_count", F.posexplode(F.array(*map(F.lit, SPOKEN))).alias("i", "feature")).select(
+        "node", "feature", kind.otherwise((F.col("tx_count") + i) / 7.0 + 0.00137).alias("value"), ((F.pmod(n * 31 + i * 17, F.lit(101)) - 40) / 40.0).alias("contribution"))
+    return X.reason_codes(long, ["node"], 12)
 
 
 @query("rule_reasons", "2.8.15", f"""

@@ -40,8 +40,20 @@ def test_residence_counts_a_credit_of_the_same_second(spark):
 def test_shared_infrastructure_skips_large_groups(spark):
     rows = [(i, 1, i // 2) for i in range(30)]
     acc = spark.createDataFrame(rows, "account int, device int, ip int")
-    got = joins.shared_infrastructure(acc, ["device", "ip"]).collect()
+    got = joins.shared_infrastructure(acc, ["device", "ip"], largest=25).collect()
     assert len(got) == 15 and {r.weight for r in got} == {2.5}
+    assert joins.shared_infrastructure(acc, ["device", "ip"]).count() == 30 * 29 // 2
+    groups = joins.shared_groups(acc, ["device", "ip"], least=26).collect()
+    assert {(r.column, r.value, r.n) for r in groups} == {("device", "1", 30)} and len(groups) == 30
+
+
+def test_common_payees_are_whole_without_a_limit(spark):
+    rows = [(payer, 50, 1.0, payer) for payer in range(4)] + [(0, 51, 1.0, 9), (1, 51, 1.0, 9)]
+    edges = tx(spark, rows)
+    got = {(r.a, r.b): r.common for r in joins.common_payees(edges).collect()}
+    assert got == {(a, b): 2 if (a, b) == (0, 1) else 1 for a in range(4) for b in range(a + 1, 4)}
+    asked = spark.createDataFrame([(0, 1), (2, 3), (0, 99)], "a bigint, b bigint")
+    assert {(r.a, r.b): r.common for r in joins.listed_common_payees(edges, asked).collect()} == {(0, 1): 2, (2, 3): 1, (0, 99): 0}
 
 
 def test_recruiter_ladder(spark):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.functions.scores import ACTIONS, EFFECT, HARM
+from sluice.functions.scores import ACTIONS, ALLOW, CEILING, EFFECT, HARM, LEAST_ACTIVITY
 from sluice.operators import interdict, replay, rollouts, trace
 
 TX = "txn_id bigint, src bigint, dst bigint, amount double, epoch bigint, channel string"
@@ -106,7 +106,24 @@ def test_frontier_limit_fills_lowest_ids_first(spark):
     cut = spark.createDataFrame([(1, 5)], "incident bigint, until bigint")
     full = {r.account for r in trace.frontier(start, tx, ex, cut).collect()}
     assert full == {0, *range(10, 16), 30}
-    assert {r.account for r in trace.frontier(start, tx, ex, cut, limit=4).collect()} == {0, 10, 11, 12}
+    few = trace.frontier(start, tx, ex, cut, limit=4).collect()
+    assert {r.account for r in few} == {0, 10, 11, 12} and all(r.truncated for r in few)
+    assert not any(r.truncated for r in trace.frontier(start, tx, ex, cut, limit=8).collect())
+
+
+def test_reach_follows_a_long_chain_to_its_end(spark):
+    tx = spark.createDataFrame([(i, i, i + 1, 9.0, 10 * i, "") for i in range(60)], TX)
+    start = spark.createDataFrame([(1, 0, 0, 7200)], "run bigint, account bigint, arrival bigint, until bigint")
+    assert {r.account: r.depth for r in trace.reach(start, tx).collect()} == {i: i for i in range(61)}
+
+
+def test_fold_keeps_large_ids(spark):
+    big = 2**60 + 1
+    debits = spark.createDataFrame([("r", 100, 7, 1, 8, 500.0, 1000.0, False, True, True, big, None, False, False, 5, 900), ("r", 200, big, 2, 9, 700.0, 500.0, False, False, False, None, None, None, None, None, 900)],
+                                   "run string, epoch bigint, src bigint, pos bigint, dst bigint, amount double, inflow double, to_exit boolean, stopped boolean, rerouted boolean, alt1 bigint, alt2 bigint, exit1 boolean, exit2 boolean, delay bigint, until bigint")
+    opening = spark.createDataFrame([("r", 7, 0, 1000.0, 1000.0)], "run string, account bigint, epoch bigint, held double, through double")
+    got = {(r.kind, r.src, r.dst) for r in trace.ordered_fold(trace.as_events(debits, opening)).collect()}
+    assert got == {("blocked", 7, 8), ("reroute_out", 7, big), ("reroute_in", 7, big), ("move", big, 9)}
 
 
 def toy_hits(spark):
@@ -150,6 +167,29 @@ def test_greedy_respects_budget_and_is_near_the_best_plan(spark):
         assert best <= bound[(k, budget)].bound + 1e-6
 
 
+def test_bound_holds_on_random_cases(spark):
+    """No plan of K steps, of any actions in any order, is worth more than the bound."""
+    pick, rows, facts = np.random.default_rng(5), [], {}
+    for case in range(12):
+        n = 2 if case == 0 else int(pick.integers(2, 4))
+        for a in range(n):
+            p, w = (0.8, 2.5 - a / 2) if case == 0 else (float(pick.uniform(0.3, 0.97)), float(pick.uniform(0.1, 3)))
+            facts[case, a] = p, w
+            for parcel in [(a, 100.0 - a)] if case == 0 else [(int(k), 50.0 + 10 * k) for k in pick.choice(5, 3, replace=False).tolist()]:
+                rows.append((case, a, 0, int(parcel[0]), int(pick.integers(11, 40)) if case else 400, p, w, 10, float(parcel[1]), 1.0))
+    df = spark.createDataFrame(rows, "incident bigint, account bigint, rollout int, parcel int, departs bigint, p double, weight double, told int, value double, out double")
+    hits = df.collect()
+    grid = [(1, 0.5), (2, 0.5), (3, 9.0)]
+    for r in interdict.coverage_bound(interdict.greedy_plans(df, 1, grid)).collect():
+        mine = [h for h in hits if h.incident == r.incident]
+        options = [(a, act) for (c, a), (p, _) in facts.items() if c == r.incident for act, floor in ALLOW if p >= floor]
+        cost = lambda a, act: (1 - min(facts[r.incident, a][0], CEILING)) * max(facts[r.incident, a][1], LEAST_ACTIVITY) * HARM[act]
+        for size in range(1, r.k + 1):
+            for group in permutations(options, size):
+                if len({a for a, _ in group}) == size and sum(cost(*g) for g in group) <= r.budget:
+                    assert plan_value(mine, group) <= r.bound + 1e-6
+
+
 def test_marginal_recovery_holds_the_others_fixed(spark):
     df = toy_hits(spark)
     index = df.select("incident", "account", "rollout", "parcel", "departs")

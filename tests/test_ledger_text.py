@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,10 +100,12 @@ def test_amount_rules(spark):
 
 def test_phrases(spark):
     say = lambda f, v: one(spark, text.phrase(F.lit(f), F.lit(float(v))))
-    assert say("dormancy_days", 1200) == "dormant for 1,200 days before it woke up"
-    assert say("structuring_band_share", 0.25) == "25% of its transfers sit just under 50,000"
-    assert say("hops_to_exit", 99) == "no path to a cash-out point"
-    assert say("median_residence_minutes", 90) == "holds money for 1.5 hours before forwarding"
+    for feature, (label, unit) in text.MEASURES.items():
+        form, factor = text.UNITS[unit]
+        assert say(feature, 2.26) == f"{label}: " + form % (2.26 * factor)
+    assert say("log_total_out", np.log(1235.2)) == "total outflow: 1234"
+    assert [say(f, v) for f in text.MARKS for v in (0, 1)] == [f"{label}: {w}" for label in text.MARKS.values() for w in ("no", "yes")]
+    assert say("other_thing", 2) == "other thing: 2.00"
 
 
 def test_mcnemar_and_bootstrap(spark):
