@@ -147,11 +147,11 @@ def context_rank(spark, sf):
 
 
 @query("community_numbers", "2.5.16", """
-WITH s AS (SELECT district AS community, count(*) AS size, min(account) AS first FROM c_accounts WHERE account % 3 <> 1 OR district < 5 GROUP BY district),
+WITH s AS (SELECT district AS community, count(*) AS size, min(account) AS first FROM c_accounts GROUP BY district),
 r AS (SELECT *, row_number() OVER (ORDER BY size DESC, first) AS pos FROM s)
 SELECT community, 'C' || lpad(CAST(pos AS VARCHAR), 2, '0') AS ring_id, size FROM r WHERE size >= 6""")
 def community_numbers(spark, sf):
-    members = A.accounts(spark, sf).where("account % 3 <> 1 OR district < 5").select("account", F.col("district").alias("community"))
+    members = A.accounts(spark, sf).select("account", F.col("district").alias("community"))
     return O.number_communities(members, 6)
 
 
@@ -191,11 +191,10 @@ def percentile_thresholds(spark, sf):
 
 
 @query("average_precision", "2.5.18", """
-WITH r AS (SELECT *, row_number() OVER w AS rank, count(*) FILTER (positive) OVER w AS tp FROM c_positive WHERE model <= 2 WINDOW w AS (PARTITION BY incident, model ORDER BY score DESC, account ROWS UNBOUNDED PRECEDING))
+WITH r AS (SELECT *, row_number() OVER w AS rank, count(*) FILTER (positive) OVER w AS tp FROM c_positive WINDOW w AS (PARTITION BY incident, model ORDER BY score DESC, account ROWS UNBOUNDED PRECEDING))
 SELECT incident, model, round(coalesce(avg(tp / rank::DOUBLE) FILTER (positive), 0), 6) AS average_precision FROM r GROUP BY ALL""")
 def average_precision(spark, sf):
-    s = A.labelled_scores(spark, sf).where("model <= 2")
-    return rounded(E.average_precision(s, ["incident", "model"]), 6, "average_precision")
+    return rounded(E.average_precision(A.labelled_scores(spark, sf), ["incident", "model"]), 6, "average_precision")
 
 
 @query("auc", "2.5.18", """

@@ -1,7 +1,8 @@
 """Pipeline stages shared by incident queries, written once per session and folder.
 
 Incident queries build on the same trace, candidates and rollouts. A stage is
-checkpointed in the shared folder on first use and read from there afterwards.
+checkpointed in the shared folder on first use and read from there afterwards;
+``forget`` drops all stages, as after new data in a folder.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ def stage(spark, sf, name, build):
     return _DONE[key]
 
 
+def forget() -> None:
+    _DONE.clear()
+
+
 def flows(spark, sf, until="complaint"):
     return stage(spark, sf, f"flows-{until}", lambda: T.taint_flows(A.incidents(spark, sf), A.transfers(spark, sf), A.exits(spark, sf), until))
 

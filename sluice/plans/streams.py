@@ -146,10 +146,10 @@ def stream_gate(spark, sf):
 
 
 @query("stream_feed", "2.10.7", """
-SELECT feed_id, txn_id, src, amount, epoch FROM (SELECT *, row_number() OVER (ORDER BY epoch, txn_id) AS feed_id FROM c_transfers WHERE amount >= 100000) WHERE feed_id > 50""")
+SELECT feed_id, txn_id, src, amount, epoch FROM (SELECT *, row_number() OVER (ORDER BY epoch, txn_id) AS feed_id FROM c_transfers) WHERE feed_id > 50""")
 def stream_feed(spark, sf):
     folder = T.work_folder(spark, "feed")
-    T.drain(T.transfer_stream(spark, sf).where("amount >= 100000").select("txn_id", "src", "amount", "epoch"), folder, each=Q.feed_writer(folder))
+    T.drain(T.transfer_stream(spark, sf).select("txn_id", "src", "amount", "epoch"), folder, each=Q.feed_writer(folder))
     return Q.read_feed(spark, folder, 50)
 
 
@@ -162,13 +162,13 @@ def stream_pulse(spark, sf):
 
 
 @query("stream_freeze_cascade", "2.10.9", """
-WITH RECURSIVE u AS (SELECT src AS a, dst AS b FROM c_transfers WHERE amount >= 150000 UNION SELECT dst, src FROM c_transfers WHERE amount >= 150000), sd AS (SELECT DISTINCT account FROM c_alerts WHERE severity = 'IMMINENT' AND account % 10 = 3),
+WITH RECURSIVE u AS (SELECT src AS a, dst AS b FROM c_transfers UNION SELECT dst, src FROM c_transfers), sd AS (SELECT DISTINCT account FROM c_alerts WHERE severity = 'IMMINENT'),
 r(seed, account, d) AS (SELECT account, account, 0 FROM sd UNION SELECT r.seed, u.b, r.d + 1 FROM r JOIN u ON u.a = r.account WHERE r.d < 4), m AS (SELECT seed, account, min(d) AS d FROM r WHERE seed <> account GROUP BY ALL)
 SELECT account, round(max(55.0 * power(0.62, d - 1)), 2) AS taint FROM m GROUP BY account""")
 def stream_freeze_cascade(spark, sf):
     folder = T.work_folder(spark, "freeze")
-    hot = T.event_stream(spark, sf).where("event_type = 'error' AND round(least(100D, value * 1.5D), 3) >= 95 AND user_id % 10 = 3").select(F.col("user_id").alias("account"))
-    T.drain(hot, folder, each=Q.freeze_writer(folder, A.transfers(spark, sf).where("amount >= 150000")))
+    hot = T.event_stream(spark, sf).where("event_type = 'error' AND round(least(100D, value * 1.5D), 3) >= 95").select(F.col("user_id").alias("account"))
+    T.drain(hot, folder, each=Q.freeze_writer(folder, A.transfers(spark, sf)))
     return spark.read.parquet(f"{folder}/taint").groupBy("account").agg(F.max("taint").alias("taint"))
 
 
@@ -212,10 +212,10 @@ def stream_scheduled_evaluation(spark, sf):
 
 
 @query("stream_campaign_freeze", "2.10.14", f"""
-WITH r AS (SELECT account FROM ({RECRUITERS}) WHERE account IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 200))
+WITH r AS (SELECT account FROM ({RECRUITERS}) WHERE account IN (SELECT user_id FROM events WHERE event_type = 'signup'))
 SELECT DISTINCT t.src AS recruiter, t.dst AS account FROM c_transfers t JOIN r ON r.account = t.src WHERE amount <= 10000 UNION SELECT account, account FROM r""")
 def stream_campaign_freeze(spark, sf):
     folder = T.work_folder(spark, "campaign")
-    named = T.event_stream(spark, sf).where("event_type = 'signup' AND value > 200").select(F.col("user_id").alias("account"))
+    named = T.event_stream(spark, sf).where("event_type = 'signup'").select(F.col("user_id").alias("account"))
     T.drain(named, folder, each=Q.campaign_writer(folder, A.transfers(spark, sf)))
     return spark.read.parquet(f"{folder}/frozen").select("recruiter", "account").distinct()
