@@ -15,15 +15,14 @@ CELLS = 4096
 
 
 def policy_summary(outcomes: DataFrame) -> DataFrame:
-    """Recovery, harm and latency per policy.
+    """Recovery and harm per policy, and latency where it was measured.
 
     ``outcomes``: incident, policy, amount, prevented, innocent, mules, frozen,
-    first_freeze, solve_ms.
+    first_freeze and, if known, solve_ms.
     """
     rows = outcomes.withColumn("rate", F.col("prevented") / F.greatest("amount", F.lit(1.0)))
     q = exact_quantiles(rows, ["policy"], "rate", {"median_recovery": 0.5, "p10": 0.1, "p90": 0.9})
     ff = exact_quantiles(rows, ["policy"], "first_freeze", {"median_first_freeze": 0.5})
-    ms = exact_quantiles(rows, ["policy"], "solve_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
     agg = rows.groupBy("policy").agg(
         F.count(F.lit(1)).alias("incidents"), F.avg("rate").alias("mean_recovery"),
         F.sum("prevented").alias("total_prevented"), F.sum("amount").alias("total_amount"),
@@ -31,7 +30,10 @@ def policy_summary(outcomes: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.sum("innocent"), F.sum("frozen")), F.lit(0.0)).alias("innocent_rate"),
         F.coalesce(F.try_divide(F.sum("mules"), F.sum("frozen")), F.lit(0.0)).alias("precision"),
     )
-    return agg.join(q, "policy").join(ff, "policy", "left").join(ms, "policy", "left")
+    out = agg.join(q, "policy").join(ff, "policy", "left")
+    if "solve_ms" not in outcomes.columns:
+        return out
+    return out.join(exact_quantiles(rows, ["policy"], "solve_ms", {"p50_ms": 0.5, "p95_ms": 0.95}), "policy", "left")
 
 
 def recovery_histogram(outcomes: DataFrame, buckets: int = 10) -> DataFrame:
