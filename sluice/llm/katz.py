@@ -7,9 +7,10 @@ followed by every word of the vocabulary keeps its rest); unigrams leave their r
 unseen words in the same way. A token is scored by its bigram, if that was seen,
 else by backoff weight times the unigram, and so on down.
 
-The ``vocabulary`` most frequent words are words of the bigram model; all others share
-one class, within which each has its own discounted unigram share. So all that tasks
-need to hold in common is bounded by the vocabulary; the counts themselves stay in
+The most frequent words, up to ``vocabulary`` of them and all of a count or none, are
+words of the bigram model; all others share one class, within which each has its own
+discounted unigram share. So all that tasks need to hold in common is bounded by the
+vocabulary; the counts themselves stay in
 tables. Counts, shares and scores cover every word of every text.
 
 Three jobs, each a plain Spark shuffle of packed arrays:
@@ -38,14 +39,16 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import crc, fresh, saved, size_hint, slices, words
+from .common import crc, fresh, release, saved, size_hint, slices, words
 
 VOCABULARY = 1 << 18
 GT = 5
 #: counts set aside for unseen followers of every history, so that none gets probability 0
 RESERVE = 0.1
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 5 << 20
+SLICE = 3 << 20
 RUN_ROWS = 1 << 14
 HELD = np.uint16(1 << 15)
 #: stands for the end of a text; no word hashes white space
@@ -118,7 +121,7 @@ class Unigrams:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             for at in range(0, part.num_rows, RUN_ROWS):
                 yield part.slice(at, RUN_ROWS)
 
@@ -141,7 +144,10 @@ def unigrams(texts: DataFrame, vocabulary: int = VOCABULARY) -> tuple[DataFrame,
     table = saved(counted, "katz-unigrams")
     few = [F.sum((F.col("n") == r).cast("long")) for r in range(1, GT + 2)]
     total, types, *n_r = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), *[F.coalesce(c, F.lit(0)) for c in few]).first()
-    top = table.orderBy(F.col("n").desc(), "word").limit(vocabulary).toPandas()
+    # the most frequent words: as many counts, from the top, as fit in whole
+    ranks = table.groupBy("n").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(W.orderBy(F.col("n").desc())))
+    least = ranks.where(F.col("upto") <= vocabulary).agg(F.min("n")).first()[0]
+    top = table.where(F.col("n") >= least if least else F.lit(False)).toPandas()
     keys, counts = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     ends = counts[keys == np.uint64(END)]
@@ -169,11 +175,12 @@ def _buckets(h: np.ndarray, w: np.ndarray, parts: np.ndarray, buckets: int) -> n
     return (_mix(h.astype(np.uint64) * np.uint64(1 << 22) + sub) % np.uint64(buckets)).astype(np.int64)
 
 
-def _split(bucket: np.ndarray, buckets: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _split(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(at[1:] > at[:-1]).tolist():
-        yield b, [a[order[at[b]:at[b + 1]]] for a in arrays]
+    some, heads = np.unique(bucket[order], return_index=True)
+    ends = np.append(heads[1:], len(order))[: len(heads)]
+    for b, x, y in zip(some.tolist(), heads.tolist(), ends.tolist(), strict=True):
+        yield b, [a[order[x:y]] for a in arrays]
 
 
 ROWS = ["bucket", "chunk", "kind", "n", "data"]
@@ -210,12 +217,12 @@ def _sender(shared, buckets: int) -> Callable:
             out = []
             keys, times = np.unique((before << 36) | (token << 16) | docs, return_counts=True)
             h, w, d = keys >> 36, (keys >> 16) & 0xFFFFF, (keys & 0xFFFF).astype(np.uint16)
-            for b, (x, y, z, t) in _split(_buckets(h, w, parts, buckets), buckets, h.astype(np.uint32), w.astype(np.uint32), d | flag[d], times.astype(np.uint32)):
+            for b, (x, y, z, t) in _split(_buckets(h, w, parts, buckets), h.astype(np.uint32), w.astype(np.uint32), d | flag[d], times.astype(np.uint32)):
                 out.append((b, chunk, "pair", len(x), pack(x, y, z, t)))
             odd = token == uni.unk
             keys, times = np.unique((local[odd] << 16) | docs[odd], return_counts=True)
             name, d = hashed[keys >> 16], (keys & 0xFFFF).astype(np.uint16)
-            for b, (x, z, t) in _split((_mix(name) % np.uint64(buckets)).astype(np.int64), buckets, name, d | flag[d], times.astype(np.uint32)):
+            for b, (x, z, t) in _split((_mix(name) % np.uint64(buckets)).astype(np.int64), name, d | flag[d], times.astype(np.uint32)):
                 out.append((b, chunk, "rare", len(x), pack(x, z, t)))
             known = ~odd
             n = run.num_rows
@@ -225,6 +232,7 @@ def _sender(shared, buckets: int) -> Callable:
                 np.bincount(docs, minlength=n).astype(np.int64), np.bincount(docs[known], minlength=n).astype(np.int64),
                 np.bincount(docs, weights=kept, minlength=n), -np.bincount(docs, weights=logs[before], minlength=n))))
             yield _rows(out)
+            release()
 
     return send
 
@@ -242,17 +250,33 @@ def _counter(shared) -> Callable:
         chunks = np.unique(group.column("chunk").to_numpy())
 
         def received(kind: str, *types):
-            rows = group.filter(pc.equal(group.column("kind"), kind))
-            lists = [unpack(d.as_buffer(), n, *types) for d, n in zip(rows.column("data"), rows.column("n").to_pylist(), strict=True)]
-            home = np.repeat(np.searchsorted(chunks, rows.column("chunk").to_numpy()), rows.column("n").to_numpy())
-            return [home, *[np.concatenate(x) for x in zip(*lists, strict=True)]] if lists else [home, *[np.zeros(0, t) for t in types]]
-
+            at = np.flatnonzero(pc.equal(group.column("kind"), kind).to_numpy())
+            sizes = group.column("n").to_numpy()[at]
+            home = np.repeat(np.searchsorted(chunks, group.column("chunk").to_numpy()[at]) * RUN_ROWS, sizes)
+            out, data, done = [np.empty(sizes.sum(), t) for t in types], group.column("data"), 0
+            for i, n in zip(at.tolist(), sizes.tolist(), strict=True):
+                for whole, part in zip(out, unpack(data[i].as_buffer(), n, *types), strict=True):
+                    whole[done:done + n] = part
+                done += n
+            return [home, *out]
+
+        # a spot is a text of a run, numbered among those of this bucket; arrays are kept few
+        # and narrow, as a bucket has a million entries
         home, h, w, d, times = received("pair", np.uint32, np.uint32, np.uint16, np.uint32)
+        r_home, name, r_d, r_times = received("rare", np.uint64, np.uint16, np.uint32)
+        home += d & ~HELD
+        r_home += r_d & ~HELD
+        places = np.unique(np.concatenate([home, r_home]))
+        spot, r_spot, size = np.searchsorted(places, home).astype(np.int32), np.searchsorted(places, r_home).astype(np.int32), len(places)
+        del home, r_home
         pair = (h.astype(np.int64) << 20) | w
+        del h, w
         order = np.argsort(pair, kind="stable")
-        home, pair, d, times = home[order], pair[order], d[order], times[order].astype(np.int64)
+        pair = pair[order]
+        spot, learned, times = spot[order], (d < HELD)[order], times[order]
+        del d, order
         heads = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
-        c = np.add.reduceat(times * (d < HELD), heads) if len(heads) else np.zeros(0, np.int64)
+        c = np.add.reduceat(times * learned, heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
         seen, types = c > 0, pair[heads]
         hs, place = np.unique(types[seen] >> 20, return_inverse=True)
         small = np.bincount(place * (GT + 2) + np.minimum(c[seen], GT + 1), minlength=len(hs) * (GT + 2)).reshape(-1, GT + 2)
@@ -261,41 +285,44 @@ def _counter(shared) -> Callable:
         if len(hs):
             out.append((bucket, 0, "history", len(hs), pack(hs, large, taken, *[small[:, r] for r in range(1, GT + 2)])))
             out.append((bucket, 0, "model", int(seen.sum()), pack(types[seen], c[seen])))
-        each = np.repeat(c, np.diff(np.r_[heads, len(pair)]))
-        h, w = pair >> 20, pair & 0xFFFFF
-        off = each == 0
-        value = np.where(off, np.log10(uni.probability[w]) + np.log10(uni.history[h] + RESERVE), np.where(each > GT, np.log10(np.maximum(each, 1)), 0.0))
-        doc = (d & ~HELD).astype(np.int64)
+        # per bigram: what each token adds, but for discounts and backoff weights
+        h, w = types >> 20, types & 0xFFFFF
+        value = np.where(c > GT, np.log10(np.maximum(c, 1)), 0.0)
+        value[~seen] = (np.log10(uni.probability[w]) + np.log10(uni.history[h] + RESERVE))[~seen]
+        each = np.repeat(np.arange(len(c), dtype=np.int32), np.diff(np.r_[heads, len(pair)]))
+        del pair, learned, h, w
 
-        r_home, name, r_d, r_times = received("rare", np.uint64, np.uint16, np.uint32)
         order = np.argsort(name, kind="stable")
-        r_home, name, r_d, r_times = r_home[order], name[order], r_d[order], r_times[order].astype(np.int64)
+        r_spot, name, r_d, r_times = r_spot[order], name[order], r_d[order], r_times[order]
         heads = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
-        rc = np.add.reduceat(r_times * (r_d < HELD), heads) if len(heads) else np.zeros(0, np.int64)
+        rc = np.add.reduceat(r_times * (r_d < HELD), heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
         rc = np.repeat(rc, np.diff(np.r_[heads, len(name)]))
         inside = np.log10(np.where(rc > 0, uni.share(rc) * uni.scale, uni.left) / uni.class_share)
-        r_doc = (r_d & ~HELD).astype(np.int64)
-
-        width = int(max(doc.max(initial=0), r_doc.max(initial=0))) + 1
-        size = width * len(chunks)
-        spot, r_spot = home * width + doc, r_home * width + r_doc
-        score = np.bincount(spot, weights=times * value, minlength=size) + np.bincount(r_spot, weights=r_times * inside, minlength=size)
+        score = np.bincount(spot, weights=times * value[each], minlength=size) + np.bincount(r_spot, weights=r_times * inside, minlength=size)
         base = np.bincount(r_spot, weights=r_times * uni.base(rc), minlength=size)
-        known = np.bincount(r_spot, weights=r_times * (rc > 0), minlength=size)
-        low = [np.bincount(spot[each == r], weights=times[each == r], minlength=size) for r in range(1, GT + 1)]
-        some = np.zeros(size, bool)
-        some[spot] = some[r_spot] = True
-        bounds = np.searchsorted(home[off], np.arange(len(chunks) + 1), sorter=(lone := np.argsort(home[off], kind="stable")))
-        o_doc, o_h, o_times = (x[off][lone] for x in (doc, h, times))
+        known = np.bincount(r_spot, weights=r_times * (rc > 0), minlength=size).astype(np.uint32)
+        low = []
+        for r in range(1, GT + 1):
+            on = (c == r)[each]
+            low.append(np.bincount(spot[on], weights=times[on], minlength=size).astype(np.uint32))
+        del r_spot, r_times, rc
+        off = np.flatnonzero(~seen[each])
+        off = off[np.argsort(spot[off], kind="stable")]
+        o_spot, o_h, o_times = spot[off], types[each[off]] >> 20, times[off]
+        del spot, times, each, off
+        starts = np.searchsorted(places, np.arange(len(chunks) + 1) * RUN_ROWS)
+        bounds = np.searchsorted(o_spot, starts)
+        doc = (places % RUN_ROWS).astype(np.uint16)
         for i, chunk in enumerate(chunks.tolist()):
-            at = np.flatnonzero(some[i * width:(i + 1) * width])
-            if len(at):
-                x = i * width + at
-                out.append((bucket, chunk, "part", len(at), pack(at.astype(np.uint16), score[x], base[x], known[x].astype(np.uint32), *[m[x].astype(np.uint32) for m in low])))
+            x = slice(starts[i], starts[i + 1])
+            if x.stop > x.start:
+                out.append((bucket, chunk, "part", int(x.stop - x.start), pack(doc[x], score[x], base[x], known[x], *[m[x] for m in low])))
             a, b = bounds[i], bounds[i + 1]
             if b > a:
-                out.append((bucket, chunk, "off", int(b - a), pack(o_doc[a:b].astype(np.uint16), o_h[a:b].astype(np.uint32), o_times[a:b].astype(np.uint32))))
-        return pa.Table.from_batches([_rows(out)])
+                out.append((bucket, chunk, "off", int(b - a), pack(doc[o_spot[a:b]], o_h[a:b].astype(np.uint32), o_times[a:b].astype(np.uint32))))
+        rows = pa.Table.from_batches([_rows(out)])
+        release()
+        return rows
 
     return count
 
@@ -309,15 +336,24 @@ class Weights:
     total: int
 
 
-def weights(histories: list, uni: Unigrams) -> Weights:
-    """Backoff weight of each history, from the buckets' parts; their number is bounded by the vocabulary and the buckets."""
+HISTORY = ["h", "large", "taken", *[f"n{r}" for r in range(1, GT + 2)]]
+
+
+def _histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            columns = unpack(data.as_buffer(), n, np.int64, np.float64, np.float64, *[np.int64] * (GT + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=HISTORY)
+
+
+def weights(table: DataFrame, uni: Unigrams) -> Weights:
+    """Backoff weight of each history: the buckets' parts are summed by Spark, one row per word of the vocabulary comes back."""
     size = len(uni.history)
+    parts = table.where("kind = 'history'").select("n", "data").mapInArrow(_histories, "h bigint, large double, taken double, " + ", ".join(f"{c} bigint" for c in HISTORY[3:]))
+    rows = parts.groupBy("h").agg(*[F.sum(c).alias(c) for c in HISTORY[1:]]).toPandas()
     large, taken, small = np.zeros(size), np.zeros(size), np.zeros((size, GT + 2))
-    for n, data in histories:
-        hs, a, b, *t = unpack(data, n, np.int64, np.float64, np.float64, *[np.int64] * (GT + 1))
-        np.add.at(large, hs, a)
-        np.add.at(taken, hs, b)
-        np.add.at(small, hs, np.column_stack([np.zeros(n), *t]))
+    at = rows["h"].to_numpy(np.int64)
+    large[at], taken[at], small[at, 1:] = rows["large"], rows["taken"], rows[HISTORY[3:]].to_numpy(np.float64)
     d = discounts([int(x) for x in small.sum(axis=0)[1:]])
     used = large + small[:, 1:GT + 1] @ (d * np.arange(1, GT + 1))
     rest = 1 - used / (uni.history + RESERVE)
@@ -381,7 +417,6 @@ def score(docs: DataFrame, held: Column | None = None, vocabulary: int = VOCABUL
     path = fresh(spark, "katz-model")
     sent.groupBy("bucket").applyInArrow(_counter(shared), ROW_SCHEMA).write.partitionBy("kind").parquet(path)
     table = spark.read.schema(ROW_SCHEMA).parquet(path)
-    histories = [(r["n"], r["data"]) for r in table.where("kind = 'history'").select("n", "data").toLocalIterator()]
-    final = spark.sparkContext.broadcast(weights(histories, uni))
+    final = spark.sparkContext.broadcast(weights(table, uni))
     parts = table.where("kind IN ('text', 'part', 'off')").select("chunk", "bucket", "kind", "n", "data")
     return parts.groupBy("chunk").applyInArrow(_finisher(final), SCORE_SCHEMA)

@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 
 import pytest
-import xxhash
 
 from sluice.llm import katz
 
@@ -23,12 +22,8 @@ class Direct:
         self.n, self.types = sum(uni.values()), len(uni)
         self.uni = uni
 
-        def name(t):
-            h = katz.END if t == END else xxhash.xxh64_intdigest(t.encode())
-            return h - 2**64 if h >= 2**63 else h
-
-        top = sorted(uni, key=lambda t: (-uni[t], name(t)))[:vocabulary]
-        self.words = set(top)
+        fits = [n for n in set(uni.values()) if sum(c >= n for c in uni.values()) <= vocabulary]
+        self.words = {t for t, c in uni.items() if c >= min(fits, default=math.inf)}
         self.d1 = katz.discounts([sum(c == r for c in uni.values()) for r in range(1, katz.GT + 2)])
         self.left = 1 - sum(self.disc(self.d1, c) for c in uni.values()) / self.n if self.n else 1.0
         scale = 1.0
