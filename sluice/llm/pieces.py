@@ -35,6 +35,8 @@ NONE = np.int64(1) << 62
 #: segments of more characters are merged alone, with a heap
 LONG = 64
 TOGETHER = 1 << 12
+#: bytes of text that are encoded at once
+SLICE = 4 << 20
 #: a run of spaces with what follows, a line end, or a start without a space
 SEGMENT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
@@ -312,7 +314,7 @@ def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(shared.value, seed, drop)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = pc.fill_null(part.column(1).cast(pa.string()), "")
                 keys = pc.fill_null(part.column(0), 0).to_numpy().astype(np.int64).view(np.uint64)
                 ids = segmenter.encode(texts, _spread(keys + np.uint64(seed % 2**64)), variants)
