@@ -118,7 +118,7 @@ def fingerprints(docs: DataFrame, split: int = SPLIT) -> DataFrame:
 
 def shared_chunks(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """Texts whose fingerprint occurs more than once, cut into chunks; ``__first`` marks one text of each group."""
-    tops = prints.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"), F.max(F.struct("doc_id", "text_sha256")).alias("__top")).where("__n > 1")
+    tops = saved(prints.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"), F.max(F.struct("doc_id", "text_sha256")).alias("__top")).where("__n > 1"), "dedup-tops")
     shared = prints.join(tops, KEY).select("doc_id", "text_sha256", *KEY, (F.struct("doc_id", "text_sha256").eqNullSafe(F.col("__top"))).alias("__first")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).cast("binary").alias("__raw"))
     text = text.withColumn("__sha", F.sha2("__raw", 256))
@@ -147,7 +147,8 @@ def classes(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     odd = saved(_differing(shared_chunks(docs, prints)), "dedup-collisions")
     rows = prints.join(odd, (F.col("text_sha256") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
     rows = rows.withColumn("__own", F.when(F.col("__odd"), F.col("text_sha256")).otherwise(F.lit(""))).drop("__d", "__t", "__odd")
-    groups = rows.groupBy(*KEY, "__own").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "__uid")).alias("__top"))
+    # written, so that the join has a plain exchange on either side and a hot group's rows are split
+    groups = saved(rows.groupBy(*KEY, "__own").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "__uid")).alias("__top")), "dedup-groups")
     return rows.join(groups, [*KEY, "__own"]).select(
         "doc_id", F.col("__top.doc_id").alias("keep_id"), "group_size", (F.col("__uid") == F.col("__top.__uid")).alias("kept"), "text_sha256", "n_bytes",
     )
@@ -158,6 +159,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keep = classes(docs).where("kept").select(F.col("doc_id").alias("__k_id"), F.col("text_sha256").alias("__k_sha"))
     rows = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     rows = rows.join(keep, (F.col("__sha") == F.col("__k_sha")) & F.col("doc_id").eqNullSafe(F.col("__k_id")), "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind] or [F.lit(0)]
     place = F.row_number().over(W.partitionBy("__sha", "doc_id").orderBy(*others))
     return rows.withColumn("__place", place).where("__place = 1").select(*docs.columns)

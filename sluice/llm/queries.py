@@ -175,7 +175,7 @@ def token_counts(spark, folder):
         "doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"),
         *[token_rollup.tokens(F.col("text"), pattern).alias(version) for version, pattern in token_rollup.VERSIONS.items()],
     ), "token-counts")
-    firsts = counted.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    firsts = saved(counted.groupBy("sha").agg(F.min("doc_id").alias("first")), "token-firsts")
     marked = saved(counted.join(firsts, "sha").withColumn("copy", F.col("doc_id") != F.col("first")), "token-copies")
 
     def change(frame: DataFrame, version: str, extra: int = 0, delete: bool = False) -> DataFrame:

@@ -133,7 +133,6 @@ def links(prints: DataFrame, radius: int = RADIUS, refs: np.ndarray | None = Non
         part = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in (a, b)]
         keys.append(F.shiftleft(F.lit(n).cast("long"), 32) + F.shiftleft(part[0], 13) + part[1])
     rows = prints.select("fp").distinct().select(F.explode(F.array(*keys)).alias("key"), "fp")
-    # a fingerprint alone under its key has no partner there
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(pivots() if refs is None else refs, radius), "u bigint, v bigint")
 
 
@@ -149,7 +148,8 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = saved(components(links(first, radius)), "simhash-roots")
     rooted = first.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
     names = rooted.groupBy("root").agg(F.min("__first").alias("component_id"))
-    named = rooted.join(names, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
+    # written, so that the join has a plain exchange on either side and a hot fingerprint's rows are split
+    named = saved(rooted.join(names, "root").select(F.col("fp").alias("__fp"), "root", "component_id"), "simhash-names")
     return prints.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id", "root")
 
 
