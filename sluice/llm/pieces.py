@@ -3,10 +3,12 @@
 Text is cut into segments that no merge can cross (a run of spaces with the word behind
 it, a line end). Each distinct segment is merged as the model's agenda does: of all
 adjacent symbols whose joint piece exists, the pair with the best score, leftmost first,
-merges next. A keyed hash of (seed, variant, segment, span) decides whether a candidate
-takes part, so segmentations vary by occurrence, agree on every run, and always decode
-to the same text. All segments of a run of texts pop their agendas together in numpy,
-one merge each per round. Rate 0 gives the model's own encoding.
+merges next. A keyed hash of (seed, doc_id, place, segment, span) decides whether a candidate
+takes part, so each occurrence has its own segmentation, agrees on every run, and always
+decodes to the same text. Occurrences of a segment that drop the same spans, of all that
+could ever merge, have the same agenda and share its result. All segments of a run of
+texts pop their agendas together in numpy, one merge each per round. Rate 0 gives the
+model's own encoding.
 """
 
 from __future__ import annotations
@@ -28,13 +30,18 @@ from .common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20
 DROP = 0.1
-VARIANTS = 3
 MODEL_BYTES = 32 << 20
 SPACE = "▁"
 NONE = np.int64(1) << 62
 #: segments of more characters are merged alone, with a heap
 LONG = 64
 TOGETHER = 1 << 12
+#: occurrences whose coins are drawn at once
+DRAWN = 1 << 15
+#: segments of more spans that could merge share nothing
+SPANS = 63
+#: bits of the table of pieces' hashes
+MARKS = 22
 #: bytes of text that are encoded at once
 SLICE = 4 << 20
 #: a run of spaces with what follows, a line end, or a start without a space
@@ -81,6 +88,14 @@ class Segmenter:
                 if a is not None and b is not None:
                     joins[a * size + b] = i
         self.size = size
+        # hashes of all that a merge can give; a false hit only keeps results from being shared
+        self.longest = max((len(pieces[i]) for i in joins.values()), default=0)
+        self.marks = np.zeros(1 << MARKS, bool)
+        for i in set(joins.values()):
+            h = np.zeros(1, np.uint64)
+            for c in pieces[i].replace(SPACE, " "):
+                h = self._rolled(h, np.array([ord(c)], np.uint64))
+            self.marks[self._mark(h)] = True
         # open addressing: a key's slot is the first free one from its hash on
         self.slots = 1 << max(4, (4 * len(joins)).bit_length())
         self.join_keys = np.full(self.slots, -1, np.int64)
@@ -119,6 +134,65 @@ class Segmenter:
     def _home(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.slots.bit_length() + 1)).astype(np.int64)
 
+    @staticmethod
+    def _rolled(h: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return (h + point + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+    @staticmethod
+    def _mark(h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - MARKS)
+
+    def _spans(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, start and end of every span that a merge could give, whatever was dropped before, by owner."""
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        start = np.arange(len(points)) - (np.cumsum(lengths) - lengths)[owner]
+        room = lengths[owner] - start
+        points = points.astype(np.uint64)
+        at, h, found = np.arange(len(points)), np.zeros(len(points), np.uint64), []
+        for n in range(1, self.longest + 1):
+            on = room[at] >= n
+            at, h = at[on], h[on]
+            if not len(at):
+                break
+            h = self._rolled(h, points[at + n - 1])
+            if n > 1:
+                hit = at[self.marks[self._mark(h)]]
+                found.append((owner[hit], start[hit], start[hit] + n))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        own, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(own, kind="stable")
+        return own[order], a[order], b[order]
+
+    def _shared(self, texts: list[str], code: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences to merge, and for each occurrence which of them has its result.
+
+        ``code`` gives the text of each occurrence and ``named`` its keyed name.
+        """
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        own, start, end = self._spans(points, np.array([len(t) for t in texts], np.int64))
+        count = np.bincount(own, minlength=len(texts))
+        head = np.cumsum(count) - count
+        dropped = np.zeros(len(code), np.uint64)
+        few = np.flatnonzero(count[code] <= SPANS)
+        for x in range(0, len(few), DRAWN):
+            some = few[x:x + DRAWN]
+            n = count[code[some]]
+            first = np.cumsum(n) - n
+            bit = np.arange(n.sum()) - np.repeat(first, n)
+            span = bit + np.repeat(head[code[some]], n)
+            out = np.flatnonzero(self._coins(np.repeat(named[some], n), start[span], end[span]) < self.bar)
+            who = np.repeat(np.arange(len(some)), n)[out]
+            # bits are distinct, so their sum is the set of them
+            np.add.at(dropped, some[who], np.uint64(1) << bit[out].astype(np.uint64))
+        many = np.flatnonzero(count[code] > SPANS)
+        dropped[many] = np.arange(len(many)).astype(np.uint64)
+        order = np.lexsort((dropped, code))
+        new = np.r_[True, (code[order][1:] != code[order][:-1]) | (dropped[order][1:] != dropped[order][:-1])] if len(code) else np.zeros(0, bool)
+        place = np.empty(len(code), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return order[new], place
+
     def _coins(self, named: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The keyed hash of each candidate span."""
         return _spread(named + start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + end.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -198,19 +272,24 @@ class Segmenter:
                 push(before[i], i)
         return left
 
+    def _named(self, digests: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        return _spread(digests ^ (variants.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+    def _digests(self, texts: list[str]) -> np.ndarray:
+        digest = xxhash.xxh64_intdigest
+        return np.array([digest(t, self.seed) for t in texts], np.uint64)
+
     def segments(self, texts: list[str], variants: np.ndarray) -> pa.Array:
-        """Piece ids of each segment as a list array; ``variants`` picks the dropped candidates."""
+        """Piece ids of each segment as a list array; ``variants`` (any 64-bit keys) pick the dropped candidates."""
+        return self._merged(texts, self._named(self._digests(texts), variants) if self.drop > 0 else np.zeros(len(texts), np.uint64))
+
+    def _merged(self, texts: list[str], named: np.ndarray) -> pa.Array:
         if not len(texts):
             return pa.array([], pa.list_(pa.int32()))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lengths = np.array([len(t) for t in texts], np.int64)
         head = np.r_[0, np.cumsum(lengths)]
         symbol = self.char[points]
-        named = np.zeros(len(texts), np.uint64)
-        if self.drop > 0:
-            digest = xxhash.xxh64_intdigest
-            named = np.array([digest(t, self.seed) for t in texts], np.uint64)
-            named = _spread(named ^ (variants.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         left = np.ones(len(symbol), bool)
         long = lengths > LONG
         for i in np.flatnonzero(long).tolist():
@@ -250,21 +329,26 @@ class Segmenter:
         before = np.r_[0, np.cumsum(full)]
         return flat.filter(pa.array(full)), before[ends - ends[0]]
 
-    def encode(self, texts: pa.Array, keys: np.ndarray, variants: int = VARIANTS) -> pa.Array:
-        """Ids of each text; ``keys`` (uint64) choose the variant of each occurrence. An empty text has none."""
+    def encode(self, texts: pa.Array, keys: np.ndarray, variants: int | None = None) -> pa.Array:
+        """Ids of each text; ``keys`` (uint64) and the place key the dropout of each occurrence. An empty text has none.
+
+        With ``variants``, a segment has so many segmentations at most.
+        """
         texts = pc.fill_null(texts, "")
         flat, offsets = self.cut(texts)
         blank = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         coded = flat.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        turn = np.zeros(len(code), np.int64)
+        names = coded.dictionary.to_pylist()
         if self.drop > 0:
             spot = np.arange(len(code)) - offsets[owner]
-            turn = (_spread(keys[owner] + spot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(variants)).astype(np.int64)
-        used, place = np.unique(code * variants + turn, return_inverse=True)
-        names = coded.dictionary.take(pa.array(used // variants)).to_pylist()
-        lists = self.segments(names, used % variants)
+            turn = _spread(keys[owner] + spot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            named = self._named(self._digests(names)[code], turn if variants is None else turn % np.uint64(variants))
+            used, place = self._shared(names, code, named)
+            lists = self._merged([names[i] for i in code[used].tolist()], named[used])
+        else:
+            lists, place = self._merged(names, np.zeros(len(names), np.uint64)), code
         taken = lists.take(pa.array(place))
         inner = taken.offsets.to_numpy().astype(np.int64) - (taken.offsets[0].as_py() if len(taken) else 0)
         ids, bounds = taken.flatten(), inner[offsets]
@@ -298,7 +382,7 @@ def _model_bytes(path: str) -> bytes:
     return model
 
 
-def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop: float = DROP, variants: int = VARIANTS, keep: tuple[str, ...] = ()) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop: float = DROP, variants: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids, n_chars and lossless of every row, and the columns in ``keep``.
 
     The model file is read by the driver and broadcast; its size is checked. ``lossless``

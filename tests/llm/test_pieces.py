@@ -90,3 +90,27 @@ def test_model_size_is_checked(monkeypatch):
     monkeypatch.setattr(pieces, "MODEL_BYTES", 1000)
     with pytest.raises(ValueError):
         pieces._model_bytes(pieces.MODEL)
+
+
+def test_each_occurrence_has_its_own_dropout(model, monkeypatch):
+    seg = pieces.Segmenter(model, seed=7, drop=0.1)
+    words = [" transformation", " the", " abte", " é日", " ▁x", " " + "internationalisation" * 2]
+    texts = pa.array(["".join(words)[1:] + "\n" + "".join(words[:3])] * 60)
+    keys = pieces._spread(np.arange(60).astype(np.uint64))
+    found = seg.encode(texts, keys)
+    parts = [*words, "\n", *words[:3]]
+    want = []
+    for key in keys:
+        turn = pieces._spread(key + np.arange(len(parts)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        want.append([i for part, t in zip(parts, turn, strict=True) for i in naive(seg, part, t)])
+    assert found.to_pylist() == want
+    monkeypatch.setattr(pieces, "SPANS", -1)  # nothing is shared
+    assert seg.encode(texts, keys) == found
+    monkeypatch.setattr(pieces, "DRAWN", 7)
+    monkeypatch.setattr(pieces, "SPANS", 63)
+    assert seg.encode(texts, keys) == found
+
+
+def test_a_frequent_word_has_many_segmentations(model):
+    ids = pieces.Segmenter(model).encode(pa.array(["transformation"] * 2000), np.arange(2000).astype(np.uint64)).to_pylist()
+    assert len(set(map(tuple, ids))) > 20
