@@ -20,7 +20,7 @@ from . import stages as S
 from .aggregates import rounded
 from .registry import query
 
-N_ROLLOUTS, N_PARCELS = 20, 24
+N_ROLLOUTS, N_PARCELS = M.ROLLOUTS, M.PARCELS
 BUDGETS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 DELAYS = (5, 10, 15, 30, 45, 60, 90, 120, 240, 360)
 K = 25
@@ -33,28 +33,37 @@ def visible(spark, sf):
     return S.stage(spark, sf, "visible", lambda: visible_edges(A.transfers(spark, sf), S.frontier(spark, sf), inc))
 
 
+def scored(inc, pool, seen, acc):
+    """Candidates with a stand-in score, their activity weight and the complaint minute.
+
+    ``inc``: incident, complaint, delay and the case the score depends on.
+    """
+    told = inc.select("incident", "complaint", F.col("delay").alias("told"), "case")
+    flows = W.flow_aggregate(seen, ["incident"]).select("incident", "account", "in_degree", "log_total_out")
+    ages = pool.join(told, "incident").join(acc.select("account", "open_day"), "account").select(
+        "incident", "account", "told", "case", (F.floor(F.col("complaint") / 86400) - F.col("open_day")).cast("double").alias("account_age_days"))
+    m = ages.join(flows, ["incident", "account"], "left").fillna(0, ["in_degree", "log_total_out"])
+    w = W.activity_weight(m, ["incident"])
+    mix = F.col("account") * 7919 + F.col("case") * 104729
+    return m.select("incident", "account", "told", "case").join(w, ["incident", "account"]).select(
+        "incident", "account", ((mix % 499) / 498.0).alias("p"), F.col("activity_weight").alias("weight"), "told")
+
+
 def suspects(spark, sf):
-    """Candidates with a stand-in score, their activity weight and the complaint minute."""
-    def build():
-        pool, acc = S.frontier(spark, sf), A.accounts(spark, sf)
-        inc = A.incidents(spark, sf).select("incident", "complaint", F.col("delay").alias("told"))
-        flows = W.flow_aggregate(visible(spark, sf), ["incident"]).select("incident", "account", "in_degree", "log_total_out")
-        ages = pool.join(inc, "incident").join(acc.select("account", "open_day"), "account").select(
-            "incident", "account", "told", (F.floor(F.col("complaint") / 86400) - F.col("open_day")).cast("double").alias("account_age_days"))
-        m = ages.join(flows, ["incident", "account"], "left").fillna(0, ["in_degree", "log_total_out"])
-        w = W.activity_weight(m, ["incident"])
-        mix = F.col("account") * 7919 + F.col("incident") * 104729
-        return m.select("incident", "account", "told").join(w, ["incident", "account"]).select(
-            "incident", "account", ((mix % 499) / 498.0).alias("p"), F.col("activity_weight").alias("weight"), "told")
-    return S.stage(spark, sf, "suspects", build)
+    inc = A.incidents(spark, sf).withColumn("case", F.col("incident"))
+    return S.stage(spark, sf, "suspects", lambda: scored(inc, S.frontier(spark, sf), visible(spark, sf), A.accounts(spark, sf)))
+
+
+def rollouts(inc, touched, pool, seen, exits):
+    """Hops and ends of the registered number of rollouts."""
+    facts, cells = M.behaviour_tables(seen, exits, pool)
+    told = inc.select("incident", F.col("delay").alias("complaint_minute"))
+    return M.run_rollouts(touched.join(told, "incident"), cut(facts), cut(cells), N_ROLLOUTS, N_PARCELS)
 
 
 def rolled(spark, sf):
     def hops_and_ends():
-        pool = S.frontier(spark, sf)
-        facts, cells = M.behaviour_tables(visible(spark, sf), A.exits(spark, sf), pool)
-        told = A.incidents(spark, sf).select("incident", F.col("delay").alias("complaint_minute"))
-        return M.run_rollouts(S.touched(spark, sf).join(told, "incident"), cut(facts), cut(cells), N_ROLLOUTS, N_PARCELS)
+        return rollouts(A.incidents(spark, sf), S.touched(spark, sf), S.frontier(spark, sf), visible(spark, sf), A.exits(spark, sf))
     pair = []
 
     def part(i):
@@ -284,22 +293,31 @@ def delayed(spark, sf):
 
 @query("delay_sweep", "2.9.58")
 def delay_sweep(spark, sf):
-    """Prevented share at each delay of the grid for freezing the named account.
+    """Prevented share at each delay of the grid for freezing the named account and for the greedy plan.
 
     The traced, planned and replayed incidents are all (incident, delay) pairs in one job.
     """
     def build():
         t, ex = A.transfers(spark, sf), A.exits(spark, sf)
-        inc = cut(delayed(spark, sf).where("complaint <= horizon"))
+        inc = cut(delayed(spark, sf).where("complaint <= horizon").withColumn("case", F.floor(F.col("incident") / 1000)))
         flows = cut(T.taint_flows(inc, t, ex))
         held = cut(T.taint_accounts(inc, flows))
         left = flows.where("to_exit").groupBy("incident").agg(F.sum("tainted").alias("exited"))
         named = I.named_account(flows, inc, ex).join(inc.select("incident", "delay"), "incident")
-        runs = inc.select("incident", F.explode(F.array(F.lit("none"), F.lit("named_account_only"))).alias("policy")).select(
-            F.concat_ws("|", F.col("incident").cast("string"), "policy").alias("run"), "incident", "policy", F.lit(0.0).alias("reroute"))
+        until = inc.select("incident", F.col("complaint").alias("until"))
+        pool = cut(T.frontier(held, t, ex, until, T.CANDIDATE_HOPS))
+        seen = cut(visible_edges(t, pool, until))
+        hops, ends = rollouts(inc, held, pool, seen, ex)
+        hits = I.stakes(cut(M.blocking_index(hops)), cut(ends), scored(inc, pool, seen, A.accounts(spark, sf)))
+        best = I.plan_steps(cut(I.greedy_plans(hits, N_ROLLOUTS, [(K, BUDGET)])))
+        policies = ("none", "named_account_only", "greedy_frontier")
+        run = lambda policy: F.concat_ws("|", F.col("incident").cast("string"), policy).alias("run")
+        runs = inc.select("incident", F.explode(F.array(*[F.lit(p) for p in policies])).alias("policy")).select(
+            run("policy"), "incident", "policy", F.lit(0.0).alias("reroute"))
         freezes = named.select(
-            F.concat_ws("|", F.col("incident").cast("string"), F.lit("named_account_only")).alias("run"), "incident", "account",
+            run(F.lit("named_account_only")), "incident", "account",
             I.issue_minute(F.lit(0), F.col("delay")).alias("issue_at_minute"), F.lit(I.EFFECT["full_freeze"]).alias("effectiveness"))
+        freezes = freezes.unionByName(best.select(run(F.lit("greedy_frontier")), "incident", "account", "issue_at_minute", "effectiveness"))
         moves = cut(Y.replay_moves(inc, held, t, ex, freezes, runs))
         done = Y.prevented(Y.replay_results(inc, held, left, moves, freezes, runs, ex, A.labels(spark, sf)))
         rows = done.join(inc.select("incident", "delay"), "incident")

@@ -257,9 +257,9 @@ def proxy_score(spark, sf):
 
 
 def training_rows(spark, sf):
-    """Candidates of every incident with their non-iterative features and truth."""
+    """Candidates of every incident with their features and truth."""
     def build():
-        m = X.build_matrix(A.incidents(spark, sf), A.candidates(spark, sf), A.transfers(spark, sf), A.accounts(spark, sf), A.exits(spark, sf), graph=False)
+        m = X.build_matrix(A.incidents(spark, sf), A.candidates(spark, sf), A.transfers(spark, sf), A.accounts(spark, sf), A.exits(spark, sf))
         truth = A.labels(spark, sf).select("account", F.col("is_mule").cast("double").alias("label"))
         return m.join(truth, "account", "left").fillna(0.0, ["label"])
     return stages.stage(spark, sf, "training", build)
@@ -272,7 +272,7 @@ def plain_features(rows):
 @query("tree_detector", "2.9.40")
 def tree_detector(spark, sf):
     rows = training_rows(spark, sf)
-    score = D.train_trees(rows, plain_features(rows), trees=10, depth=4)
+    score = D.train_trees(rows, plain_features(rows))
     return score(rows)
 
 
