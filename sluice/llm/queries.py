@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, language, licenses, maxscore, mixing, pieces, polyhash, reputation, simhash, token_rollup
+from . import filter_audit, katz, language, licenses, maxscore, mixing, pieces, polyhash, reputation, simhash, token_rollup
 from .common import fresh, saved, table
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,39 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def polynomial_dedup(spark, folder):
     return polyhash.classes(documents(spark, folder, "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op13_filter_audit", sql="""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (
+    SELECT doc_id, part,
+           CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+           + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+           + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+           + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+           + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS failed
+    FROM d),
+m AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+    SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM f LEFT JOIN m USING (doc_id) GROUP BY part, failed),
+x(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM x a, x b, x c, x d, x e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s AS (
+    SELECT filter_order, step, max(own.b) AS own, coalesce(sum(past.b), 0) AS past
+    FROM o CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step) k JOIN x own ON own.l = substr(filter_order, step, 1)
+    LEFT JOIN x past ON contains(substr(filter_order, 1, step - 1), past.l) GROUP BY filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(sum(n) FILTER (failed & CAST(own + past AS INTEGER) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (failed & own <> 0 AND failed & CAST(past AS INTEGER) = 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (failed & own <> 0 AND failed & CAST(past AS INTEGER) <> 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (failed = own), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (failed & own <> 0 AND failed & CAST(past AS INTEGER) = 0), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (failed & own <> 0 AND failed & CAST(past AS INTEGER) = 0), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * 120 // greatest(bit_count(failed), 1)) FILTER (failed & own <> 0), 0) AS BIGINT) AS shapley
+FROM c CROSS JOIN s GROUP BY part, filter_order, step""")
+def audit_filters(spark, folder):
+    return filter_audit.audit(documents(spark, folder, "text", "source"), table(spark, folder, "labels"))
