@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, katz, language, licenses, maxscore, mixing, pieces, polyhash, reputation, simhash, token_rollup
+from . import filter_audit, katz, language, licenses, maxscore, mixing, pieces, pii, polyhash, reputation, simhash, token_rollup
 from .common import fresh, saved, table
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,6 +202,21 @@ def polynomial_dedup(spark, folder):
     return polyhash.classes(documents(spark, folder, "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op12_pii_scan")
+def pii_scan(spark, folder):
+    found = pii.detect(documents(spark, folder, "text"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(kind) for kind in pii.BASE], F.sha2(listed(F.filter("spans", lambda s: s["base"])).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"), F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("top_score"))
+
+
 @query("op13_filter_audit", sql="""
 WITH d AS (
     SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -67,7 +67,7 @@ def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = S
         yield joined()
 
 
-def cut(text: str | bytes, limit: int = PIECE_BYTES) -> list[bytes]:
+def cut(text: str | bytes, limit: int) -> list[bytes]:
     """A long text in pieces that end before white space, so that every word stays whole."""
     data = text.encode() if isinstance(text, str) else text
     if len(data) <= limit:
@@ -90,8 +90,9 @@ def coded(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     Returns one code per word, the words' offsets per text (one more than texts) and the
     distinct words. Long texts are cut before they are split.
     """
-    if len(text) == 1 and pc.binary_length(text)[0].as_py() > PIECE_BYTES:
-        parts = [coded(pa.array([p.decode()], pa.string())) for p in cut(text[0].as_buffer().to_pybytes())]
+    pieces = cut(text[0].as_buffer().to_pybytes(), PIECE_BYTES) if len(text) == 1 and pc.binary_length(text)[0].as_py() > PIECE_BYTES else []
+    if len(pieces) > 1:
+        parts = [coded(pa.array([p.decode()], pa.string())) for p in pieces]
         whole = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(c, pa.int32()), d) for c, _, d in parts]).unify_dictionaries()
         codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in whole.chunks])
         return codes, np.array([0, len(codes)]), whole.chunks[-1].dictionary
