@@ -37,10 +37,10 @@ MARKS[list(b"#$%&*|")] = True
 CAPITALS = np.zeros(256, bool)
 CAPITALS[ord("A"):ord("Z") + 1] = True
 
-LOCAL = ("kind string, shard bigint, code int, word string, doc_id array<bigint>, part array<string>, marks array<int>, sha array<binary>, "
-         "starts array<bigint>, entries bigint, cells binary")
-MATRIX = "doc_id array<bigint>, part array<string>, marks array<int>, sha array<binary>, starts array<bigint>, entries bigint, cells binary"
+ROW = "doc_id array<bigint>, part array<string>, marks array<int>, sha array<binary>, starts array<bigint>, entries bigint, cells binary"
+LOCAL = f"kind string, shard bigint, cell bigint, codes array<int>, words array<string>, {ROW}"
 ROWS = "doc_id bigint, part string, failed int, sha binary"
+NAMES = [c.split()[0] for c in ROW.split(", ")]
 
 
 def _bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +55,13 @@ def _counted(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.nda
     return np.diff(np.searchsorted(np.flatnonzero(which[flat]), offsets))
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of (doc_id, part, text) -> a shard of the matrix over local columns, and its dictionary."""
-    shard = TaskContext.get().partitionId() << 32
-    for run in shards.runs(batches):
-        shard += 1
+class Shard:
+    """Rows of the matrix over local columns, grown run by run."""
+
+    def __init__(self):
+        self.words, self.runs, self.bytes = shards.Dictionary(), [], 0
+
+    def add(self, run: pa.RecordBatch) -> None:
         text = pc.fill_null(run.column("text").cast(pa.string()), "")
         n = len(text)
         codes, offsets, words = shards.coded(text)
@@ -71,39 +73,65 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = 4 * (100 * _counted(flat, ends, CAPITALS) > MAX_CAPITALS * chars) + 8 * (_counted(flat, ends, MARKS) > 0)
         view = memoryview(flat)
         sha = [hashlib.sha256(view[a:b]).digest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        first = self.words.add(words)
+        self.bytes += len(flat)
+        self.runs.append((
+            run.column("doc_id").cast(pa.int64()), pc.fill_null(run.column("part").cast(pa.string()), ""), pa.array(marks, pa.int32()), pa.array(sha, pa.binary()),
+            np.diff(np.searchsorted(cells >> 32, np.arange(n + 1))), ((cells & 0xFFFFFFFF) + first).astype(np.uint32), times.astype(np.uint32)))
+
+    def batches(self, shard: int, parts: int) -> Iterator[pa.RecordBatch]:
+        words, place = self.words.unify()
+        ids, part, marks, sha, sizes, codes, times = zip(*self.runs, strict=True)
+        codes, starts = np.concatenate(codes), np.r_[0, np.cumsum(np.concatenate(sizes))]
+        row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        cells, times = _ordered(row, place[codes].astype(np.int64), np.concatenate(times))
         one = {
-            "kind": pa.array(["matrix"]), "shard": pa.array([shard], pa.int64()), "code": pa.nulls(1, pa.int32()), "word": pa.nulls(1, pa.string()),
-            "doc_id": shards.lists(run.column("doc_id").cast(pa.int64())), "part": shards.lists(pc.fill_null(run.column("part").cast(pa.string()), "")),
-            "marks": shards.lists(pa.array(marks, pa.int32())), "sha": shards.lists(pa.array(sha, pa.binary())),
-            "starts": shards.lists(pa.array(np.searchsorted(cells >> 32, np.arange(n + 1)), pa.int64())),
-            "entries": pa.array([len(cells)], pa.int64()), "cells": pa.array([shards.pack((cells & 0xFFFFFFFF).astype(np.uint32), times.astype(np.uint32))], pa.binary())}
+            "kind": pa.array(["matrix"]), "shard": pa.array([shard], pa.int64()), "cell": pa.nulls(1, pa.int64()), "codes": pa.nulls(1, pa.list_(pa.int32())), "words": pa.nulls(1, pa.list_(pa.string())),
+            **{name: shards.lists(pa.concat_arrays(x)) for name, x in zip(NAMES, (ids, part, marks, sha), strict=False)},
+            "starts": shards.lists(pa.array(starts, pa.int64())), "entries": pa.array([len(cells)], pa.int64()), "cells": pa.array([shards.pack(shards.delta(cells.astype(np.uint32)), times)], pa.binary())}
         yield pa.RecordBatch.from_pydict(one)
-        k = len(words)
-        if k:
+        for cell, at in shards.dealt(words, parts):
             yield pa.RecordBatch.from_pydict({
-                "kind": pa.array(["word"] * k), "shard": pa.array(np.full(k, shard)), "code": pa.array(np.arange(k), pa.int32()), "word": words.cast(pa.string()),
-                **{name: pa.nulls(k, one[name].type) for name in list(one)[4:]}})
-        del cells, times, flat, view
+                "kind": pa.array(["words"]), "shard": one["shard"], "cell": pa.array([cell], pa.int64()), "codes": shards.lists(pa.array(at, pa.int32())), "words": shards.lists(words.take(pa.array(at))),
+                **{name: pa.nulls(1, one[name].type) for name in NAMES}})
+
+
+def _ordered(row: np.ndarray, columns: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries with ascending columns in each row."""
+    order = np.lexsort((columns, row))
+    return columns[order], times[order]
+
+
+def _local(parts: int):
+    """Rows of (doc_id, part, text) -> shards of the matrix over local columns, and slices of their dictionaries."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = TaskContext.get().partitionId() << 32, Shard()
+        for run in shards.runs(batches):
+            shard.add(run)
+            if shard.bytes >= shards.SHARD_BYTES:
+                yield from shard.batches(number, parts)
+                number, shard = number + 1, Shard()
+                release()
+        if shard.runs:
+            yield from shard.batches(number, parts)
         release()
 
+    return local
+
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Local columns of each shard become ids of the table's words, ascending in each row."""
     for batch in batches:
         for i in range(batch.num_rows):
             shard = batch.slice(i, 1)
-            n = shard.column("entries")[0].as_py()
-            local, times = shards.unpack(shard.column("cells")[0].as_buffer(), n, np.uint32, np.uint32)
-            codes = shard.column("code").flatten().to_numpy(zero_copy_only=False)
-            ids = np.empty(len(codes), np.int64)
-            ids[codes] = shard.column("id").flatten().to_numpy(zero_copy_only=False)
+            local, times = shards.unpack(shard.column("cells")[0].as_buffer(), shard.column("entries")[0].as_py(), np.uint32, np.uint32)
+            ids = shards.table_of(shard.column("codes"), shard.column("ids"))
             starts = shard.column("starts").flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            columns = ids[local]
-            order = np.lexsort((columns, row))
-            cells = pa.array([shards.pack(columns[order], times[order])], pa.binary())
-            keep = ["doc_id", "part", "marks", "sha", "starts", "entries"]
-            yield pa.RecordBatch.from_arrays([*[shard.column(c) for c in keep], cells], names=[*keep, "cells"])
+            columns, times = _ordered(row, ids[shards.undelta(local)], times)
+            cells = pa.array([shards.pack(shards.delta(columns), times)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[shard.column(c) for c in NAMES[:-1]], cells], names=NAMES)
         release()
 
 
@@ -111,15 +139,13 @@ def matrix(docs: DataFrame, part: Column) -> DataFrame:
     """The document-term matrix in shards of compressed rows, with each row's other measures."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.cast("string").alias("part"), F.col("text").cast("string").alias("text"))
-    path = fresh(spark, "audit-shards")
-    rows.mapInArrow(_local, LOCAL).write.partitionBy("kind").parquet(path)
+    path, parts = fresh(spark, "audit-shards"), shards.cells(docs)
+    rows.mapInArrow(_local(parts), LOCAL).write.partitionBy("kind").parquet(path)
     local = spark.read.schema(LOCAL).parquet(path)
-    words = shards.numbered(local.where("kind = 'word'").select("shard", "code", "word"), shards.cells(docs), "word")
-    told = shards.mapping(words, "id")
-    wide = local.where("kind = 'matrix'").select("shard", *[c.split()[0] for c in MATRIX.split(", ")]).join(told, "shard", "left")
-    empty = F.array().cast("array<int>"), F.array().cast("array<bigint>")
-    wide = wide.withColumn("code", F.coalesce("code", empty[0])).withColumn("id", F.coalesce("id", empty[1])).drop("shard")
-    return saved(wide.mapInArrow(_encoded, MATRIX), "audit-matrix")
+    told = shards.mapping(shards.numbered(local.where("kind = 'words'"), parts))
+    wide = local.where("kind = 'matrix'").select("shard", *NAMES).join(told, "shard", "left")
+    wide = wide.withColumn("codes", F.coalesce("codes", F.array().cast("array<int>"))).withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    return wide.drop("shard").mapInArrow(_encoded, ROW)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +168,7 @@ def failures(docs: DataFrame, part: Column) -> DataFrame:
     compares doc_ids: rows with the smallest id of a text pass it, all of them where the id
     is repeated; a null id passes it and makes no other row fail. No rows give no rows.
     """
-    rows = matrix(docs, part).mapInArrow(_judged, ROWS)
+    rows = saved(matrix(docs, part).mapInArrow(_judged, ROWS), "audit-rows")
     first = rows.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     later = F.col("doc_id").isNotNull() & F.col("first").isNull()
     return rows.join(first, ["sha", "doc_id"], "left").select("doc_id", "part", (F.col("failed") + F.when(later, 16).otherwise(0)).alias("failed"))

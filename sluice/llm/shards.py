@@ -1,31 +1,41 @@
 """Runs of texts as word codes with a dictionary of their own, and ids for all words of a table.
 
-A shard is a run of rows with about ``limit`` bytes of text. It holds each of its words
-once, so a word has at most one dictionary row a shard: no word is hot among those rows,
-however frequent it is in the texts.
+A shard is a run of rows with up to ``SHARD_BYTES`` of text, read in smaller runs. Its
+dictionary holds each of its words once, so no word is hot among the dictionaries, however
+frequent it is in the texts. Dictionaries travel in slices, one per hash cell of words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import size_hint
 
+RUN_BYTES = 3 << 20
 SHARD_BYTES = 12 << 20
-SHARD_ROWS = 1 << 16
+RUN_ROWS = 1 << 14
 PIECE_BYTES = 4 << 20
 CELL_BYTES = 8 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def delta(a: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, wrapping around; ascending runs become small numbers."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def undelta(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a, dtype=a.dtype)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length, byte plane by byte plane, which compresses well."""
     return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
@@ -40,8 +50,9 @@ def unpack(data, n: int, *kinds) -> list[np.ndarray]:
     return out
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition dealt into shards; a text longer than ``limit`` is a shard of its own."""
+def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition in runs of about ``limit`` bytes of text; a longer text is a run of its own."""
+    limit = limit or RUN_BYTES
     held, size = [], 0
 
     def joined() -> pa.RecordBatch:
@@ -53,7 +64,7 @@ def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = S
         while at < len(sizes):
             past = int(ends[at - 1]) if at else 0
             room = int(np.searchsorted(ends, past + limit - size, side="right"))
-            upto = min(room, at + SHARD_ROWS - sum(b.num_rows for b in held))
+            upto = min(room, at + RUN_ROWS - sum(b.num_rows for b in held))
             if upto <= at and not held:
                 upto = at + 1
             if upto > at:
@@ -114,18 +125,68 @@ def cells(df: DataFrame) -> int:
     return max(8, -(-size_hint(df) // CELL_BYTES))
 
 
-def numbered(words: DataFrame, parts: int, *names: str) -> DataFrame:
-    """Rows of shard dictionaries with ``id``: equal for equal ``names``, else different.
+class Dictionary:
+    """The words of one shard, grown run by run."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, words: pa.Array) -> int:
+        """The words of a run; returns the number that their codes start from."""
+        self.parts.append(words.cast(pa.string()))
+        self.size += len(words)
+        return self.size - len(words)
+
+    def unify(self) -> tuple[pa.Array, np.ndarray]:
+        """Distinct words, and for each added word its place among them."""
+        whole = pa.chunked_array(self.parts, pa.string()).combine_chunks() if self.parts else pa.array([], pa.string())
+        found = (whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole).dictionary_encode()
+        return found.dictionary, found.indices.to_numpy(zero_copy_only=False)
+
+
+def dealt(words: pa.Array, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the words of each hash cell."""
+    cell = np.array([crc32(w) for w in words.cast(pa.binary()).to_pylist()], np.int64) % parts
+    order = np.argsort(cell, kind="stable")
+    some, heads = np.unique(cell[order], return_index=True)
+    for c, a, b in zip(some.tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)][: len(heads)], strict=True):
+        yield c, order[a:b]
+
 
-    One shuffle: a hash cell sorts its words, the id is the rank in the cell times the
-    number of cells plus the cell.
+CODES = "shard bigint, codes array<int>, ids array<bigint>"
+
+
+def _numbers(parts: int):
+    def number(key, group):
+        group = group.combine_chunks()
+        words, codes = (group.column(c).chunk(0) for c in ("words", "codes"))
+        # slices in an order of their own, so that a repeated task gives the same numbers
+        order = np.argsort(group.column("shard").to_numpy(), kind="stable")
+        words, codes = words.take(pa.array(order)), codes.take(pa.array(order))
+        ids = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) * parts + key[0].as_py()
+        listed = pa.ListArray.from_arrays(pa.array(words.offsets.to_numpy() - words.offsets[0].as_py(), pa.int32()), pa.array(ids))
+        return pa.Table.from_arrays([group.column("shard").take(pa.array(order)), codes, listed], names=["shard", "codes", "ids"])
+
+    return number
+
+
+def numbered(words: DataFrame, parts: int) -> DataFrame:
+    """(shard, codes, ids) for slices (shard, cell, codes, words) of shard dictionaries: equal words, equal ids.
+
+    One shuffle by hash cell; a cell numbers its distinct words.
     """
-    cell = F.pmod(F.xxhash64(*names), F.lit(parts))
-    rank = F.dense_rank().over(W.partitionBy("cell").orderBy(*names)).cast("long")
-    return words.withColumn("cell", cell).withColumn("id", rank * parts + F.col("cell")).drop("cell")
+    slices_ = words.select("shard", "cell", F.col("codes"), F.col("words"))
+    return slices_.groupBy("cell").applyInArrow(_numbers(parts), CODES)
+
 
+def mapping(told: DataFrame) -> DataFrame:
+    """All slices of a shard in one row: as long as its dictionary."""
+    return told.groupBy("shard").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("ids")).alias("ids"))
 
-def mapping(rows: DataFrame, *values: Column) -> DataFrame:
-    """(shard, code and value lists): what a shard is told about its own words; as long as its dictionary."""
-    lists_ = [F.collect_list(F.col(c)).alias(c) for c in ("code", *values)]
-    return rows.groupBy("shard").agg(*lists_)
+
+def table_of(codes: pa.Array, ids: pa.Array) -> np.ndarray:
+    """ids by code."""
+    codes, ids = (x.flatten().to_numpy(zero_copy_only=False) for x in (codes, ids))
+    out = np.zeros(len(codes), np.int64)
+    out[codes] = ids
+    return out

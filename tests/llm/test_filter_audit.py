@@ -3,6 +3,7 @@ from __future__ import annotations
 from itertools import permutations
 
 import helpers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,12 +75,30 @@ def test_hot_group_over_partitions(spark):
     assert got(filter_audit.audit(df, none)) == expected(rows, [])
 
 
+def test_many_shards(monkeypatch, spark):
+    monkeypatch.setattr(filter_audit.shards, "SHARD_BYTES", 50)
+    monkeypatch.setattr(filter_audit.shards, "RUN_BYTES", 20)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "part": ["p"], "text": [f"own{i} same same text"]}) for i in range(20)]
+    monkeypatch.setattr(filter_audit.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    out = pa.Table.from_batches(list(filter_audit._local(4)(iter(batches)))).to_pylist()
+    shard_rows = [r for r in out if r["kind"] == "matrix"]
+    assert len(shard_rows) > 3 and [i for r in shard_rows for i in r["doc_id"]] == list(range(20))
+    for r in shard_rows:
+        words = {c: w for x in out if x["kind"] == "words" and x["shard"] == r["shard"] for c, w in zip(x["codes"], x["words"], strict=True)}
+        local, times = shards.unpack(r["cells"], r["entries"], "uint32", "uint32")
+        local = shards.undelta(local)
+        for k, doc in enumerate(r["doc_id"]):
+            a, b = r["starts"][k], r["starts"][k + 1]
+            assert {words[c]: t for c, t in zip(local[a:b].tolist(), times[a:b].tolist(), strict=True)} == {f"own{doc}": 1, "same": 2, "text": 1}
+
+
 def test_matrix_is_coded_for_the_whole_table(spark):
     texts = ["b a b", "a c", "", "b"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
     seen = {}
     for shard in filter_audit.matrix(df, F.lit("x")).collect():
         ids, times = shards.unpack(bytes(shard.cells), shard.entries, "int64", "uint32")
+        ids = shards.undelta(ids)
         for k, doc in enumerate(shard.doc_id):
             a, b = shard.starts[k], shard.starts[k + 1]
             seen[doc] = dict(zip(ids[a:b].tolist(), times[a:b].tolist(), strict=True))
@@ -103,8 +122,6 @@ def test_cut_keeps_words_whole(limit):
 
 
 def test_long_text_is_coded_in_pieces(monkeypatch, spark):
-    import pyarrow as pa
-
     monkeypatch.setattr(shards, "PIECE_BYTES", 100)
     text = "alpha beta gamma alpha " * 40 + "x" * 500
     codes, offsets, words = shards.coded(pa.array([text]))
@@ -112,8 +129,6 @@ def test_long_text_is_coded_in_pieces(monkeypatch, spark):
 
 
 def test_runs_keep_every_row_once():
-    import pyarrow as pa
-
     texts = ["x" * n for n in (0, 5, 300, 10, 10, 10, 0, 90, 120, 3)] * 5 + [None]
     batches = [pa.RecordBatch.from_pydict({"i": pa.array(range(a, min(a + 4, len(texts)))), "text": pa.array(texts[a:a + 4], pa.string())}) for a in range(0, len(texts), 4)]
     out = list(shards.runs(iter(batches), limit=100))
