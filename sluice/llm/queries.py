@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, katz, language, licenses, maxscore, mixing, pieces, pii, polyhash, reputation, simhash, token_rollup
+from . import collocations, filter_audit, katz, language, licenses, maxscore, mixing, pieces, pii, polyhash, reputation, simhash, token_rollup
 from .common import fresh, saved, table
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,6 +202,34 @@ def polynomial_dedup(spark, folder):
     return polyhash.classes(documents(spark, folder, "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op11_collocations", sql="""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+    SELECT lang, ws[i:i + m - 1] AS ph
+    FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS m))),
+f AS (SELECT lang, ph, count(*) AS f FROM g GROUP BY lang, ph HAVING count(*) >= 100),
+c AS (SELECT lang, ph, f AS a FROM f WHERE len(ph) > 1),
+cuts AS (SELECT lang, ph, a, unnest(range(1, len(ph))) AS k FROM c),
+s AS (
+    SELECT cuts.lang, cuts.ph, k, a, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM cuts JOIN f x ON x.lang = cuts.lang AND x.ph = cuts.ph[1:k] JOIN f y ON y.lang = cuts.lang AND y.ph = cuts.ph[k + 1:] JOIN totals t ON t.lang = cuts.lang),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, ph, max(f) AS longer FROM (SELECT lang, ph[1:len(ph) - 1] AS ph, a AS f FROM c UNION ALL SELECT lang, ph[2:], a FROM c) GROUP BY lang, ph),
+kept AS (
+    SELECT low.lang, array_to_string(low.ph, ' ') AS phrase, a, l, r, n, score
+    FROM low LEFT JOIN inside ON inside.lang = low.lang AND inside.ph = low.ph WHERE longer IS NULL OR longer < a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""")
+def collocation_mining(spark, folder):
+    return collocations.phrases(documents(spark, folder, "text", "lang"))
+
+
 @query("op12_pii_scan")
 def pii_scan(spark, folder):
     found = pii.detect(documents(spark, folder, "text"))
