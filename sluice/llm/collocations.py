@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import shards
-from .common import fresh, release, saved
+from .common import release
 from .transducer import END, Automaton, build, grouped, summed, union
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 MASS = 1 << 21
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 
 #: bytes of texts -> lower case, tab to space, every end of a piece to line feed
 FOLD = np.arange(256, dtype=np.uint8)
@@ -359,7 +359,7 @@ def _composed(longest: int):
 
 def frequent_words(local: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(cell, word, lang, f, past) of frequent words, and (lang, n) of all words."""
-    found = saved(local.groupBy("cell").applyInArrow(_counting(least), FREQUENT), "phrase-words")
+    found = shards.settled(local.groupBy("cell").applyInArrow(_counting(least), FREQUENT), "phrase-words")
     return found.where("word IS NOT NULL"), found.where("word IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
 
 
@@ -380,25 +380,24 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: in
     the phrase's bytes. Repeated rows count as often as they stand, other columns are
     ignored, no words give no rows. ``top`` None returns all.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    path, parts = fresh(spark, "phrase-shards"), shards.cells(docs)
-    rows.mapInArrow(_local(parts), LOCAL).write.partitionBy("kind").parquet(path)
-    local = spark.read.schema(LOCAL).parquet(path)
+    parts = shards.cells(docs)
+    local = shards.settled(rows.mapInArrow(_local(parts), LOCAL), "phrase-shards")
     slices = local.where("kind = 'words'").select("shard", "cell", "codes", "words", "langs", "counts")
     words, totals = frequent_words(slices, least)
     # where each cell's words begin on the line
     begin = words.groupBy("cell").agg(F.sum("f").alias("size")).withColumn("begin", F.sum("size").over(W.orderBy("cell")) - F.col("size")).select("cell", "begin")
-    words = saved(words.join(begin, "cell").select("word", "lang", "f", (F.col("past") + F.col("begin")).alias("address")), "phrase-addresses")
+    words = shards.settled(words.join(begin, "cell").select("word", "lang", "f", (F.col("past") + F.col("begin")).alias("address")), "phrase-addresses")
     heard = slices.groupBy("cell").applyInArrow(_telling(least), HEARD).join(begin, "cell")
     heard = heard.groupBy("shard").agg(
         F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list(F.transform("past", lambda x: x + F.col("begin")))).alias("address"), F.flatten(F.collect_list("f")).alias("f"))
-    streams = saved(local.where("kind = 'tokens'").select("shard", "n", "tokens").join(heard, "shard").mapInArrow(_streams, STREAM), "phrase-streams")
+    streams = shards.settled(local.where("kind = 'tokens'").select("shard", "n", "tokens").join(heard, "shard").mapInArrow(_streams, STREAM), "phrase-streams")
 
     known = streams.mapInArrow(_pairs(mass), SLICES).groupBy("range").applyInArrow(_answering(least), "shard bigint, one array<bigint>, two array<bigint>")
     known = known.groupBy("shard").agg(F.flatten(F.collect_list("one")).alias("one"), F.flatten(F.collect_list("two")).alias("two"))
+    known = shards.settled(known, "phrase-pairs")
     found = streams.join(known, "shard").mapInArrow(_windows(mass, longest), SLICES)
-    model = saved(found.groupBy("range").applyInArrow(_united(least, longest), "range bigint, data binary"), "phrase-model")
+    model = shards.settled(found.groupBy("range").applyInArrow(_united(least, longest), "range bigint, data binary"), "phrase-model")
     return ranked(model, words, totals, longest, top, mass)
 
 
@@ -413,7 +412,7 @@ def ranked(model: DataFrame, words: DataFrame, totals: DataFrame, longest: int,
     """Scores and ranks of the phrases in ``model`` (range, automaton)."""
     counts = model.mapInArrow(_alphabet, "range bigint, address bigint").join(words.select("address", "f"), "address")
     counts = counts.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("address", "f"))).alias("s")).select("range", F.col("s.address").alias("address"), F.col("s.f").alias("f"))
-    cuts = saved(model.join(counts, "range").mapInArrow(_cut(mass, longest), CUTS), "phrase-cuts")
+    cuts = shards.settled(model.join(counts, "range").mapInArrow(_cut(mass, longest), CUTS), "phrase-cuts")
     asked = cuts.where("r IS NULL").select("phrase", "k", "rest", F.col("home").alias("range"))
     looked = asked.groupBy("range").cogroup(model.select(F.col("range").alias("at"), "data").groupBy("at")).applyInArrow(_composed(longest), "phrase binary, k int, r bigint")
     parts = cuts.where("r IS NOT NULL").select("phrase", "k", "a", "l", "r").unionByName(cuts.where("r IS NULL").select("phrase", "k", "a", "l").join(looked, ["phrase", "k"]))

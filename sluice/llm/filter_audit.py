@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shards
-from .common import fresh, release, saved
+from .common import release
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 200, 50, 2
@@ -137,11 +137,9 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def matrix(docs: DataFrame, part: Column) -> DataFrame:
     """The document-term matrix in shards of compressed rows, with each row's other measures."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.cast("string").alias("part"), F.col("text").cast("string").alias("text"))
-    path, parts = fresh(spark, "audit-shards"), shards.cells(docs)
-    rows.mapInArrow(_local(parts), LOCAL).write.partitionBy("kind").parquet(path)
-    local = spark.read.schema(LOCAL).parquet(path)
+    parts = shards.cells(docs)
+    local = shards.settled(rows.mapInArrow(_local(parts), LOCAL), "audit-shards")
     told = shards.mapping(shards.numbered(local.where("kind = 'words'"), parts))
     wide = local.where("kind = 'matrix'").select("shard", *NAMES).join(told, "shard", "left")
     wide = wide.withColumn("codes", F.coalesce("codes", F.array().cast("array<int>"))).withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
@@ -168,7 +166,7 @@ def failures(docs: DataFrame, part: Column) -> DataFrame:
     compares doc_ids: rows with the smallest id of a text pass it, all of them where the id
     is repeated; a null id passes it and makes no other row fail. No rows give no rows.
     """
-    rows = saved(matrix(docs, part).mapInArrow(_judged, ROWS), "audit-rows")
+    rows = shards.settled(matrix(docs, part).mapInArrow(_judged, ROWS), "audit-rows")
     first = rows.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     later = F.col("doc_id").isNotNull() & F.col("first").isNull()
     return rows.join(first, ["sha", "doc_id"], "left").select("doc_id", "part", (F.col("failed") + F.when(later, 16).otherwise(0)).alias("failed"))

@@ -1,77 +1,52 @@
-"""Language-model scores with a Katz backoff bigram model.
+"""Language-model scores with a Katz backoff bigram model over all words.
 
 Counts of one to ``GT`` are discounted by Good-Turing, per order. What a history's
 discounted bigrams leave is spread over the other words by their unigram probability,
-with the weight that makes the history's probabilities sum to one (a history that was
-followed by every word of the vocabulary keeps its rest); unigrams leave their rest to
-unseen words in the same way. A token is scored by its bigram, if that was seen,
-else by backoff weight times the unigram, and so on down.
-
-The most frequent words, up to ``vocabulary`` of them and all of a count or none, are
-words of the bigram model; all others share one class, within which each has its own
-discounted unigram share. So all that tasks need to hold in common is bounded by the
-vocabulary; the counts themselves stay in
-tables. Counts, shares and scores cover every word of every text.
-
-Three jobs, each a plain Spark shuffle of packed arrays:
-
-1. words of training texts, counted per task, summed into the unigram table;
-2. each run of texts sends its bigrams and rare words, with the texts they stand in, to
-   the bucket of their history or word; a bucket sums the counts, writes its part of the
-   model, and gives back each text's part of the score. A history with many tokens is
-   spread over several buckets in proportion, so no bucket depends on one key;
-3. the parts of a run of texts come together.
-
-Scores are linear in the logarithms of the discounts and backoff weights, which are known
-only once all buckets are: parts carry the number of tokens per discounted count, and
-per history the tokens that back off.
+with the weight that makes the history's probabilities sum to one; unigrams leave their
+rest to unseen words in the same way. A token is scored by its bigram, if that was seen,
+else by backoff weight times the unigram, and so on down. Every word of the training
+texts is a word of the model, whatever the size of the table.
+
+1. Runs of texts become shards: token numbers of a dictionary of their own. The
+   dictionaries are summed by hash cell: the unigram table. Each shard is told the ids and
+   counts of its own words.
+2. A shard sends each of its distinct bigrams once, with its count in training texts, to
+   the bucket of its history; a history with many tokens is spread over several buckets by
+   its followers, so that no bucket depends on one history, and a frequent bigram is as
+   many entries as there are shards. Buckets sum the counts, write them as the bigram
+   table, and answer each shard's questions with the counts.
+3. What the buckets know of a history (how many followers have which count, how much
+   unigram mass they hold) is summed per history: discounts and backoff weights, a table
+   of its own, which shards are joined to where a token of theirs backs off.
+4. Shards score their texts from the counts and weights they were told.
+
+The model's tables (``UNIGRAM``, ``BIGRAM``, ``HISTORY``) stay in the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import crc, fresh, release, saved, size_hint, slices, words
+from . import shards
+from .common import crc, release
 
-VOCABULARY = 1 << 18
 GT = 5
 #: counts set aside for unseen followers of every history, so that none gets probability 0
 RESERVE = 0.1
-BUCKET_BYTES = 5 << 20
-SLICE = 3 << 20
-RUN_ROWS = 1 << 14
-HELD = np.uint16(1 << 15)
-#: stands for the end of a text; no word hashes white space
-END = xxhash.xxh64_intdigest(b"\n")
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, byte plane by byte plane, which compresses well."""
-    return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
-
-
-def unpack(data: bytes, n: int, *kinds) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind in map(np.dtype, kinds):
-        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
-        at += n * kind.itemsize
-    return out
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+SHARD_BYTES = 6 << 20
+MASS = 1 << 20
+#: stands for the end of a text; no word holds white space
+END = "\n"
+#: the history of a text's first token; ids of words begin at 1
+START = 0
 
 
 def discounts(n_r: list[int]) -> np.ndarray:
@@ -93,330 +68,333 @@ def discounts(n_r: list[int]) -> np.ndarray:
 
 @dataclass
 class Unigrams:
-    """The vocabulary (sorted hashes with counts), totals and unigram shares."""
+    """Totals of the unigram table: tokens, types, texts, discount factors, the share of unseen words."""
 
-    keys: np.ndarray
-    counts: np.ndarray
     total: int
     types: int
-    factors: np.ndarray
-    rare_total: int
     texts: int
-
-    def __post_init__(self):
-        self.unk, self.start = len(self.keys), len(self.keys) + 1
-        share = self.share(self.counts)
-        self.class_share = max(1.0 - share.sum(), 1e-300)
-        self.probability = np.append(share, self.class_share)
-        self.history = np.concatenate([self.counts, [self.rare_total, self.texts]]).astype(np.float64)
-
-    def share(self, counts: np.ndarray) -> np.ndarray:
-        """Discounted share of words that were counted."""
+    factors: np.ndarray
+    left: float
+    scale: float
+
+    @staticmethod
+    def of(total: int, types: int, texts: int, n_r: list[int]) -> Unigrams:
+        factors = discounts(n_r)
+        small = sum(r * n * (1 - d) for r, n, d in zip(range(1, GT + 1), n_r, factors, strict=False))
+        left, scale = (small / total if total else 1.0), 1.0
+        if total and left <= 0:
+            # no small counts at all: set aside as for a history, from all words alike
+            scale = total / (total + RESERVE)
+            left = 1 - scale
+        return Unigrams(total, types, texts, factors, left, scale)
+
+    def probability(self, counts: np.ndarray) -> np.ndarray:
+        """Discounted share of words by their count; all unseen words count as one."""
         d = np.r_[0.0, self.factors, 1.0][np.minimum(counts, GT + 1)]
-        return d * counts / max(self.total, 1)
+        return np.where(counts > 0, self.scale * d * counts / max(self.total, 1), self.left)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.types + 1)))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            for at in range(0, part.num_rows, RUN_ROWS):
-                yield part.slice(at, RUN_ROWS)
-
-
-def _hashes(distinct: pa.Array) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in distinct.cast(pa.binary()).to_pylist()] + [END], np.uint64)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in _runs(batches):
-        codes, _, distinct = words(run.column(1).cast(pa.string()))
-        counts = np.append(np.bincount(codes, minlength=len(distinct)), run.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(_hashes(distinct).view(np.int64)), pa.array(counts, pa.int64())], names=["word", "n"])
-
-
-def unigrams(texts: DataFrame, vocabulary: int = VOCABULARY) -> tuple[DataFrame, Unigrams]:
-    """The table of word counts (word hash, n) of training rows and what is shared of it."""
-    counted = texts.mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    table = saved(counted, "katz-unigrams")
-    few = [F.sum((F.col("n") == r).cast("long")) for r in range(1, GT + 2)]
-    total, types, *n_r = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), *[F.coalesce(c, F.lit(0)) for c in few]).first()
-    # the most frequent words: as many counts, from the top, as fit in whole
-    ranks = table.groupBy("n").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(W.orderBy(F.col("n").desc())))
-    least = ranks.where(F.col("upto") <= vocabulary).agg(F.min("n")).first()[0]
-    top = table.where(F.col("n") >= least if least else F.lit(False)).toPandas()
-    keys, counts = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    ends = counts[keys == np.uint64(END)]
-    n_texts = int(ends[0]) if len(ends) else int(table.where(F.col("word") == F.lit(int(np.uint64(END).view(np.int64)))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    uni = Unigrams(keys[order], counts[order], int(total), int(types), discounts(n_r), int(total) - int(counts.sum()), n_texts)
-    # what all counted words leave to unseen ones, which count as one word
-    n_small = sum(r * n * (1 - d) for r, n, d in zip(range(1, GT + 1), n_r, uni.factors, strict=False))
-    uni.left = max(n_small / max(uni.total, 1), 0.0) if uni.total else 1.0
-    if uni.left <= 0:
-        # no small counts at all: set aside as for a history, from all words alike
-        scale = uni.total / (uni.total + RESERVE)
-        uni.left = 1 - scale
-        uni.probability[:-1] *= scale
-        uni.probability[-1] = max(1.0 - uni.probability[:-1].sum(), uni.left)
-        uni.class_share = uni.probability[-1]
-        uni.scale = scale
-    else:
-        uni.scale = 1.0
-    return table, uni
-
-
-def _buckets(h: np.ndarray, w: np.ndarray, parts: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each bigram; a history of ``parts`` > 1 is spread by its followers."""
-    sub = _mix(h * np.int64(1 << 20) + w) % parts[h].astype(np.uint64)
-    return (_mix(h.astype(np.uint64) * np.uint64(1 << 22) + sub) % np.uint64(buckets)).astype(np.int64)
-
-
-def _split(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    order = np.argsort(bucket, kind="stable")
-    some, heads = np.unique(bucket[order], return_index=True)
-    ends = np.append(heads[1:], len(order))[: len(heads)]
-    for b, x, y in zip(some.tolist(), heads.tolist(), ends.tolist(), strict=True):
-        yield b, [a[order[x:y]] for a in arrays]
-
-
-ROWS = ["bucket", "chunk", "kind", "n", "data"]
-ROW_SCHEMA = "bucket bigint, chunk bigint, kind string, n bigint, data binary"
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=ROWS)
-
-
-def _sender(shared, buckets: int) -> Callable:
-    """Runs of texts -> their bigrams and rare words by bucket, and what needs no other task."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uni: Unigrams = shared.value
-        parts = np.maximum(1, np.ceil(uni.history * 4 * buckets / max(uni.total, 1))).astype(np.int64)
-        logs, base = np.log10(uni.history + RESERVE), uni.base(uni.counts)
-        chunk = TaskContext.get().partitionId() << 32
-        for run in _runs(batches):
-            chunk += 1
-            codes, offsets, distinct = words(run.column(1).cast(pa.string()))
-            hashed = _hashes(distinct)
-            at = np.minimum(np.searchsorted(uni.keys, hashed), max(len(uni.keys) - 1, 0))
-            ids = np.where(uni.keys[at] == hashed, at, uni.unk) if len(uni.keys) else np.full(len(hashed), uni.unk)
-            local = np.insert(codes.astype(np.int64), offsets[1:], len(distinct))
-            docs = np.repeat(np.arange(run.num_rows), np.diff(offsets) + 1)
-            token = ids[local]
-            before = np.r_[uni.start, token[:-1]] if len(token) else token
-            before[np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])] = uni.start
-            held = pc.fill_null(run.column(2), False).to_numpy(zero_copy_only=False)
-            flag = np.where(held, HELD, np.uint16(0))
-            out = []
-            keys, times = np.unique((before << 36) | (token << 16) | docs, return_counts=True)
-            h, w, d = keys >> 36, (keys >> 16) & 0xFFFFF, (keys & 0xFFFF).astype(np.uint16)
-            for b, (x, y, z, t) in _split(_buckets(h, w, parts, buckets), h.astype(np.uint32), w.astype(np.uint32), d | flag[d], times.astype(np.uint32)):
-                out.append((b, chunk, "pair", len(x), pack(x, y, z, t)))
-            odd = token == uni.unk
-            keys, times = np.unique((local[odd] << 16) | docs[odd], return_counts=True)
-            name, d = hashed[keys >> 16], (keys & 0xFFFF).astype(np.uint16)
-            for b, (x, z, t) in _split((_mix(name) % np.uint64(buckets)).astype(np.int64), name, d | flag[d], times.astype(np.uint32)):
-                out.append((b, chunk, "rare", len(x), pack(x, z, t)))
-            known = ~odd
-            n = run.num_rows
-            kept = np.append(base, 0.0)[token]
-            out.append((chunk % buckets, chunk, "text", n, pack(
-                pc.fill_null(run.column(0), 0).to_numpy().astype(np.int64), run.column(0).is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), held.astype(np.uint8),
-                np.bincount(docs, minlength=n).astype(np.int64), np.bincount(docs[known], minlength=n).astype(np.int64),
-                np.bincount(docs, weights=kept, minlength=n), -np.bincount(docs, weights=logs[before], minlength=n))))
-            yield _rows(out)
-            release()
+LOCAL = ("shard bigint, cell bigint, codes array<int>, words array<string>, counts array<bigint>, "
+         "n bigint, doc_id array<bigint>, held array<boolean>, ends array<bigint>, tokens binary")
+
+
+class Shard:
+    """Token numbers of a run of texts, ends included."""
+
+    def __init__(self):
+        self.words, self.runs, self.bytes = shards.Dictionary(), [], 0
+
+    def add(self, run: pa.RecordBatch) -> None:
+        text = pc.ascii_lower(pc.fill_null(run.column("text").cast(pa.string()), ""))
+        codes, offsets, words = shards.coded(text)
+        first = self.words.add(pa.concat_arrays([words.cast(pa.string()), pa.array([END])]))
+        tokens = np.insert(codes.astype(np.int64), offsets[1:], len(words)) + first
+        self.runs.append((run.column("doc_id"), run.column("held"), np.diff(offsets) + 1, tokens))
+        self.bytes += pc.sum(pc.binary_length(text)).as_py() or 0
+
+    def batches(self, shard: int, parts: int) -> Iterator[pa.RecordBatch]:
+        words, place = self.words.unify()
+        ids, held, sizes, tokens = zip(*self.runs, strict=True)
+        tokens, sizes, held = place[np.concatenate(tokens)], np.concatenate(sizes), pa.concat_arrays(held)
+        learned = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), sizes)
+        counts = np.bincount(tokens[learned], minlength=len(words))
+        one = {
+            "shard": pa.array([shard], pa.int64()), "cell": pa.nulls(1, pa.int64()), "codes": pa.nulls(1, pa.list_(pa.int32())), "words": pa.nulls(1, pa.list_(pa.string())), "counts": pa.nulls(1, pa.list_(pa.int64())),
+            "n": pa.array([len(tokens)], pa.int64()), "doc_id": shards.lists(pa.concat_arrays(ids)), "held": shards.lists(held), "ends": shards.lists(pa.array(np.cumsum(sizes), pa.int64())),
+            "tokens": pa.array([shards.pack(tokens.astype(np.uint32))], pa.binary())}
+        yield pa.RecordBatch.from_pydict(one)
+        for cell, at in shards.dealt(words, parts):
+            yield pa.RecordBatch.from_pydict({
+                "shard": one["shard"], "cell": pa.array([cell], pa.int64()), "codes": shards.lists(pa.array(at, pa.int32())), "words": shards.lists(words.take(pa.array(at))),
+                "counts": shards.lists(pa.array(counts[at], pa.int64())), **{k: pa.nulls(1, one[k].type) for k in ("n", "doc_id", "held", "ends", "tokens")}})
+
+
+def _local(parts: int):
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = TaskContext.get().partitionId() << 32, Shard()
+        for run in shards.runs(batches):
+            shard.add(run)
+            if shard.bytes >= SHARD_BYTES:
+                yield from shard.batches(number, parts)
+                number, shard = number + 1, Shard()
+                release()
+        if shard.runs:
+            yield from shard.batches(number, parts)
+        release()
 
-    return send
+    return local
 
 
-PART = (np.uint16, np.float64, np.float64, *[np.uint32] * (GT + 1))
+UNIGRAM = "id bigint, word string, n bigint"
+TOLD = "shard bigint, codes array<int>, ids array<bigint>, f array<bigint>"
 
 
-def _counter(shared) -> Callable:
-    """One bucket: sums the counts, and scores what was sent."""
+def _summed(group: pa.Table, cell: int, parts: int) -> tuple[pa.Table, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Slices of a cell in the order of their shards, each entry's word, and the words with ids and counts."""
+    group = group.take(pa.array(np.argsort(group.column("shard").to_numpy(), kind="stable"))).combine_chunks()
+    coded = group.column("words").chunk(0).flatten().dictionary_encode()
+    place = coded.indices.to_numpy(zero_copy_only=False)
+    total = np.bincount(place, weights=group.column("counts").chunk(0).flatten().to_numpy(zero_copy_only=False), minlength=len(coded.dictionary)).astype(np.int64)
+    return group, place, coded.dictionary, np.arange(len(total), dtype=np.int64) * parts + cell + 1, total
 
-    def count(key, group):
-        uni: Unigrams = shared.value
-        out = [(r["bucket"], r["chunk"], "text", r["n"], r["data"]) for r in group.filter(pc.equal(group.column("kind"), "text")).to_pylist()]
-        bucket = key[0].as_py()
-        chunks = np.unique(group.column("chunk").to_numpy())
-
-        def received(kind: str, *types):
-            at = np.flatnonzero(pc.equal(group.column("kind"), kind).to_numpy())
-            sizes = group.column("n").to_numpy()[at]
-            home = np.repeat(np.searchsorted(chunks, group.column("chunk").to_numpy()[at]) * RUN_ROWS, sizes)
-            out, data, done = [np.empty(sizes.sum(), t) for t in types], group.column("data"), 0
-            for i, n in zip(at.tolist(), sizes.tolist(), strict=True):
-                for whole, part in zip(out, unpack(data[i].as_buffer(), n, *types), strict=True):
-                    whole[done:done + n] = part
-                done += n
-            return [home, *out]
-
-        # a spot is a text of a run, numbered among those of this bucket; arrays are kept few
-        # and narrow, as a bucket has a million entries
-        home, h, w, d, times = received("pair", np.uint32, np.uint32, np.uint16, np.uint32)
-        r_home, name, r_d, r_times = received("rare", np.uint64, np.uint16, np.uint32)
-        home += d & ~HELD
-        r_home += r_d & ~HELD
-        places = np.unique(np.concatenate([home, r_home]))
-        spot, r_spot, size = np.searchsorted(places, home).astype(np.int32), np.searchsorted(places, r_home).astype(np.int32), len(places)
-        del home, r_home
-        pair = (h.astype(np.int64) << 20) | w
-        del h, w
-        order = np.argsort(pair, kind="stable")
-        pair = pair[order]
-        spot, learned, times = spot[order], (d < HELD)[order], times[order]
-        del d, order
-        heads = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
-        c = np.add.reduceat(times * learned, heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
-        seen, types = c > 0, pair[heads]
-        hs, place = np.unique(types[seen] >> 20, return_inverse=True)
-        small = np.bincount(place * (GT + 2) + np.minimum(c[seen], GT + 1), minlength=len(hs) * (GT + 2)).reshape(-1, GT + 2)
-        large = np.bincount(place, weights=c[seen] * (c[seen] > GT), minlength=len(hs))
-        taken = np.bincount(place, weights=uni.probability[types[seen] & 0xFFFFF], minlength=len(hs))
-        if len(hs):
-            out.append((bucket, 0, "history", len(hs), pack(hs, large, taken, *[small[:, r] for r in range(1, GT + 2)])))
-            out.append((bucket, 0, "model", int(seen.sum()), pack(types[seen], c[seen])))
-        # per bigram: what each token adds, but for discounts and backoff weights
-        h, w = types >> 20, types & 0xFFFFF
-        value = np.where(c > GT, np.log10(np.maximum(c, 1)), 0.0)
-        value[~seen] = (np.log10(uni.probability[w]) + np.log10(uni.history[h] + RESERVE))[~seen]
-        each = np.repeat(np.arange(len(c), dtype=np.int32), np.diff(np.r_[heads, len(pair)]))
-        del pair, learned, h, w
-
-        order = np.argsort(name, kind="stable")
-        r_spot, name, r_d, r_times = r_spot[order], name[order], r_d[order], r_times[order]
-        heads = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
-        rc = np.add.reduceat(r_times * (r_d < HELD), heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
-        rc = np.repeat(rc, np.diff(np.r_[heads, len(name)]))
-        inside = np.log10(np.where(rc > 0, uni.share(rc) * uni.scale, uni.left) / uni.class_share)
-        score = np.bincount(spot, weights=times * value[each], minlength=size) + np.bincount(r_spot, weights=r_times * inside, minlength=size)
-        base = np.bincount(r_spot, weights=r_times * uni.base(rc), minlength=size)
-        known = np.bincount(r_spot, weights=r_times * (rc > 0), minlength=size).astype(np.uint32)
-        low = []
-        for r in range(1, GT + 1):
-            on = (c == r)[each]
-            low.append(np.bincount(spot[on], weights=times[on], minlength=size).astype(np.uint32))
-        del r_spot, r_times, rc
-        off = np.flatnonzero(~seen[each])
-        off = off[np.argsort(spot[off], kind="stable")]
-        o_spot, o_h, o_times = spot[off], types[each[off]] >> 20, times[off]
-        del spot, times, each, off
-        starts = np.searchsorted(places, np.arange(len(chunks) + 1) * RUN_ROWS)
-        bounds = np.searchsorted(o_spot, starts)
-        doc = (places % RUN_ROWS).astype(np.uint16)
-        for i, chunk in enumerate(chunks.tolist()):
-            x = slice(starts[i], starts[i + 1])
-            if x.stop > x.start:
-                out.append((bucket, chunk, "part", int(x.stop - x.start), pack(doc[x], score[x], base[x], known[x], *[m[x] for m in low])))
-            a, b = bounds[i], bounds[i + 1]
-            if b > a:
-                out.append((bucket, chunk, "off", int(b - a), pack(doc[o_spot[a:b]], o_h[a:b].astype(np.uint32), o_times[a:b].astype(np.uint32))))
-        rows = pa.Table.from_batches([_rows(out)])
-        release()
-        return rows
 
-    return count
+def _unigrams(parts: int):
+    def unigrams(key, group):
+        _, _, words, ids, total = _summed(group, key[0].as_py(), parts)
+        on = pa.array(np.flatnonzero(total > 0))
+        return pa.Table.from_arrays([pa.array(ids).take(on), words.cast(pa.string()).take(on), pa.array(total).take(on)], names=["id", "word", "n"])
 
+    return unigrams
 
-@dataclass
-class Weights:
-    """Logarithms of the discounted small counts and of the backoff weights."""
 
-    low: np.ndarray
-    back: np.ndarray
-    total: int
+def _tell(parts: int):
+    def tell(key, group):
+        group, place, _, ids, total = _summed(group, key[0].as_py(), parts)
+        codes = group.column("codes").chunk(0)
+        offsets = pa.array(codes.offsets.to_numpy() - codes.offsets[0].as_py(), pa.int32())
+        return pa.Table.from_arrays([group.column("shard"), codes, pa.ListArray.from_arrays(offsets, pa.array(ids[place])), pa.ListArray.from_arrays(offsets, pa.array(total[place]))], names=["shard", "codes", "ids", "f"])
+
+    return tell
+
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
+
+class Pairs:
+    """A shard's distinct bigrams, bucket by bucket, and where its tokens are among them."""
+
+    def __init__(self, row: pa.RecordBatch, uni: Unigrams, buckets: int):
+        (tokens,) = shards.unpack(row.column("tokens")[0].as_buffer(), row.column("n")[0].as_py(), np.uint32)
+        self.ends = row.column("ends").flatten().to_numpy(zero_copy_only=False)
+        self.held = row.column("held").flatten().to_numpy(zero_copy_only=False).astype(bool)
+        ids, f = shards.table_of(row.column("codes"), row.column("ids")), shards.table_of(row.column("codes"), row.column("f"))
+        # the start of a text stands behind all words
+        self.ids, self.f = np.r_[ids, START], np.r_[f, uni.texts]
+        self.word = tokens.astype(np.int64)
+        self.history = np.r_[len(ids), self.word[:-1]] if len(tokens) else self.word
+        self.history[self.ends[:-1]] = len(ids)
+        self.doc = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
+        keys, place = np.unique((self.history << 32) | self.word, return_inverse=True)
+        times = np.bincount(place[~self.held[self.doc]], minlength=len(keys))
+        h, w = keys >> 32, keys & 0xFFFFFFFF
+        spread = np.maximum(1, -(-self.f[h] // MASS)).astype(np.uint64)
+        sub = _mix(self.ids[w]) % spread
+        bucket = (_mix(self.ids[h].astype(np.uint64) * np.uint64(1 << 20) + sub) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((self.ids[w], self.ids[h], bucket))
+        self.h, self.w, self.times, bucket = h[order], w[order], times[order], bucket[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.token = back[place]
+        some, heads = np.unique(bucket, return_index=True)
+        self.slices = list(zip(some.tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)][: len(heads)], strict=True))
+
+
+ASKED = "bucket bigint, shard bigint, n bigint, data binary"
+
+
+def _ask(uni: Unigrams, buckets: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                p = Pairs(row, uni, buckets)
+                if not p.slices:
+                    continue
+                blobs = [shards.pack(shards.delta(p.ids[p.h[a:b]]), p.ids[p.w[a:b]], p.f[p.w[a:b]].astype(np.uint32), p.times[a:b].astype(np.uint32)) for _, a, b in p.slices]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([b for b, _, _ in p.slices], pa.int64()), pa.concat_arrays([row.column("shard")] * len(blobs)), pa.array([b - a for _, a, b in p.slices], pa.int64()), pa.array(blobs, pa.binary())],
+                    names=["bucket", "shard", "n", "data"])
+                del p, blobs
+            release()
+
+    return ask
+
+
+BUCKET = "kind string, bucket bigint, shard bigint, n bigint, data binary, need array<bigint>"
 HISTORY = ["h", "large", "taken", *[f"n{r}" for r in range(1, GT + 2)]]
 
 
+def _count(uni: Unigrams):
+    """A bucket: sums counts, and writes its bigrams, what it knows of histories, and answers."""
+
+    def count(key, group):
+        group = group.take(pa.array(np.argsort(group.column("shard").to_numpy(), kind="stable"))).combine_chunks()
+        names, sizes = group.column("shard").to_numpy(), group.column("n").to_numpy()
+        n = int(sizes.sum())
+        h, w, f, times = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint32), np.empty(n, np.uint32)
+        at = 0
+        for size, data in zip(sizes.tolist(), group.column("data").chunk(0), strict=True):
+            a, b, c, d = shards.unpack(data.as_buffer(), size, np.int64, np.int64, np.uint32, np.uint32)
+            h[at:at + size], w[at:at + size], f[at:at + size], times[at:at + size] = shards.undelta(a), b, c, d
+            at += size
+        del group
+        order = np.lexsort((w, h))
+        hs, ws = h[order], w[order]
+        new = np.r_[True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])] if n else np.zeros(0, bool)
+        heads = np.flatnonzero(new)
+        c = np.add.reduceat(times[order], heads, dtype=np.int64) if n else np.zeros(0, np.int64)
+        counts = np.empty(n, np.int64)
+        counts[order] = c[np.cumsum(new) - 1]
+        hs, ws, fs = hs[heads], ws[heads], f[order[heads]]
+        seen = c > 0
+        some, place = np.unique(hs[seen], return_inverse=True)
+        small = np.bincount(place * (GT + 2) + np.minimum(c[seen], GT + 1), minlength=len(some) * (GT + 2)).reshape(-1, GT + 2)
+        large = np.bincount(place, weights=c[seen] * (c[seen] > GT), minlength=len(some)).astype(np.int64)
+        taken = np.bincount(place, weights=uni.probability(fs[seen].astype(np.int64)), minlength=len(some))
+        rows = [("bigram", -1, int(seen.sum()), shards.pack(shards.delta(hs[seen]), ws[seen], c[seen]), None),
+                ("history", -1, len(some), shards.pack(some, large, taken, *[small[:, r].astype(np.int64) for r in range(1, GT + 2)]), None)]
+        at = 0
+        for name, size in zip(names.tolist(), sizes.tolist(), strict=True):
+            mine = counts[at:at + size]
+            rows.append(("answer", name, size, shards.pack(np.minimum(mine, 0xFFFFFFFF).astype(np.uint32)), np.unique(h[at:at + size][mine == 0])))
+            at += size
+        kind, shard, size, data, need = zip(*rows, strict=True)
+        release()
+        return pa.Table.from_arrays([
+            pa.array(kind), pa.array(np.full(len(rows), key[0].as_py())), pa.array(shard, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(need, pa.list_(pa.int64()))],
+            names=["kind", "bucket", "shard", "n", "data", "need"])
+
+    return count
+
+
 def _histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for n, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            columns = unpack(data.as_buffer(), n, np.int64, np.float64, np.float64, *[np.int64] * (GT + 1))
+            columns = shards.unpack(data.as_buffer(), n, np.int64, np.int64, np.float64, *[np.int64] * (GT + 1))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=HISTORY)
 
 
-def weights(table: DataFrame, uni: Unigrams) -> Weights:
-    """Backoff weight of each history: the buckets' parts are summed by Spark, one row per word of the vocabulary comes back."""
-    size = len(uni.history)
-    parts = table.where("kind = 'history'").select("n", "data").mapInArrow(_histories, "h bigint, large double, taken double, " + ", ".join(f"{c} bigint" for c in HISTORY[3:]))
-    rows = parts.groupBy("h").agg(*[F.sum(c).alias(c) for c in HISTORY[1:]]).toPandas()
-    large, taken, small = np.zeros(size), np.zeros(size), np.zeros((size, GT + 2))
-    at = rows["h"].to_numpy(np.int64)
-    large[at], taken[at], small[at, 1:] = rows["large"], rows["taken"], rows[HISTORY[3:]].to_numpy(np.float64)
-    d = discounts([int(x) for x in small.sum(axis=0)[1:]])
-    used = large + small[:, 1:GT + 1] @ (d * np.arange(1, GT + 1))
-    rest = 1 - used / (uni.history + RESERVE)
-    # never negative but for rounding; a history that saw all there is keeps its rest for none
-    back = np.maximum(rest, 1e-300) / np.maximum(1 - taken, 1e-300)
-    return Weights(np.log10(d * np.arange(1, GT + 1)), np.log10(back), uni.total)
-
-
-SCORE_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-
-
-def _finisher(shared) -> Callable:
-    def finish(key, group):
-        w: Weights = shared.value
-        parts, texts = [], None
-        for b, kind, n, data in zip(group.column("bucket").to_pylist(), group.column("kind").to_pylist(), group.column("n").to_pylist(), group.column("data"), strict=True):
-            if kind == "text":
-                texts = n, unpack(data.as_buffer(), n, np.int64, np.uint8, np.uint8, np.int64, np.int64, np.float64, np.float64)
-            else:
-                parts.append((b, kind, n, data.as_buffer()))
-        n, (ids, valid, held, tokens, known, base, score) = texts
-        known, base, score = known.copy(), base.copy(), score.copy()
-        # in a fixed order, so that sums agree on every run
-        for _, kind, m, data in sorted(parts, key=lambda p: p[:2]):
-            if kind == "part":
-                at, a, b, k, *low = unpack(data, m, *PART)
-                score[at] += a + np.column_stack(low) @ w.low
-                base[at] += b
-                known[at] += k
-            else:
-                at, h, times = unpack(data, m, np.uint16, np.uint32, np.uint32)
-                score += np.bincount(at, weights=times * w.back[h], minlength=n)
-        return pa.Table.from_arrays(
-            [pa.array(ids, mask=valid == 0), pa.array(held == 1), pa.array(tokens), pa.array(known), pa.array(np.full(n, w.total)), pa.array(base), pa.array(score)],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return finish
+def backoff(histories: DataFrame, factors: np.ndarray) -> DataFrame:
+    """(h, log_weight) of every history that was seen.
+
+    The weight is what the discounts leave over what the unigrams of unseen followers hold.
+    A history that was followed by all there is keeps its rest for none.
+    """
+    total, used = F.col("large").cast("double"), F.col("large").cast("double")
+    for r, d in enumerate(factors, 1):
+        total, used = total + r * F.col(f"n{r}"), used + float(d) * r * F.col(f"n{r}")
+    rest = F.greatest(1 - used / (total + RESERVE), F.lit(1e-300))
+    return histories.select("h", (F.log10(rest) - F.log10(F.greatest(1 - F.col("taken"), F.lit(1e-300)))).alias("log_weight"))
+
+
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _score(uni: Unigrams, factors: np.ndarray, buckets: int):
+    logs = np.r_[0.0, np.log10(factors * np.arange(1, GT + 1))]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                p = Pairs(row, uni, buckets)
+                answers = {a["bucket"]: a["data"] for a in row.column("answers")[0].as_py() or []}
+                c = np.zeros(len(p.h), np.int64)
+                for bucket, a, b in p.slices:
+                    (c[a:b],) = shards.unpack(answers[bucket], b - a, np.uint32)
+                room = np.log10(p.f + RESERVE)
+                lower = np.log10(uni.probability(p.f))
+                weights = np.zeros(len(p.ids))
+                names, values = (row.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("needed", "log_weight"))
+                if len(names):
+                    order = np.argsort(names)
+                    at = np.minimum(np.searchsorted(names[order], p.ids), len(names) - 1)
+                    weights = np.where(names[order][at] == p.ids, values[order][at], 0.0)
+                high = np.where(c > GT, np.log10(np.maximum(c, 1)), logs[np.minimum(c, GT)])
+                each = np.where(c > 0, high - room[p.h], weights[p.h] + lower[p.w])
+                k = len(p.ends)
+                yield pa.RecordBatch.from_arrays([
+                    row.column("doc_id").flatten(), pa.array(p.held), pa.array(np.bincount(p.doc, minlength=k).astype(np.int64)), pa.array(np.bincount(p.doc, weights=p.f[p.word] > 0, minlength=k).astype(np.int64)),
+                    pa.array(np.full(k, uni.total)), pa.array(np.bincount(p.doc, weights=uni.base(p.f)[p.word], minlength=k)), pa.array(np.bincount(p.doc, weights=each[p.token], minlength=k))],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                del p, c, each
+            release()
+
+    return score
 
 
 def held_out(mod: int = 10) -> Column:
     return F.pmod(crc("doc_id"), F.lit(mod)) == 0
 
 
-def score(docs: DataFrame, held: Column | None = None, vocabulary: int = VOCABULARY, buckets: int | None = None) -> DataFrame:
+@dataclass
+class Model:
+    """The tables of a model: unigrams (id, word, n), packed bigrams by bucket, histories with their weights."""
+
+    unigrams: DataFrame
+    bigrams: DataFrame
+    weights: DataFrame
+    totals: Unigrams
+    factors: np.ndarray
+
+
+def fitted(docs: DataFrame, held: Column | None = None) -> tuple[Model, DataFrame]:
+    """The model of the rows of ``docs`` that are not held out, and the scores of all rows."""
+    mark = F.coalesce(held, F.lit(False)) if held is not None else F.lit(False)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.alias("held"))
+    parts = shards.cells(docs)
+    local = shards.settled(rows.mapInArrow(_local(parts), LOCAL), "katz-shards")
+    words = local.where("cell IS NOT NULL").select("shard", "cell", "codes", "words", "counts")
+    table = shards.settled(words.groupBy("cell").applyInArrow(_unigrams(parts), UNIGRAM), "katz-unigrams")
+    few = [F.count_if(F.col("n") == r) for r in range(1, GT + 2)]
+    total, types, texts, *n_r = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("word") == END, F.col("n"))), F.lit(0)), *few).first()
+    uni = Unigrams.of(total, types, texts, n_r)
+
+    told = words.groupBy("cell").applyInArrow(_tell(parts), TOLD)
+    told = shards.settled(told.groupBy("shard").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("codes", "ids", "f")]), "katz-told")
+    texts_ = local.where("cell IS NULL").select("shard", "n", "doc_id", "held", "ends", "tokens").join(told, "shard")
+    buckets = max(8, -(-total // MASS))
+    asked = texts_.mapInArrow(_ask(uni, buckets), ASKED)
+    counted = shards.settled(asked.groupBy("bucket").applyInArrow(_count(uni), BUCKET), "katz-bigrams")
+
+    histories = counted.where("kind = 'history'").select("n", "data").mapInArrow(_histories, "h bigint, large bigint, taken double, " + ", ".join(f"{c} bigint" for c in HISTORY[3:]))
+    histories = shards.settled(histories.groupBy("h").agg(*[F.sum(c).alias(c) for c in HISTORY[1:]]), "katz-histories")
+    factors = discounts([x or 0 for x in histories.agg(*[F.sum(c) for c in HISTORY[3:]]).first()])
+    weights = backoff(histories, factors)
+
+    answers = counted.where("kind = 'answer'").select("shard", "bucket", "data", "need")
+    given = answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
+    needs = answers.select("shard", F.explode("need").alias("h")).distinct().join(weights, "h")
+    needs = needs.groupBy("shard").agg(F.collect_list("h").alias("needed"), F.collect_list("log_weight").alias("log_weight"))
+    whole = texts_.join(given, "shard", "left").join(needs, "shard", "left")
+    for column, kind in (("needed", "array<bigint>"), ("log_weight", "array<double>")):
+        whole = whole.withColumn(column, F.coalesce(column, F.array().cast(kind)))
+    model = Model(table, counted.where("kind = 'bigram'").select("bucket", "n", "data"), weights, uni, factors)
+    return model, shards.settled(whole.mapInArrow(_score(uni, factors, buckets), SCORES), "katz-scores")
+
+
+def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text); rows where ``held`` holds aren't learned from.
 
     n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
     base_score (add-0.1 unigrams) and score (log10 probability by the model). Null is the
     empty text, which is one end. Repeated rows are counted and scored as often as they
-    stand. Without training rows every word is unseen. An empty table gives no rows.
+    stand. Without training rows every word is unseen. Other columns are ignored. An empty
+    table gives no rows.
     """
-    spark = docs.sparkSession
-    if not 0 < vocabulary < (1 << 20) - 1:
-        raise ValueError("the packed bigrams hold up to 2^20 words")
-    mark = F.coalesce(held, F.lit(False)) if held is not None else F.lit(False)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.alias("held"))
-    _, uni = unigrams(rows.where("NOT held"), vocabulary)
-    buckets = buckets or max(8, -(-size_hint(docs) // BUCKET_BYTES))
-    shared = spark.sparkContext.broadcast(uni)
-    sent = rows.mapInArrow(_sender(shared, buckets), ROW_SCHEMA)
-    path = fresh(spark, "katz-model")
-    sent.groupBy("bucket").applyInArrow(_counter(shared), ROW_SCHEMA).write.partitionBy("kind").parquet(path)
-    table = spark.read.schema(ROW_SCHEMA).parquet(path)
-    final = spark.sparkContext.broadcast(weights(table, uni))
-    parts = table.where("kind IN ('text', 'part', 'off')").select("chunk", "bucket", "kind", "n", "data")
-    return parts.groupBy("chunk").applyInArrow(_finisher(final), SCORE_SCHEMA)
+    return fitted(docs, held)[1]

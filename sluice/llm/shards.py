@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import size_hint
+from .common import saved, size_hint
 
-RUN_BYTES = 3 << 20
-SHARD_BYTES = 12 << 20
+RUN_BYTES = 2 << 20
+SHARD_BYTES = 6 << 20
 RUN_ROWS = 1 << 14
 PIECE_BYTES = 4 << 20
 CELL_BYTES = 8 << 20
@@ -27,6 +27,27 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+#: while a table of shards is written: small Arrow batches, as a row is megabytes, and no
+#: shuffle files beyond the job that needs them
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """Write the rows to the shared folder under ``SETTINGS`` and read them back; the session's own settings return."""
+    conf = df.sparkSession.conf
+    before = {key: conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        conf.set(key, value)
+    try:
+        return saved(df, what)
+    finally:
+        for key, value in before.items():
+            if value is None:
+                conf.unset(key)
+            else:
+                conf.set(key, value)
+
+
 def delta(a: np.ndarray) -> np.ndarray:
     """Differences of neighbours, wrapping around; ascending runs become small numbers."""
     return np.diff(a, prepend=a.dtype.type(0))
