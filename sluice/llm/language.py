@@ -10,7 +10,7 @@ sums them per text.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -111,6 +111,19 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -
     return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)), np.log(prior / prior.sum()))
 
 
+def _posterior(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Log of prior times likelihood (languages x texts), and which texts have a letter."""
+    total = np.repeat(model.prior[:, None], len(texts), axis=1)
+    lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+    buckets = model.table.shape[1]
+    for bucket, owner in grams(texts, buckets) if len(model.languages) else ():
+        firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+        for row, logs in zip(total, model.table, strict=True):
+            if len(firsts):
+                row[owner[firsts]] += np.add.reduceat(logs[bucket], firsts)
+    return total, lettered
+
+
 def _scorer(broadcast, buckets: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
@@ -118,14 +131,8 @@ def _scorer(broadcast, buckets: int) -> Callable:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 texts = part.column(1).cast(pa.string())
-                total = np.repeat(model.prior[:, None], len(texts), axis=1)
-                lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+                total, lettered = _posterior(model, texts)
                 if len(names) > 1:
-                    for bucket, owner in grams(texts, buckets):
-                        firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-                        for row, logs in zip(total, model.table, strict=True):
-                            if len(firsts):
-                                row[owner[firsts]] += np.add.reduceat(logs[bucket], firsts)
                     best = np.where(lettered, total.argmax(axis=0), len(names) - 1)
                     top = 1.0 / np.exp(total - total.max(axis=0)).sum(axis=0)
                 else:
@@ -158,21 +165,33 @@ def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
     return predict(docs, fit(docs if train is None else docs.where(train)))
 
 
-def identified(docs: DataFrame, train: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that have a language; columns unchanged.
+def identified(docs: DataFrame, train: Column | None = None, wanted: Sequence[str] | None = None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language is one of ``wanted`` (all learned ones by default); columns unchanged.
 
-    The decision depends on the text alone, so it is taken where the row is read: rows
-    whose text is ``und`` go.
+    A row stays if the posterior of the wanted languages together is above one half and the
+    predicted one's is at least ``least``. Rows whose text is null or has no letter go. Where
+    no language was learned, there is no posterior: every text with a letter stays, unless
+    languages are asked for. The decision depends on the text alone, so it is taken where
+    the row is read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs if train is None else docs.where(train)))
-    buckets = BUCKETS
+    model = fit(docs if train is None else docs.where(train))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    taken = np.array([wanted is None or name in wanted for name in model.languages], bool)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(shared, buckets)
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            part = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["doc_id", "text"])
-            found = pa.concat_arrays([r.column(1) for r in score(iter([part]))]) if batch.num_rows else pa.array([], pa.string())
-            yield batch.filter(pc.not_equal(found, UNDEFINED))
+            kept = []
+            for part in slices(batch, "text", SLICE):
+                texts = part.column(at).cast(pa.string())
+                logs, lettered = _posterior(shared.value, texts)
+                if len(taken):
+                    shares = np.exp(logs - logs.max(axis=0))
+                    shares /= shares.sum(axis=0)
+                    lettered &= (shares[taken].sum(axis=0) > 0.5) & (shares.max(axis=0) >= least)
+                elif wanted is not None:
+                    lettered &= False
+                kept.append(lettered)
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -112,7 +112,8 @@ def cut(text: str | bytes, limit: int) -> list[bytes]:
         end = int(marks[i - 1]) if i and marks[i - 1] > at else int(marks[i]) if i < len(marks) else len(data)
         out.append(data[at:end])
         at = end
-    out.append(data[at:])
+    if at < len(data):
+        out.append(data[at:])
     return out
 
 

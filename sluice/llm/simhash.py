@@ -7,6 +7,9 @@ rows whose distances to it differ by at most the radius are looked at; of these,
 whose distance vectors to all pivots differ by more in any coordinate can't be within
 the radius (triangle inequality) and are discarded; the rest are verified bit by bit.
 A key emits edges of a spanning forest only, never all pairs of a group.
+
+`similar` looks for texts whose sets of shingles are alike (Jaccard) rather than for close
+fingerprints, see `wide`.
 """
 
 from __future__ import annotations
@@ -153,30 +156,44 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id", "root")
 
 
-def unique(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id (null last, then by the other columns); columns unchanged."""
-    found = groups(docs, radius)
+def _first_rows(docs: DataFrame, found: DataFrame, prints) -> DataFrame:
+    """Of each ``root`` in ``found`` (doc_id, fp, root) the row with the smallest doc_id (null last, then by print and the other columns)."""
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"))
     keep = least.select(F.col("k.doc_id").alias("__k_id"), F.col("k.fp").alias("__k_fp"))
     counts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
     keep = keep.join(counts.withColumnRenamed("doc_id", "__c_id"), F.col("__k_id").eqNullSafe(F.col("__c_id"))).drop("__c_id")
     rows = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__k_id")))
     single = rows.where("__rows = 1").select(*docs.columns)
-    # ids that stand on several rows: the fingerprint tells the row, the first of equals stays
+    # ids that stand on several rows: the print tells the row, the first of equals stays
     others = [c for c, kind in docs.dtypes if c != "doc_id" and "map<" not in kind and "variant" not in kind]
     again = rows.where("__rows > 1")
-    again = again.mapInArrow(_same_print(again.columns), again.schema)
+    again = again.mapInArrow(_same_print(again.columns, prints), again.schema)
     place = F.row_number().over(W.partitionBy("__k_id", "__k_fp").orderBy(*others))
     return single.unionByName(again.withColumn("__place", place).where("__place = 1").select(*docs.columns))
 
 
-def _same_print(columns: list[str]):
+def _same_print(columns: list[str], prints):
     text, want = columns.index("text"), columns.index("__k_fp")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = b"".join(fingerprint(v.as_py().encode() if v.is_valid else b"") for v in batch.column(text))
-            own = np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64)
-            yield batch.filter(pa.array(own == batch.column(want).to_numpy()))
+            yield batch.filter(pa.array(prints(batch.column(text).cast(pa.string())) == batch.column(want).to_numpy()))
 
     return keep
+
+
+def _narrow(texts: pa.Array) -> np.ndarray:
+    raw = b"".join(fingerprint(v.as_py().encode() if v.is_valid else b"") for v in texts)
+    return np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64)
+
+
+def unique(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component: the one with the smallest doc_id (null last, then by the other columns); columns unchanged."""
+    return _first_rows(docs, groups(docs, radius), _narrow)
+
+
+def distinct(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of texts that are alike over five-word shingles, by wide fingerprints (`wide`); columns unchanged."""
+    from . import wide
+
+    return wide.unique(docs, similarity)
