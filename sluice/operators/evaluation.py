@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -271,43 +274,89 @@ def rule_fraction(fired: DataFrame, weights: dict[str, float]) -> DataFrame:
     return fired.select("account", (hit / total).alias("rule_fraction"))
 
 
+# Cumulative Poisson(1) probabilities, and the modulus and factors of the draws.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+MODULUS, FACTORS = 2147483647, (1103515245, 69069, 48271, 16807)
+
+
+def resampling_weights(case_id: int, rounds: int, seed: int) -> np.ndarray:
+    """Poisson(1) weight of a case in each round, from whole-number arithmetic that SQL can repeat."""
+    a, b, c, d = FACTORS
+    x = (case_id % MODULUS * a + np.arange(rounds, dtype=np.int64) * b + seed) % MODULUS
+    for factor in (c, d, c):
+        x = ((x ^ (x >> 13)) * factor + 1) % MODULUS
+    return np.searchsorted(np.array(POISSON), x / MODULUS, side="left")
+
+
 def paired_bootstrap(pairs: DataFrame, rounds: int = 5000, seed: int = 7) -> DataFrame:
     """Interval of the mean paired difference over resampled cases.
 
     Each case draws a Poisson(1) weight per round from its own hashed seed (the
-    large-sample form of resampling with replacement), so no row is gathered: one
-    partial aggregation over (round) merges all cases. ``pairs``: case_id, a, b.
+    large-sample form of resampling with replacement). A task sums the weights and weighted
+    differences of all its cases as vectors over the rounds, so it sends one row a round
+    however many cases it has. ``pairs``: case_id (a long), a, b; cases without both are left out.
     """
-    draws = pairs.select("case_id", (F.col("a") - F.col("b")).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    u = (F.pmod(F.xxhash64("case_id", "round", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53))
-    # Cumulative Poisson(1) probabilities.
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    means = draws.select("round", "d", weight.alias("w")).groupBy("round").agg(
-        F.try_divide(F.sum(F.col("d") * F.col("w")), F.sum("w")).alias("m")
-    )
+    known = pairs.select(F.col("case_id").cast("long").alias("case_id"), (F.col("a") - F.col("b")).cast("double").alias("d")).where("d IS NOT NULL AND case_id IS NOT NULL")
+
+    def sums(batches):
+        total, weight, any_ = np.zeros(rounds), np.zeros(rounds, np.int64), False
+        for batch in batches:
+            for case, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = resampling_weights(case, rounds, seed)
+                total, weight, any_ = total + d * w, weight + w, True
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds, dtype=np.int32)), pa.array(total), pa.array(weight)], names=["round", "total", "weight"])
+
+    drawn = known.mapInArrow(sums, "round int, total double, weight bigint")
+    means = drawn.groupBy("round").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("m"))
     ci = exact_quantiles(means, [], "m", {"low": 0.025, "high": 0.975})
-    obs = pairs.agg(F.avg(F.col("a") - F.col("b")).alias("mean_difference"), F.count(F.lit(1)).alias("cases"))
+    obs = known.agg(F.avg("d").alias("mean_difference"), F.count(F.lit(1)).alias("cases"))
     return obs.join(ci).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
+def half_tail(k: int, n: int) -> float:
+    """P(X <= k) of a fair binomial: the incomplete beta function I(1/2; n - k, k + 1).
+
+    Its continued fraction (modified Lentz) converges within some multiple of the root of
+    n steps, whatever the counts; the side on which it converges fast is taken.
+    """
+    if k >= n:
+        return 1.0
+    a, b = float(n - k), float(k + 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - (a + b) * math.log(2))
+    flip = 0.5 > (a + 1) / (a + b + 2)
+    if flip:
+        a, b = b, a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / ((1 - (a + b) * 0.5 / (a + 1)) or tiny)
+    value, m = d, 0
+    while True:
+        m += 1
+        for step in (m * (b - m) * 0.5 / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * 0.5 / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    tail = front * value / a
+    return 1 - tail if flip else tail
+
+
 def mcnemar(pairs: DataFrame) -> DataFrame:
     """Exact two-sided test on discordant pairs. ``pairs``: a_correct, b_correct.
 
-    The binomial tail is summed from log-factorials, so no power underflows.
+    The counts are one row, so are the tails; no array as long as the counts is built.
     """
     b = F.count_if(F.col("a_correct") & ~F.col("b_correct"))
     c = F.count_if(~F.col("a_correct") & F.col("b_correct"))
-    n = pairs.agg(b.alias("b"), c.alias("c")).withColumn("n", F.col("b") + F.col("c")).withColumn("k", F.least("b", "c"))
-    # log C(n, i) grows by log((n-i+1)/i); summed in one scan of 0..k
-    tail = F.expr("""
-      aggregate(sequence(CAST(0 AS bigint), k),
-        named_struct('lg', CAST(0 AS double), 's', CAST(0 AS double)),
-        (acc, i) -> named_struct(
-          'lg', CASE WHEN i = 0 THEN CAST(0 AS double) ELSE acc.lg + ln((n - i + 1) / CAST(i AS double)) END,
-          's', acc.s + exp(CASE WHEN i = 0 THEN CAST(0 AS double) ELSE acc.lg + ln((n - i + 1) / CAST(i AS double)) END - n * ln(CAST(2 AS double)))),
-        acc -> acc.s)""")
-    return n.select("b", "c", F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"))
+
+    def tails(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            p = [min(1.0, 2 * half_tail(min(r["b"], r["c"]), r["b"] + r["c"])) for r in rows]
+            yield batch.append_column("p_value", pa.array(p, pa.float64()))
+
+    return pairs.agg(b.alias("b"), c.alias("c")).mapInArrow(tails, "b bigint, c bigint, p_value double")
 
 
 def weakness_note(cases: DataFrame, ours: int) -> DataFrame:

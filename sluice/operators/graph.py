@@ -8,6 +8,7 @@ round, not the chain.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -360,17 +361,48 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("account").join(deg, "account", "left").select("account", (F.coalesce("d", F.lit(0)) / (n - 1)).alias("network_score"))
 
 
+def seed_masks(seeds: DataFrame) -> DataFrame:
+    """(seed, block, bit): every seed has a bit of its own in a 64-bit mask of one of the blocks."""
+    numbered = cut(seeds.select("seed").distinct().withColumn("n", F.monotonically_increasing_id()))
+    return numbered.select("seed", F.shiftright("n", 6).alias("block"), F.expr("shiftleft(CAST(1 AS BIGINT), CAST(n & 63 AS INT))").alias("bit"))
+
+
+def expanded(masks: DataFrame, bits: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per seed whose bit is set in ``mask``."""
+    return masks.join(bits, "block").where(F.col("mask").bitwiseAND(F.col("bit")) != 0).select("seed", *columns)
+
+
 def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
-    """Accounts within ``hops`` of each seed and the pair totals among them.
+    """Accounts within ``hops`` of each seed, and the pair totals among them after each hop.
 
-    ``seeds``: seed. Works for all seeds together.
+    Returns (seed, account, hops) and (hops, seed, src, dst, n, total). ``seeds``: seed.
+    An account holds the set of seeds that reach it as bit masks, 64 seeds a row, which a
+    hop merges by OR; the newest bits go out only. An edge lies in a neighbourhood as soon
+    as both its ends do. Masks are spelled out as seeds at the very end.
     """
-    links = undirected(edges)
-    reach = breadth_first(seeds.select("seed", F.col("seed").alias("account")), links, ["seed"], hops, link_keys=[])
+    links = cut(undirected(edges))
+    bits = cut(seed_masks(seeds))
+    start = bits.groupBy(F.col("seed").alias("account"), "block").agg(F.bit_or("bit").alias("mask"))
+    frontier = seen = cut(start)
+    found = [frontier.withColumn("hops", F.lit(0))]
+    for level in range(1, hops + 1):
+        step = frontier.join(links, "account").groupBy(F.col("peer").alias("account"), "block").agg(F.bit_or("mask").alias("mask"))
+        old = seen.select("account", "block", F.col("mask").alias("old"))
+        step = step.join(old, ["account", "block"], "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0)))))
+        frontier = cut(step.where("mask <> 0").select("account", "block", "mask"))
+        if frontier.isEmpty():
+            break
+        found.append(frontier.withColumn("hops", F.lit(level)))
+        seen = cut(seen.unionByName(frontier).groupBy("account", "block").agg(F.bit_or("mask").alias("mask")))
+    masks = cut(reduce(DataFrame.unionByName, found))
+    reach = expanded(masks, bits, ["account", "hops"])
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
-    side = lambda c: reach.select("seed", F.col("account").alias(c))
-    inside = side("src").join(pairs, "src").join(side("dst"), ["seed", "dst"])
-    return reach, inside.select("seed", "src", "dst", "n", F.round("total", 2).alias("total"))
+    side = lambda c, m, h: masks.select(F.col("account").alias(c), "block", F.col("mask").alias(m), F.col("hops").alias(h))
+    both = pairs.join(side("src", "ma", "ha"), "src").join(side("dst", "mb", "hb"), ["dst", "block"])
+    both = both.select("src", "dst", "n", "total", "block", F.col("ma").bitwiseAND(F.col("mb")).alias("mask"), F.greatest("ha", "hb").alias("first")).where("mask <> 0")
+    inside = expanded(both, bits, ["src", "dst", "n", "total", "first"])
+    each = F.explode(F.sequence(F.greatest("first", F.lit(1)), F.lit(hops))).alias("hops")
+    return reach, inside.select(each, "seed", "src", "dst", "n", F.round("total", 2).alias("total"))
 
 
 def decay_taint(seeds: DataFrame, edges: DataFrame, max_hops: int = 4, start: float = 55.0, decay: float = 0.62) -> DataFrame:

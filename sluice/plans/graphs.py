@@ -245,12 +245,22 @@ def degree_centrality(spark, sf):
     return rounded(R.degree_centrality(A.accounts(spark, sf), A.transfers(spark, sf)), 6, "network_score")
 
 
-@query("neighbourhood_edges", "2.9.21", """
-WITH s AS (SELECT account AS seed FROM c_labels WHERE is_mule), r AS (SELECT seed, seed AS account FROM s UNION SELECT seed, dst FROM s JOIN c_transfers ON src = seed UNION SELECT seed, src FROM s JOIN c_transfers ON dst = seed)
-SELECT a.seed, t.src, t.dst, count(*) AS n, round(sum(amount), 2) AS total FROM r a JOIN c_transfers t ON t.src = a.account JOIN r b ON b.seed = a.seed AND b.account = t.dst GROUP BY ALL""")
+REACH = """WITH RECURSIVE s AS (SELECT account AS seed FROM c_labels WHERE is_mule), u AS (SELECT src AS a, dst AS b FROM c_transfers UNION SELECT dst, src FROM c_transfers),
+w(seed, account, d) AS (SELECT seed, seed, 0 FROM s UNION SELECT seed, u.b, d + 1 FROM w JOIN u ON u.a = w.account WHERE d < 4),
+r AS (SELECT seed, account, min(d) AS hops FROM w GROUP BY seed, account)"""
+
+
+@query("neighbourhood_accounts", "2.9.21", f"{REACH} SELECT seed, account, hops FROM r")
+def neighbourhood_accounts(spark, sf):
+    seeds = A.labels(spark, sf).where("is_mule").select(F.col("account").alias("seed"))
+    return R.neighbourhood(seeds, A.transfers(spark, sf), 4)[0]
+
+
+@query("neighbourhood_edges", "2.9.21", f"""{REACH}, t AS (SELECT src, dst, count(*) AS n, round(sum(amount), 2) AS total FROM c_transfers GROUP BY src, dst)
+SELECT h AS hops, a.seed, t.src, t.dst, t.n, t.total FROM t JOIN r a ON a.account = t.src JOIN r b ON b.seed = a.seed AND b.account = t.dst JOIN (SELECT unnest([1, 2, 3, 4]) AS h) ON h >= greatest(a.hops, b.hops)""")
 def neighbourhood_edges(spark, sf):
     seeds = A.labels(spark, sf).where("is_mule").select(F.col("account").alias("seed"))
-    return R.neighbourhood(seeds, A.transfers(spark, sf), 1)[1]
+    return R.neighbourhood(seeds, A.transfers(spark, sf), 4)[1]
 
 
 @query("decay_taint", "2.9.22", """

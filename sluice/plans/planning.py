@@ -280,46 +280,94 @@ def policy_benchmark(spark, sf):
 
 @query("budget_sweep", "2.9.58")
 def budget_sweep(spark, sf):
-    t = I.plan_totals(plans(spark, sf)).join(A.incidents(spark, sf).select("incident", "amount"), "incident")
-    return t.groupBy("k", "budget").agg(F.avg(F.col("recovery") / F.col("amount")).alias("mean_recovery"), F.avg("secured").alias("mean_secured"), F.count(F.lit(1)).alias("incidents"))
+    """Every budget's greedy plan replayed: money prevented and innocents frozen, next to the planner's own projection."""
+    def build():
+        inc, t, ex = A.incidents(spark, sf), A.transfers(spark, sf), A.exits(spark, sf)
+        steps = I.plan_steps(plans(spark, sf))
+        run = lambda b: F.concat_ws("|", F.col("incident").cast("string"), b.cast("string")).alias("run")
+        budgets = F.explode(F.array(*[F.lit(b) for b in (0.0, *BUDGETS)])).alias("budget")
+        runs = cut(inc.select("incident", budgets).select(run(F.col("budget")), "incident", F.when(F.col("budget") == 0, "none").otherwise("greedy_frontier").alias("policy"), "budget", F.lit(0.0).alias("reroute")))
+        freezes = cut(steps.select(run(F.col("budget")), "incident", "account", "issue_at_minute", "effectiveness"))
+        moves = cut(Y.replay_moves(inc, S.touched(spark, sf), t, ex, freezes, runs.select("run", "incident", "reroute")))
+        return Y.replay_results(inc, S.touched(spark, sf), gone(spark, sf), moves, freezes, runs, ex, A.labels(spark, sf))
+    done = Y.prevented(S.stage(spark, sf, "budget-results", build))
+    told = I.plan_totals(plans(spark, sf)).select("incident", "budget", "recovery")
+    rows = done.join(told, ["incident", "budget"], "left")
+    return rows.groupBy("budget").agg(
+        F.avg(F.col("prevented") / F.col("amount")).alias("mean_prevented"), F.avg(F.coalesce("recovery", F.lit(0.0)) / F.col("amount")).alias("mean_projected"),
+        F.avg("innocent").alias("mean_innocent"), F.avg("frozen").alias("mean_frozen"), F.count(F.lit(1)).alias("incidents"))
 
 
 def delayed(spark, sf):
-    """Every incident once per complaint delay, under an id that carries both."""
+    """Every incident at every complaint delay inside its horizon; ``case`` numbers the pairs."""
     inc = A.incidents(spark, sf)
     at = P.materialise_complaints(inc, DELAYS).select("incident", "delay", "complaint")
-    return inc.drop("delay", "complaint").join(at, "incident").withColumn("incident", F.col("incident") * 1000 + F.col("delay"))
+    rows = inc.drop("delay", "complaint").join(at, "incident").where("complaint <= horizon")
+    return cut(rows.withColumn("case", F.monotonically_increasing_id()))
 
 
-@query("delay_sweep", "2.9.58")
-def delay_sweep(spark, sf):
-    """Prevented share at each delay of the grid for freezing the named account and for the greedy plan.
+SWEPT = ("none", "named_account_only", "greedy_frontier")
+
+
+def swept(spark, sf):
+    """(cases, results): each policy replayed at each delay of the grid.
 
-    The traced, planned and replayed incidents are all (incident, delay) pairs in one job.
+    Money is traced once, to the last delay: what a complaint knows of it is the trace up
+    to that complaint. Parcels are rolled out once, from the first delay; a plan made at a
+    later delay counts what leaves after its freezes land. Cases are planned and replayed
+    on their own.
     """
-    def build():
-        t, ex = A.transfers(spark, sf), A.exits(spark, sf)
-        inc = cut(delayed(spark, sf).where("complaint <= horizon").withColumn("case", F.floor(F.col("incident") / 1000)))
-        flows = cut(T.taint_flows(inc, t, ex))
-        held = cut(T.taint_accounts(inc, flows))
-        left = flows.where("to_exit").groupBy("incident").agg(F.sum("tainted").alias("exited"))
-        named = I.named_account(flows, inc, ex).join(inc.select("incident", "delay"), "incident")
-        until = inc.select("incident", F.col("complaint").alias("until"))
-        pool = cut(T.frontier(held, t, ex, until, T.CANDIDATE_HOPS))
+    t, ex = A.transfers(spark, sf), A.exits(spark, sf)
+    cases = S.stage(spark, sf, "delay-cases", lambda: delayed(spark, sf))
+    base = cases.where(F.col("delay") == DELAYS[0]).drop("case")
+    ends_at = cases.groupBy("incident").agg(F.max("complaint").alias("last"))
+    whole = S.stage(spark, sf, "delay-flows", lambda: T.taint_flows(base.join(ends_at, "incident"), t, ex, "last"))
+
+    def known():
+        known_at = cases.select("incident", "case", F.col("complaint").alias("told_at"))
+        return whole.join(known_at, "incident").where("epoch <= told_at").drop("told_at")
+    flows = S.stage(spark, sf, "delay-known", known)
+    # from here on the case is the incident
+    inc = cases.withColumn("base", F.col("incident")).withColumn("incident", F.col("case"))
+    mine = flows.withColumn("incident", F.col("case")).drop("case")
+    held = S.stage(spark, sf, "delay-held", lambda: T.taint_accounts(inc, mine))
+
+    def rolled_out():
+        first = cases.where(F.col("delay") == DELAYS[0]).select("incident", "case")
+        start = held.withColumnRenamed("incident", "case").join(first, "case").drop("case")
+        until = base.select("incident", F.col("complaint").alias("until"))
+        pool = cut(T.frontier(start, t, ex, until, T.CANDIDATE_HOPS))
         seen = cut(visible_edges(t, pool, until))
-        hops, ends = rollouts(inc, held, pool, seen, ex)
-        hits = I.stakes(cut(M.blocking_index(hops)), cut(ends), scored(inc, pool, seen, A.accounts(spark, sf)))
-        best = I.plan_steps(cut(I.greedy_plans(hits, N_ROLLOUTS, [(K, BUDGET)])))
-        policies = ("none", "named_account_only", "greedy_frontier")
+        hops, ends = rollouts(base, start, pool, seen, ex)
+        return cut(M.blocking_index(hops)), cut(ends), cut(scored(base.withColumn("case", F.col("incident")), pool, seen, A.accounts(spark, sf)))
+
+    def plan():
+        hits, ends, sus = rolled_out()
+        stakes = cut(I.stakes(hits, ends, sus.drop("told").withColumn("told", F.lit(0))).drop("told"))
+        told = inc.select("base", F.col("incident").alias("id"), F.col("delay").alias("told"))
+        each = stakes.join(told, F.col("incident") == F.col("base")).drop("incident", "base").withColumnRenamed("id", "incident")
+        return I.plan_steps(I.greedy_plans(each, N_ROLLOUTS, [(K, BUDGET)]))
+    best = S.stage(spark, sf, "delay-plans", plan)
+
+    def replays():
+        left = mine.where("to_exit").groupBy("incident").agg(F.sum("tainted").alias("exited"))
+        named = I.named_account(mine, inc, ex).join(inc.select("incident", "delay"), "incident")
         run = lambda policy: F.concat_ws("|", F.col("incident").cast("string"), policy).alias("run")
-        runs = inc.select("incident", F.explode(F.array(*[F.lit(p) for p in policies])).alias("policy")).select(
-            run("policy"), "incident", "policy", F.lit(0.0).alias("reroute"))
+        runs = cut(inc.select("incident", F.explode(F.array(*[F.lit(p) for p in SWEPT])).alias("policy")).select(run("policy"), "incident", "policy", F.lit(0.0).alias("reroute")))
         freezes = named.select(
             run(F.lit("named_account_only")), "incident", "account",
             I.issue_minute(F.lit(0), F.col("delay")).alias("issue_at_minute"), F.lit(I.EFFECT["full_freeze"]).alias("effectiveness"))
-        freezes = freezes.unionByName(best.select(run(F.lit("greedy_frontier")), "incident", "account", "issue_at_minute", "effectiveness"))
+        freezes = cut(freezes.unionByName(best.select(run(F.lit("greedy_frontier")), "incident", "account", "issue_at_minute", "effectiveness")))
         moves = cut(Y.replay_moves(inc, held, t, ex, freezes, runs))
-        done = Y.prevented(Y.replay_results(inc, held, left, moves, freezes, runs, ex, A.labels(spark, sf)))
-        rows = done.join(inc.select("incident", "delay"), "incident")
-        return rows.groupBy("policy", "delay").agg(F.avg(F.col("prevented") / F.col("amount")).alias("mean_prevented"), F.avg(F.col("already_gone") / F.col("amount")).alias("already_gone"), F.count(F.lit(1)).alias("incidents"))
-    return S.stage(spark, sf, "delay-sweep", build)
+        return Y.replay_results(inc, held, left, moves, freezes, runs, ex, A.labels(spark, sf))
+    return inc, S.stage(spark, sf, "delay-results", replays)
+
+
+@query("delay_sweep", "2.9.58")
+def delay_sweep(spark, sf):
+    """Prevented share at each delay of the grid for freezing the named account and for the greedy plan, with the innocents frozen."""
+    inc, done = swept(spark, sf)
+    rows = Y.prevented(done).join(inc.select("incident", "delay"), "incident")
+    return rows.groupBy("policy", "delay").agg(
+        F.avg(F.col("prevented") / F.col("amount")).alias("mean_prevented"), F.avg(F.col("already_gone") / F.col("amount")).alias("already_gone"),
+        F.avg("innocent").alias("mean_innocent"), F.count(F.lit(1)).alias("incidents"))

@@ -328,10 +328,24 @@ def rule_fraction(spark, sf):
     return rounded(E.rule_fraction(fired, {"rich": 2.0, "shared": 1.5, "video": 0.5}), 6, "rule_fraction")
 
 
-@query("paired_bootstrap", "2.9.48")
+def step_sql(x, factor):
+    return f"(xor({x}, {x} >> 13) * {factor} + 1) % {E.MODULUS}"
+
+
+BOOTSTRAP = f"""
+WITH p AS (SELECT incident, max(rate) FILTER (policy = 1) - max(rate) FILTER (policy = 2) AS d FROM c_outcomes GROUP BY incident), k AS (SELECT * FROM p WHERE d IS NOT NULL),
+x0 AS (SELECT d, round, (incident % {E.MODULUS} * {E.FACTORS[0]} + round * {E.FACTORS[1]} + 7) % {E.MODULUS} AS x FROM k, (SELECT unnest(range(0, 5000)) AS round)),
+x1 AS (SELECT d, round, {step_sql("x", E.FACTORS[2])} AS x FROM x0), x2 AS (SELECT d, round, {step_sql("x", E.FACTORS[3])} AS x FROM x1), x3 AS (SELECT d, round, {step_sql("x", E.FACTORS[2])} AS x FROM x2),
+w AS (SELECT d, round, len(list_filter([{", ".join(map(repr, E.POISSON))}]::DOUBLE[], lambda c: x / {E.MODULUS}::DOUBLE > c)) AS w FROM x3),
+m AS (SELECT round, sum(d * w) / nullif(sum(w), 0) AS m FROM w GROUP BY round),
+q AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m)
+SELECT round((SELECT avg(d) FROM k), 9) AS mean_difference, (SELECT count(*) FROM k) AS cases, round(low, 9) AS low, round(high, 9) AS high, low > 0 OR high < 0 AS significant FROM q"""
+
+
+@query("paired_bootstrap", "2.9.48", BOOTSTRAP)
 def paired_bootstrap(spark, sf):
     r = A.outcomes(spark, sf).groupBy("incident").agg(F.max(F.when(F.col("policy") == 1, F.col("rate"))).alias("a"), F.max(F.when(F.col("policy") == 2, F.col("rate"))).alias("b"))
-    return E.paired_bootstrap(r.withColumnRenamed("incident", "case_id"))
+    return rounded(E.paired_bootstrap(r.withColumnRenamed("incident", "case_id")), 9, "mean_difference", "low", "high")
 
 
 @query("mcnemar", "2.9.49", """
