@@ -20,6 +20,7 @@ so a frequent phrase is as many entries as there are shards, not occurrences.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,9 @@ FOLD[ord("A"):ord("Z") + 1] += 32
 FOLD[9] = 32
 FOLD[list(b".,;:!?\n\x0b\x0c\r")] = 10
 
-LOCAL = ("kind string, shard bigint, cell bigint, codes array<int>, words array<string>, langs array<string>, counts array<bigint>, n bigint, tokens binary")
+LOCAL = "shard bigint, cell bigint, n bigint, names binary, langs binary, data binary, tokens binary"
 TEXT = pa.string()
+FIELDS = [c.split()[0] for c in LOCAL.split(", ")]
 
 
 def folded(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -92,18 +94,18 @@ class Shard:
         stream = np.concatenate(self.runs)
         stream = np.where(stream > 0, np.r_[-1, place][stream] + 1, 0) if len(place) else stream
         counts = np.bincount(stream, minlength=len(pairs) + 1)[1:]
-        words, langs = word.dictionary.take(pa.array(pairs % max(len(word.dictionary), 1))), lang.dictionary.take(pa.array(pairs // max(len(word.dictionary), 1)))
-        one = {
-            "kind": pa.array(["tokens"]), "shard": pa.array([shard], pa.int64()), "cell": pa.nulls(1, pa.int64()), "codes": pa.nulls(1, pa.list_(pa.int32())),
-            "words": pa.nulls(1, pa.list_(TEXT)), "langs": pa.nulls(1, pa.list_(TEXT)), "counts": pa.nulls(1, pa.list_(pa.int64())),
-            "n": pa.array([len(stream)], pa.int64()), "tokens": pa.array([shards.pack(stream.astype(np.uint32))], pa.binary())}
-        yield pa.RecordBatch.from_pydict(one)
-        for cell, at in shards.dealt(words, parts):
-            at_ = pa.array(at)
-            yield pa.RecordBatch.from_pydict({
-                "kind": pa.array(["words"]), "shard": one["shard"], "cell": pa.array([cell], pa.int64()), "codes": shards.lists(pa.array(at, pa.int32())),
-                "words": shards.lists(words.take(at_)), "langs": shards.lists(langs.take(at_)), "counts": shards.lists(pa.array(counts[at], pa.int64())),
-                "n": pa.nulls(1, pa.int64()), "tokens": pa.nulls(1, pa.binary())})
+        words = word.dictionary.take(pa.array(pairs % max(len(word.dictionary), 1)))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([shard], pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(stream)], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+            pa.array([shards.pack(stream.astype(np.uint32))], pa.binary())], names=FIELDS)
+        where = lang.indices.to_numpy(zero_copy_only=False)[np.unique(key, return_index=True)[1]] if len(key) else np.zeros(0, int)
+        rows = list(shards.sliced(words, parts, counts.astype(np.int64), where.astype(np.int32)))
+        if rows:
+            cell, n, names, data = zip(*rows, strict=True)
+            spoken = json.dumps(lang.dictionary.to_pylist()).encode()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(rows), shard)), pa.array(cell, pa.int64()), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array([spoken] * len(rows), pa.binary()), pa.array(data, pa.binary()),
+                pa.nulls(len(rows), pa.binary())], names=FIELDS)
 
 
 def _local(parts: int):
@@ -123,27 +125,30 @@ def _local(parts: int):
 
 
 FREQUENT = "cell bigint, word string, lang string, f bigint, past bigint"
-HEARD = "shard bigint, cell bigint, codes array<int>, past array<bigint>, f array<bigint>"
-
-
-def _words_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, np.ndarray]:
-    """Slices of one cell, by shard: slice of each entry, entry's word, the distinct words, languages and counts."""
-    order = np.argsort(group.column("shard").to_numpy(), kind="stable")
-    group = group.take(pa.array(order)).combine_chunks()
-    words, langs = (group.column(c).chunk(0) for c in ("words", "langs"))
-    word, lang = words.flatten().dictionary_encode(), langs.flatten().dictionary_encode()
-    key = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(word.dictionary), 1) + word.indices.to_numpy(zero_copy_only=False)
+HEARD = "shard bigint, n bigint, cell bigint, data binary"
+
+
+def _words_of(group: pa.Table):
+    """Slices of one cell: shards, sizes, codes, each entry's word, the distinct words, their languages and counts."""
+    names, sizes, words, (codes, counts, where) = shards.gathered(group, np.int64, np.int32)
+    group = group.take(pa.array(np.argsort(group.column("shard").to_numpy(), kind="stable")))
+    spoken = [json.loads(x) for x in group.column("langs").to_pylist()]
+    lang = pa.array([x for some in spoken for x in some], TEXT).dictionary_encode()
+    first = np.cumsum([0, *map(len, spoken)])[:-1]
+    lang_of = lang.indices.to_numpy(zero_copy_only=False)[np.repeat(first, sizes) + where]
+    word = words.dictionary_encode()
+    key = lang_of.astype(np.int64) * max(len(word.dictionary), 1) + word.indices.to_numpy(zero_copy_only=False)
     pairs, place = np.unique(key, return_inverse=True)
-    total = np.bincount(place, weights=group.column("counts").chunk(0).flatten().to_numpy(), minlength=len(pairs)).astype(np.int64)
+    total = np.bincount(place, weights=counts, minlength=len(pairs)).astype(np.int64)
     at = pa.array(pairs % max(len(word.dictionary), 1)), pa.array(pairs // max(len(word.dictionary), 1))
-    return group, place, word.dictionary.take(at[0]), lang.dictionary.take(at[1]), total
+    return names, sizes, codes, place, word.dictionary.take(at[0]), lang.dictionary.take(at[1]), total
 
 
 def _counting(least: int):
     """Words of a cell -> the frequent ones with their places in the cell's stretch, and all counts by language."""
 
     def count(key, group):
-        _, _, words, langs, total = _words_of(group)
+        *_, words, langs, total = _words_of(group)
         on = np.flatnonzero(total >= least)
         f = total[on]
         some, lang = np.unique(langs.to_numpy(zero_copy_only=False).astype(str), return_inverse=True) if len(langs) else (np.zeros(0, str), np.zeros(0, int))
@@ -161,16 +166,13 @@ def _telling(least: int):
     """Words of a cell -> what each shard hears about its own frequent ones."""
 
     def tell(key, group):
-        group, place, _, _, total = _words_of(group)
+        names, sizes, codes, place, _, _, total = _words_of(group)
         on = total >= least
         past = np.where(on, np.cumsum(total * on) - total, 0)
-        sizes = np.diff(group.column("codes").chunk(0).offsets.to_numpy())
         kept = on[place]
-        ends = np.r_[0, np.cumsum(kept)][np.r_[0, np.cumsum(sizes)]]
-        codes = group.column("codes").chunk(0).flatten().to_numpy(zero_copy_only=False)[kept]
-        offsets = pa.array(ends, pa.int32())
-        listed = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((codes, pa.int32()), (past[place][kept], pa.int64()), (total[place][kept], pa.int64()))]
-        return pa.Table.from_arrays([group.column("shard"), pa.array(np.full(group.num_rows, key[0].as_py())), *listed], names=["shard", "cell", "codes", "past", "f"])
+        sizes = np.diff(np.r_[0, np.cumsum(kept)][np.r_[0, np.cumsum(sizes)]])
+        out = shards.told_rows(names, sizes, codes[kept], past[place][kept], total[place][kept])
+        return out.add_column(2, "cell", pa.array(np.full(out.num_rows, key[0].as_py())))
 
     return tell
 
@@ -184,7 +186,9 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             one = batch.slice(i, 1)
             (stream,) = shards.unpack(one.column("tokens")[0].as_buffer(), one.column("n")[0].as_py(), np.uint32)
-            codes, address, f = (one.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("codes", "address", "f"))
+            codes, past, f = shards.heard(one, np.int64, np.int64)
+            told = one.column("told")[0].as_py() or []
+            address = past + np.repeat([t["begin"] for t in told], [t["n"] for t in told]).astype(np.int64)
             order = np.argsort(address)
             told = np.zeros(max(int(stream.max(initial=0)), int(codes.max(initial=-1)) + 1) + 1, np.int64)
             told[codes[order] + 1] = np.arange(1, len(order) + 1)
@@ -383,15 +387,15 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: in
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     parts = shards.cells(docs)
     local = shards.settled(rows.mapInArrow(_local(parts), LOCAL), "phrase-shards")
-    slices = local.where("kind = 'words'").select("shard", "cell", "codes", "words", "langs", "counts")
+    slices = local.where("cell IS NOT NULL").drop("tokens")
     words, totals = frequent_words(slices, least)
     # where each cell's words begin on the line
     begin = words.groupBy("cell").agg(F.sum("f").alias("size")).withColumn("begin", F.sum("size").over(W.orderBy("cell")) - F.col("size")).select("cell", "begin")
     words = shards.settled(words.join(begin, "cell").select("word", "lang", "f", (F.col("past") + F.col("begin")).alias("address")), "phrase-addresses")
     heard = slices.groupBy("cell").applyInArrow(_telling(least), HEARD).join(begin, "cell")
-    heard = heard.groupBy("shard").agg(
-        F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list(F.transform("past", lambda x: x + F.col("begin")))).alias("address"), F.flatten(F.collect_list("f")).alias("f"))
-    streams = shards.settled(local.where("kind = 'tokens'").select("shard", "n", "tokens").join(heard, "shard").mapInArrow(_streams, STREAM), "phrase-streams")
+    heard = heard.groupBy("shard").agg(F.collect_list(F.struct("n", "data", "begin")).alias("told"))
+    texts = local.where("cell IS NULL").select("shard", "n", "tokens")
+    streams = shards.settled(texts.join(heard, "shard").mapInArrow(_streams, STREAM), "phrase-streams")
 
     known = streams.mapInArrow(_pairs(mass), SLICES).groupBy("range").applyInArrow(_answering(least), "shard bigint, one array<bigint>, two array<bigint>")
     known = known.groupBy("shard").agg(F.flatten(F.collect_list("one")).alias("one"), F.flatten(F.collect_list("two")).alias("two"))

@@ -38,7 +38,7 @@ CAPITALS = np.zeros(256, bool)
 CAPITALS[ord("A"):ord("Z") + 1] = True
 
 ROW = "doc_id array<bigint>, part array<string>, marks array<int>, sha array<binary>, starts array<bigint>, entries bigint, cells binary"
-LOCAL = f"kind string, shard bigint, cell bigint, codes array<int>, words array<string>, {ROW}"
+LOCAL = f"shard bigint, cell bigint, n bigint, names binary, data binary, {ROW}"
 ROWS = "doc_id bigint, part string, failed int, sha binary"
 NAMES = [c.split()[0] for c in ROW.split(", ")]
 
@@ -86,14 +86,16 @@ class Shard:
         row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         cells, times = _ordered(row, place[codes].astype(np.int64), np.concatenate(times))
         one = {
-            "kind": pa.array(["matrix"]), "shard": pa.array([shard], pa.int64()), "cell": pa.nulls(1, pa.int64()), "codes": pa.nulls(1, pa.list_(pa.int32())), "words": pa.nulls(1, pa.list_(pa.string())),
+            "shard": pa.array([shard], pa.int64()), "cell": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "names": pa.nulls(1, pa.binary()), "data": pa.nulls(1, pa.binary()),
             **{name: shards.lists(pa.concat_arrays(x)) for name, x in zip(NAMES, (ids, part, marks, sha), strict=False)},
             "starts": shards.lists(pa.array(starts, pa.int64())), "entries": pa.array([len(cells)], pa.int64()), "cells": pa.array([shards.pack(shards.delta(cells.astype(np.uint32)), times)], pa.binary())}
         yield pa.RecordBatch.from_pydict(one)
-        for cell, at in shards.dealt(words, parts):
+        rows = list(shards.sliced(words, parts))
+        if rows:
+            cell, n, names, data = zip(*rows, strict=True)
             yield pa.RecordBatch.from_pydict({
-                "kind": pa.array(["words"]), "shard": one["shard"], "cell": pa.array([cell], pa.int64()), "codes": shards.lists(pa.array(at, pa.int32())), "words": shards.lists(words.take(pa.array(at))),
-                **{name: pa.nulls(1, one[name].type) for name in NAMES}})
+                "shard": pa.array(np.full(len(rows), shard)), "cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64()), "names": pa.array(names, pa.binary()), "data": pa.array(data, pa.binary()),
+                **{name: pa.nulls(len(rows), one[name].type) for name in NAMES}})
 
 
 def _ordered(row: np.ndarray, columns: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +128,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             shard = batch.slice(i, 1)
             local, times = shards.unpack(shard.column("cells")[0].as_buffer(), shard.column("entries")[0].as_py(), np.uint32, np.uint32)
-            ids = shards.table_of(shard.column("codes"), shard.column("ids"))
+            ids = shards.by_code(*shards.heard(shard, np.int64))
             starts = shard.column("starts").flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             columns, times = _ordered(row, ids[shards.undelta(local)], times)
@@ -140,9 +142,8 @@ def matrix(docs: DataFrame, part: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.cast("string").alias("part"), F.col("text").cast("string").alias("text"))
     parts = shards.cells(docs)
     local = shards.settled(rows.mapInArrow(_local(parts), LOCAL), "audit-shards")
-    told = shards.mapping(shards.numbered(local.where("kind = 'words'"), parts))
-    wide = local.where("kind = 'matrix'").select("shard", *NAMES).join(told, "shard", "left")
-    wide = wide.withColumn("codes", F.coalesce("codes", F.array().cast("array<int>"))).withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    told = shards.mapping(shards.numbered(local.where("cell IS NOT NULL"), parts))
+    wide = local.where("cell IS NULL").select("shard", *NAMES).join(told, "shard", "left")
     return wide.drop("shard").mapInArrow(_encoded, ROW)
 
 

@@ -43,8 +43,8 @@ GT = 5
 RESERVE = 0.1
 SHARD_BYTES = 6 << 20
 MASS = 1 << 20
-#: stands for the end of a text; no word holds white space
-END = "\n"
+#: stands for the end of a text; no word is empty
+END = ""
 #: the history of a text's first token; ids of words begin at 1
 START = 0
 
@@ -97,8 +97,7 @@ class Unigrams:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.types + 1)))
 
 
-LOCAL = ("shard bigint, cell bigint, codes array<int>, words array<string>, counts array<bigint>, "
-         "n bigint, doc_id array<bigint>, held array<boolean>, ends array<bigint>, tokens binary")
+LOCAL = "shard bigint, cell bigint, n bigint, names binary, data binary, doc_id array<bigint>, held array<boolean>, ends array<bigint>, tokens binary"
 
 
 class Shard:
@@ -122,14 +121,13 @@ class Shard:
         learned = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), sizes)
         counts = np.bincount(tokens[learned], minlength=len(words))
         one = {
-            "shard": pa.array([shard], pa.int64()), "cell": pa.nulls(1, pa.int64()), "codes": pa.nulls(1, pa.list_(pa.int32())), "words": pa.nulls(1, pa.list_(pa.string())), "counts": pa.nulls(1, pa.list_(pa.int64())),
-            "n": pa.array([len(tokens)], pa.int64()), "doc_id": shards.lists(pa.concat_arrays(ids)), "held": shards.lists(held), "ends": shards.lists(pa.array(np.cumsum(sizes), pa.int64())),
-            "tokens": pa.array([shards.pack(tokens.astype(np.uint32))], pa.binary())}
+            "shard": pa.array([shard], pa.int64()), "cell": pa.nulls(1, pa.int64()), "n": pa.array([len(tokens)], pa.int64()), "names": pa.nulls(1, pa.binary()), "data": pa.nulls(1, pa.binary()),
+            "doc_id": shards.lists(pa.concat_arrays(ids)), "held": shards.lists(held), "ends": shards.lists(pa.array(np.cumsum(sizes), pa.int64())), "tokens": pa.array([shards.pack(tokens.astype(np.uint32))], pa.binary())}
         yield pa.RecordBatch.from_pydict(one)
-        for cell, at in shards.dealt(words, parts):
-            yield pa.RecordBatch.from_pydict({
-                "shard": one["shard"], "cell": pa.array([cell], pa.int64()), "codes": shards.lists(pa.array(at, pa.int32())), "words": shards.lists(words.take(pa.array(at))),
-                "counts": shards.lists(pa.array(counts[at], pa.int64())), **{k: pa.nulls(1, one[k].type) for k in ("n", "doc_id", "held", "ends", "tokens")}})
+        cell, n, names, data = zip(*shards.sliced(words, parts, counts.astype(np.int64)), strict=True)
+        yield pa.RecordBatch.from_pydict({
+            "shard": pa.array(np.full(len(n), shard)), "cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64()), "names": pa.array(names, pa.binary()), "data": pa.array(data, pa.binary()),
+            **{k: pa.nulls(len(n), one[k].type) for k in ("doc_id", "held", "ends", "tokens")}})
 
 
 def _local(parts: int):
@@ -149,21 +147,22 @@ def _local(parts: int):
 
 
 UNIGRAM = "id bigint, word string, n bigint"
-TOLD = "shard bigint, codes array<int>, ids array<bigint>, f array<bigint>"
 
 
-def _summed(group: pa.Table, cell: int, parts: int) -> tuple[pa.Table, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Slices of a cell in the order of their shards, each entry's word, and the words with ids and counts."""
-    group = group.take(pa.array(np.argsort(group.column("shard").to_numpy(), kind="stable"))).combine_chunks()
-    coded = group.column("words").chunk(0).flatten().dictionary_encode()
+def _summed(group: pa.Table, cell: int, parts: int):
+    """Slices of a cell, each entry's word, and the words with ids and counts; frequent words have small ids."""
+    names, sizes, words, (codes, counts) = shards.gathered(group, np.int64)
+    coded = words.dictionary_encode()
     place = coded.indices.to_numpy(zero_copy_only=False)
-    total = np.bincount(place, weights=group.column("counts").chunk(0).flatten().to_numpy(zero_copy_only=False), minlength=len(coded.dictionary)).astype(np.int64)
-    return group, place, coded.dictionary, np.arange(len(total), dtype=np.int64) * parts + cell + 1, total
+    total = np.bincount(place, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+    rank = np.empty(len(total), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+    return names, sizes, codes, place, coded.dictionary, rank * parts + cell + 1, total
 
 
 def _unigrams(parts: int):
     def unigrams(key, group):
-        _, _, words, ids, total = _summed(group, key[0].as_py(), parts)
+        *_, words, ids, total = _summed(group, key[0].as_py(), parts)
         on = pa.array(np.flatnonzero(total > 0))
         return pa.Table.from_arrays([pa.array(ids).take(on), words.cast(pa.string()).take(on), pa.array(total).take(on)], names=["id", "word", "n"])
 
@@ -172,10 +171,8 @@ def _unigrams(parts: int):
 
 def _tell(parts: int):
     def tell(key, group):
-        group, place, _, ids, total = _summed(group, key[0].as_py(), parts)
-        codes = group.column("codes").chunk(0)
-        offsets = pa.array(codes.offsets.to_numpy() - codes.offsets[0].as_py(), pa.int32())
-        return pa.Table.from_arrays([group.column("shard"), codes, pa.ListArray.from_arrays(offsets, pa.array(ids[place])), pa.ListArray.from_arrays(offsets, pa.array(total[place]))], names=["shard", "codes", "ids", "f"])
+        names, sizes, codes, place, _, ids, total = _summed(group, key[0].as_py(), parts)
+        return shards.told_rows(names, sizes, codes, ids[place], total[place])
 
     return tell
 
@@ -192,7 +189,8 @@ class Pairs:
         (tokens,) = shards.unpack(row.column("tokens")[0].as_buffer(), row.column("n")[0].as_py(), np.uint32)
         self.ends = row.column("ends").flatten().to_numpy(zero_copy_only=False)
         self.held = row.column("held").flatten().to_numpy(zero_copy_only=False).astype(bool)
-        ids, f = shards.table_of(row.column("codes"), row.column("ids")), shards.table_of(row.column("codes"), row.column("f"))
+        codes, ids, f = shards.heard(row, np.int64, np.int64)
+        ids, f = shards.by_code(codes, ids), shards.by_code(codes, f)
         # the start of a text stands behind all words
         self.ids, self.f = np.r_[ids, START], np.r_[f, uni.texts]
         self.word = tokens.astype(np.int64)
@@ -214,6 +212,26 @@ class Pairs:
         self.slices = list(zip(some.tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)][: len(heads)], strict=True))
 
 
+    def slice(self, a: int, b: int) -> bytes:
+        """Histories, followers and counts of one bucket; followers refer to an alphabet with their unigram counts."""
+        some, place = np.unique(self.w[a:b], return_inverse=True)
+        order = np.argsort(self.ids[some])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        some = some[order]
+        words = shards.pack(shards.delta(self.ids[some]), self.f[some].astype(np.uint32))
+        rows = shards.pack(shards.delta(self.ids[self.h[a:b]]), back[place].astype(np.uint32), self.times[a:b].astype(np.uint32))
+        return len(some).to_bytes(8, "little") + len(words).to_bytes(8, "little") + words + rows
+
+
+def _slice(data: bytes, n: int) -> tuple[np.ndarray, ...]:
+    """Histories, followers, the followers' unigram counts, and counts."""
+    k, size = (int.from_bytes(data[i:i + 8], "little") for i in (0, 8))
+    ids, f = shards.unpack(data[16:16 + size], k, np.int64, np.uint32)
+    h, place, times = shards.unpack(data[16 + size:], n, np.int64, np.uint32, np.uint32)
+    return shards.undelta(h), shards.undelta(ids)[place], f[place], times
+
+
 ASKED = "bucket bigint, shard bigint, n bigint, data binary"
 
 
@@ -225,7 +243,7 @@ def _ask(uni: Unigrams, buckets: int):
                 p = Pairs(row, uni, buckets)
                 if not p.slices:
                     continue
-                blobs = [shards.pack(shards.delta(p.ids[p.h[a:b]]), p.ids[p.w[a:b]], p.f[p.w[a:b]].astype(np.uint32), p.times[a:b].astype(np.uint32)) for _, a, b in p.slices]
+                blobs = [p.slice(a, b) for _, a, b in p.slices]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([b for b, _, _ in p.slices], pa.int64()), pa.concat_arrays([row.column("shard")] * len(blobs)), pa.array([b - a for _, a, b in p.slices], pa.int64()), pa.array(blobs, pa.binary())],
                     names=["bucket", "shard", "n", "data"])
@@ -249,8 +267,7 @@ def _count(uni: Unigrams):
         h, w, f, times = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint32), np.empty(n, np.uint32)
         at = 0
         for size, data in zip(sizes.tolist(), group.column("data").chunk(0), strict=True):
-            a, b, c, d = shards.unpack(data.as_buffer(), size, np.int64, np.int64, np.uint32, np.uint32)
-            h[at:at + size], w[at:at + size], f[at:at + size], times[at:at + size] = shards.undelta(a), b, c, d
+            h[at:at + size], w[at:at + size], f[at:at + size], times[at:at + size] = _slice(data.as_py(), size)
             at += size
         del group
         order = np.lexsort((w, h))
@@ -359,14 +376,13 @@ def fitted(docs: DataFrame, held: Column | None = None) -> tuple[Model, DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.alias("held"))
     parts = shards.cells(docs)
     local = shards.settled(rows.mapInArrow(_local(parts), LOCAL), "katz-shards")
-    words = local.where("cell IS NOT NULL").select("shard", "cell", "codes", "words", "counts")
+    words = local.where("cell IS NOT NULL").select(*shards.SLICE)
     table = shards.settled(words.groupBy("cell").applyInArrow(_unigrams(parts), UNIGRAM), "katz-unigrams")
     few = [F.count_if(F.col("n") == r) for r in range(1, GT + 2)]
     total, types, texts, *n_r = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("word") == END, F.col("n"))), F.lit(0)), *few).first()
     uni = Unigrams.of(total, types, texts, n_r)
 
-    told = words.groupBy("cell").applyInArrow(_tell(parts), TOLD)
-    told = shards.settled(told.groupBy("shard").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("codes", "ids", "f")]), "katz-told")
+    told = shards.settled(shards.mapping(words.groupBy("cell").applyInArrow(_tell(parts), shards.TOLD)), "katz-told")
     texts_ = local.where("cell IS NULL").select("shard", "n", "doc_id", "held", "ends", "tokens").join(told, "shard")
     buckets = max(8, -(-total // MASS))
     asked = texts_.mapInArrow(_ask(uni, buckets), ASKED)

@@ -13,6 +13,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ SHARD_BYTES = 6 << 20
 RUN_ROWS = 1 << 14
 PIECE_BYTES = 4 << 20
 CELL_BYTES = 8 << 20
+LEVEL = 3
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -58,19 +60,31 @@ def undelta(a: np.ndarray) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, byte plane by byte plane, which compresses well."""
-    return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    """Arrays of one length, byte plane by byte plane, compressed."""
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.compress(b"".join(planes), LEVEL)
 
 
 def unpack(data, n: int, *kinds) -> list[np.ndarray]:
-    out, at = [], 0
+    raw, out, at = zstandard.decompress(data) if n else b"", [], 0
     for kind in map(np.dtype, kinds):
-        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
         at += n * kind.itemsize
     return out
 
 
+def pack_words(words: pa.Array) -> bytes:
+    """Words, none of which holds a line feed."""
+    return zstandard.compress(pc.binary_join(lists(words.cast(pa.string())), "\n")[0].as_buffer(), LEVEL) if len(words) else b""
+
+
+def unpack_words(data, n: int) -> pa.Array:
+    if not n:
+        return pa.array([], pa.string())
+    return pc.split_pattern(pa.array([zstandard.decompress(data)], pa.binary()).cast(pa.string()), "\n").flatten()
+
+
 def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """Rows of a partition in runs of about ``limit`` bytes of text; a longer text is a run of its own."""
     limit = limit or RUN_BYTES
@@ -175,40 +189,75 @@ def dealt(words: pa.Array, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield c, order[a:b]
 
 
-CODES = "shard bigint, codes array<int>, ids array<bigint>"
+def sliced(words: pa.Array, parts: int, *arrays: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(cell, n, words, codes and further arrays) of each hash cell; ``unslice`` reads the last."""
+    for cell, at in dealt(words, parts):
+        yield cell, len(at), pack_words(words.take(pa.array(at))), pack(delta(at.astype(np.int32)), *[a[at] for a in arrays])
+
+
+def gathered(group: pa.Table, *kinds) -> tuple[np.ndarray, np.ndarray, pa.Array, list[np.ndarray]]:
+    """Slices of one cell in the order of their shards, so that a repeated task gives the same ids.
+
+    Returns the shards, the slices' sizes, all words, and codes and further arrays end to end.
+    """
+    group = group.take(pa.array(np.argsort(group.column("shard").to_numpy(), kind="stable")))
+    sizes = group.column("n").to_numpy()
+    words = pa.concat_arrays([unpack_words(d, n) for d, n in zip(group.column("names").to_pylist(), sizes.tolist(), strict=True)])
+    parts = [unpack(d, n, np.int32, *kinds) for d, n in zip(group.column("data").to_pylist(), sizes.tolist(), strict=True)]
+    arrays = [np.concatenate(column) for column in zip(*parts, strict=True)]
+    ends = np.cumsum(sizes) - sizes
+    codes = arrays[0].astype(np.int64)
+    total = np.cumsum(codes)
+    arrays[0] = total - np.repeat(total[ends] - codes[ends], sizes)
+    return group.column("shard").to_numpy(), sizes, words, arrays
+
+
+TOLD = "shard bigint, n bigint, data binary"
+
+
+def told_rows(names: np.ndarray, sizes: np.ndarray, codes: np.ndarray, *values: np.ndarray) -> pa.Table:
+    """What shards hear about their words: codes and values, a row per slice."""
+    ends = np.cumsum(sizes)
+    blobs = [pack(delta(codes[e - n:e].astype(np.int32)), *[v[e - n:e] for v in values]) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    return pa.Table.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "n", "data"])
 
 
 def _numbers(parts: int):
     def number(key, group):
-        group = group.combine_chunks()
-        words, codes = (group.column(c).chunk(0) for c in ("words", "codes"))
-        # slices in an order of their own, so that a repeated task gives the same numbers
-        order = np.argsort(group.column("shard").to_numpy(), kind="stable")
-        words, codes = words.take(pa.array(order)), codes.take(pa.array(order))
-        ids = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) * parts + key[0].as_py()
-        listed = pa.ListArray.from_arrays(pa.array(words.offsets.to_numpy() - words.offsets[0].as_py(), pa.int32()), pa.array(ids))
-        return pa.Table.from_arrays([group.column("shard").take(pa.array(order)), codes, listed], names=["shard", "codes", "ids"])
+        names, sizes, words, (codes,) = gathered(group)
+        ids = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) * parts + key[0].as_py()
+        return told_rows(names, sizes, codes, ids)
 
     return number
 
 
+SLICE = ("shard", "cell", "n", "names", "data")
+
+
 def numbered(words: DataFrame, parts: int) -> DataFrame:
-    """(shard, codes, ids) for slices (shard, cell, codes, words) of shard dictionaries: equal words, equal ids.
+    """Slices of shard dictionaries -> what each shard hears: the ids of its words, equal for equal words.
 
     One shuffle by hash cell; a cell numbers its distinct words.
     """
-    slices_ = words.select("shard", "cell", F.col("codes"), F.col("words"))
-    return slices_.groupBy("cell").applyInArrow(_numbers(parts), CODES)
+    return words.select(*SLICE).groupBy("cell").applyInArrow(_numbers(parts), TOLD)
 
 
 def mapping(told: DataFrame) -> DataFrame:
-    """All slices of a shard in one row: as long as its dictionary."""
-    return told.groupBy("shard").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("ids")).alias("ids"))
+    """All a shard hears in one row (``told``): as long as its dictionary."""
+    return told.groupBy("shard").agg(F.collect_list(F.struct("n", "data")).alias("told"))
+
+
+def heard(row: pa.RecordBatch, *kinds) -> list[np.ndarray]:
+    """Codes and values of the row's ``told``; none where the shard heard nothing."""
+    slices_ = row.column("told")[0].as_py() or []
+    parts = []
+    for s in slices_:
+        codes, *values = unpack(s["data"], s["n"], np.int32, *kinds)
+        parts.append([undelta(codes), *values])
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in (np.int32, *kinds)]
 
 
-def table_of(codes: pa.Array, ids: pa.Array) -> np.ndarray:
-    """ids by code."""
-    codes, ids = (x.flatten().to_numpy(zero_copy_only=False) for x in (codes, ids))
-    out = np.zeros(len(codes), np.int64)
-    out[codes] = ids
+def by_code(codes: np.ndarray, values: np.ndarray, size: int | None = None) -> np.ndarray:
+    out = np.zeros(len(codes) if size is None else size, values.dtype)
+    out[codes] = values
     return out

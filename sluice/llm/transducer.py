@@ -75,16 +75,15 @@ class Automaton:
     target: np.ndarray
 
     def to_bytes(self) -> bytes:
-        head = np.array([len(self.alphabet), len(self.starts), len(self.label)], np.int64).tobytes()
-        return b"".join([head, pack(self.alphabet), pack(self.starts), pack(self.label, self.weight, self.target)])
+        blobs = [pack(self.alphabet), pack(self.starts), pack(self.label, self.weight, self.target)]
+        head = [len(self.alphabet), len(self.starts), len(self.label), *map(len, blobs)]
+        return b"".join([np.array(head, np.int64).tobytes(), *blobs])
 
     @staticmethod
     def of_bytes(data: bytes) -> Automaton:
-        a, s, n = np.frombuffer(data, np.int64, 3).tolist()
-        (alphabet,) = unpack(data[24:24 + 8 * a], a, np.int64)
-        (starts,) = unpack(data[24 + 8 * a:24 + 8 * a + 4 * s], s, np.uint32)
-        label, weight, target = unpack(data[24 + 8 * a + 4 * s:], n, np.uint32, np.int64, np.uint32)
-        return Automaton(alphabet, starts, label, weight, target)
+        a, s, n, x, y, _ = np.frombuffer(data, np.int64, 6).tolist()
+        (alphabet,), (starts,) = unpack(data[48:48 + x], a, np.int64), unpack(data[48 + x:48 + x + y], s, np.uint32)
+        return Automaton(alphabet, starts, *unpack(data[48 + x + y:], n, np.uint32, np.int64, np.uint32))
 
     @property
     def states(self) -> int:

@@ -81,10 +81,14 @@ def test_many_shards(monkeypatch, spark):
     batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "part": ["p"], "text": [f"own{i} same same text"]}) for i in range(20)]
     monkeypatch.setattr(filter_audit.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
     out = pa.Table.from_batches(list(filter_audit._local(4)(iter(batches)))).to_pylist()
-    shard_rows = [r for r in out if r["kind"] == "matrix"]
+    shard_rows = [r for r in out if r["cell"] is None]
     assert len(shard_rows) > 3 and [i for r in shard_rows for i in r["doc_id"]] == list(range(20))
     for r in shard_rows:
-        words = {c: w for x in out if x["kind"] == "words" and x["shard"] == r["shard"] for c, w in zip(x["codes"], x["words"], strict=True)}
+        words = {}
+        for x in out:
+            if x["cell"] is not None and x["shard"] == r["shard"]:
+                (codes,) = shards.unpack(x["data"], x["n"], "int32")
+                words |= dict(zip(shards.undelta(codes).tolist(), shards.unpack_words(x["names"], x["n"]).to_pylist(), strict=True))
         local, times = shards.unpack(r["cells"], r["entries"], "uint32", "uint32")
         local = shards.undelta(local)
         for k, doc in enumerate(r["doc_id"]):
