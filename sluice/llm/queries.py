@@ -161,7 +161,7 @@ WITH d AS (
            CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS space_1,
            CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\x20\\x09-\\x0D]')) AS BIGINT) AS word_2
     FROM documents),
-kept AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1),
+kept AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id NULLS LAST) = 1),
 both_ AS (
     SELECT source, lang, 'space-1' AS version, space_1 + 1 AS tokens FROM kept
     UNION ALL SELECT source, lang, 'word-2', word_2 FROM kept)
@@ -174,13 +174,15 @@ def token_counts(spark, folder):
     counted = saved(rows.select(
         "doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"),
         *[token_rollup.tokens(F.col("text"), pattern).alias(version) for version, pattern in token_rollup.VERSIONS.items()],
-    ), "token-counts")
-    firsts = saved(counted.groupBy("sha").agg(F.min("doc_id").alias("first")), "token-firsts")
-    marked = saved(counted.join(firsts, "sha").withColumn("copy", F.col("doc_id") != F.col("first")), "token-copies")
+    ).withColumn("row", F.monotonically_increasing_id()), "token-counts")
+    # one row of each text stays, whatever its id: null ids come last, rows of one id in their order
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = saved(counted.groupBy("sha").agg(F.min(order).alias("first")), "token-firsts")
+    marked = saved(counted.join(firsts, "sha").withColumn("copy", F.col("row") != F.col("first.row")).drop("first"), "token-copies")
 
     def change(frame: DataFrame, version: str, extra: int = 0, delete: bool = False) -> DataFrame:
         return frame.select(
-            "doc_id", F.lit(version).alias("version"), "source", "lang", (F.col(f"`{version}`") + extra).alias("tokens"),
+            F.col("row").alias("doc_id"), F.lit(version).alias("version"), "source", "lang", (F.col(f"`{version}`") + extra).alias("tokens"),
             F.lit(delete).alias("delete"), F.lit(0).alias("turn"))
 
     one, two = token_rollup.VERSIONS

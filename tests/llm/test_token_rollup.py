@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,25 @@ def test_ties_and_token_patterns(spark):
     df = spark.createDataFrame([("It's 2 é-words!\n",), (None,), ("",), ("... 日本",)], "text string")
     out = df.select(tokens(F.col("text"), r"[^\x20\x09-\x0D]+"), tokens(F.col("text"), r"[\p{L}\p{N}]+")).collect()
     assert [tuple(r) for r in out] == [(3, 8), (0, 0), (0, 0), (2, 4)]
+
+
+def test_query_over_odd_documents(spark, tmp_path):
+    import helpers
+
+    from sluice.llm import queries
+
+    df, data = helpers.odd(spark)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {}
+    for d, text, lang, source, *_ in sorted(data, key=lambda r: (r[0] is None, r[0] or 0)):
+        kept.setdefault(text or "", (source, lang))
+    want = {}
+    for text, (source, lang) in kept.items():
+        for version, n in (("space-1", len(helpers.words(text)) + 1), ("word-2", len(re.findall(r"[^\W_]+|[^\w\x20\x09-\x0D]|_", text)))):
+            docs, total = want.get((source, lang, version), (0, 0))
+            want[source, lang, version] = docs + 1, total + n
+    got = {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in queries.RUN["op9_token_rollup"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+    helpers.none(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert queries.RUN["op9_token_rollup"](spark, str(tmp_path / "none")).collect() == []
