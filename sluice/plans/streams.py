@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
-from ..operators.flows import live_facts as facts
 from ..sources import adapters as A
 from ..streaming import accounts as U
 from ..streaming import feed as Q
@@ -26,7 +25,7 @@ SELECT account, as_of, score, CASE WHEN score >= 95 THEN 'IMMINENT' WHEN score >
 def stream_live_scores(spark, sf):
     folder = T.work_folder(spark, "scores")
     segments = A.accounts(spark, sf).select("account", "segment")
-    T.drain(U.live_scores(U.live_totals(T.transfer_stream(spark, sf)), segments), folder, each=T.batch_writer(folder))
+    T.drain(U.live_scores(U.live_totals(T.sliced_transfers(spark, sf, folder)), segments), folder, each=T.batch_writer(folder))
     return T.latest_per_key(spark, folder, ["account"])
 
 
@@ -61,15 +60,13 @@ def stream_alert_changes(spark, sf):
 
 
 def _last_status(spark, sf, rows):
-    # changes of one second keep their order through the alert number, then the event order of the sink
-    ordered = rows.withColumn("o", F.monotonically_increasing_id())
-    return ordered.groupBy("account").agg(F.max_by("status", F.struct("at", "alert_no", "o")).alias("last_status"))
+    return rows.groupBy("account").agg(F.max_by("status", F.struct("at", "pos")).alias("last_status"))
 
 
 @query("stream_reset_totals", "2.10.3", RAW["reset_aggregates"])
 def stream_reset_totals(spark, sf):
     folder = T.work_folder(spark, "reset")
-    T.drain(U.reset_totals(T.transfer_stream(spark, sf)), folder, "update", T.batch_writer(folder))
+    T.drain(U.reset_totals(T.sliced_transfers(spark, sf, folder)), folder, "update", T.batch_writer(folder))
     return T.latest_per_key(spark, folder, ["account"])
 
 
@@ -155,10 +152,12 @@ def stream_feed(spark, sf):
 
 @query("stream_pulse", "2.10.8", RAW["live_facts"])
 def stream_pulse(spark, sf):
+    """Alerts in slices; each batch adds what it changes, no table is read again."""
     folder = T.work_folder(spark, "pulse")
-    T.drain(T.event_stream(spark, sf).where("event_type = 'error'"), folder, each=Q.pulse_writer(folder, lambda: facts(A.alerts(spark, sf), A.profiles(spark, sf))))
-    rows = spark.read.parquet(f"{folder}/pulse").drop("b")
-    return rows.orderBy(F.desc("batch")).limit(1).drop("batch")
+    alerts = A.events_to_alerts(T.sliced_events(spark, sf, folder)).withColumn("open", ~F.col("status").isin("RESOLVED", "FALSE_POSITIVE"))
+    T.drain(Q.score_changes(alerts), folder, each=Q.pulse_writer(folder))
+    n, first = A.accounts(spark, sf).agg(F.count(F.lit(1)), F.min("account")).first()
+    return Q.read_pulse(spark, folder, n, first)
 
 
 @query("stream_freeze_cascade", "2.10.9", """
@@ -187,7 +186,7 @@ def case_transitions(spark, sf):
 @query("stream_node_counters", "2.10.11", f"SELECT account, CAST(out_count AS BIGINT) AS out_degree, round(out_value, 2) AS total_out, CAST(in_count AS BIGINT) AS in_degree, round(in_value, 2) AS total_in FROM ({FLOWS})")
 def stream_node_counters(spark, sf):
     folder = T.work_folder(spark, "nodes")
-    T.drain(Q.node_counters(T.transfer_stream(spark, sf)), folder, "update", T.batch_writer(folder))
+    T.drain(Q.node_counters(T.sliced_transfers(spark, sf, folder)), folder, "update", T.batch_writer(folder))
     return rounded(T.latest_per_key(spark, folder, ["account"]), 2, "total_out", "total_in")
 
 

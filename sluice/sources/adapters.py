@@ -235,13 +235,18 @@ def severity_of(score: Column) -> Column:
 
 
 def alerts(spark, folder) -> DataFrame:
+    return events_to_alerts(table(spark, folder, "events"))
+
+
+def events_to_alerts(events: DataFrame) -> DataFrame:
+    """Also used on the streaming read of the same table."""
     i = F.col("event_id")
     score = F.round(F.least(F.lit(100.0), F.col("value") * 1.5), 3)
     status = (
         F.when(i % 6 == 0, "NEW").when(i % 6 == 1, "ACK").when(i % 6 == 2, "ASSIGNED")
         .when(i % 6 == 3, "ESCALATED").when(i % 6 == 4, "RESOLVED").otherwise("FALSE_POSITIVE")
     )
-    rows = table(spark, folder, "events").where("event_type = 'error'").select(
+    rows = events.where("event_type = 'error'").select(
         i.alias("alert_id"), F.col("user_id").alias("account"), score.alias("score"),
         severity_of(score).alias("severity"), status.alias("status"),
         seconds(F.col("ts")).alias("created"), (i % 3 == 0).alias("tainted"),

@@ -105,7 +105,7 @@ def reset_totals(transfers: DataFrame) -> DataFrame:
     return account_legs(transfers).groupBy("account").applyInPandasWithState(update, RESET_OUT, RESET_STATE, "update", "NoTimeout")
 
 
-ALERT_OUT = "account bigint, alert_no bigint, score double, severity string, status string, sla bigint, at bigint"
+ALERT_OUT = "account bigint, alert_no bigint, score double, severity string, status string, sla bigint, at bigint, pos bigint"
 ALERT_STATE = "alert_no bigint, score double, severity string, status string, sla bigint"
 # Minutes to act per band, and where each human action leads.
 SLA = {"IMMINENT": 30, "CRITICAL": 120, "HOT": 1440, "WARMING": 2880, "CLEAN": 2880}
@@ -138,10 +138,10 @@ def alert_states(events: DataFrame) -> DataFrame:
         now = state.get if state.exists else (0, 0.0, "CLEAN", "NONE", 0)
         rows = pd.concat(list(batches)).sort_values(["at", "pos"])
         out = []
-        for kind, value, band, at in zip(rows["kind"], rows["score"], rows["severity"], rows["at"]):
+        for kind, value, band, at, pos in zip(rows["kind"], rows["score"], rows["severity"], rows["at"], rows["pos"]):
             now, changed = step_alert(now, (kind, float(value), band, int(at)))
             if changed:
-                out.append((key[0], *now, int(at)))
+                out.append((key[0], *now, int(at), int(pos)))
         state.update(now)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT_OUT.split(", ")])
 

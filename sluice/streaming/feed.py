@@ -1,4 +1,4 @@
-"""Feed with a resume cursor, refreshed metrics, and actions that fan out per batch."""
+"""Feed with a resume cursor, metrics kept by their changes, and actions that fan out per batch."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..core import HOUR, ordinal
 from ..operators import graph as R
 from ..operators.flows import campaign, recruiters
+from ..sources.adapters import severity_of
 from .runtime import batch_writer
 
 STEP = 1 << 40
@@ -29,13 +30,54 @@ def read_feed(spark: SparkSession, folder: str, after: int = 0) -> DataFrame:
     return spark.read.parquet(f"{folder}/feed").where(F.col("feed_id") > after).drop("b", "batch").orderBy("feed_id")
 
 
-def pulse_writer(folder: str, refresh):
-    """Recompute a small aggregate after each batch of changes."""
+CHANGE_OUT = "account bigint, was double, now double, opened bigint"
 
-    def tick(df: DataFrame, batch: int) -> None:
-        refresh().withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/pulse/b={batch}")
 
-    return tick
+def score_changes(alerts: DataFrame) -> DataFrame:
+    """Per account and batch its best score before and after, and the alerts it adds that are open.
+
+    State is one number per account; an account's rows are only folded, never gathered.
+    ``alerts``: account, score, open.
+    """
+    import pandas as pd
+
+    def update(key, batches, state):
+        was = state.get[0] if state.exists else 0.0
+        now, opened = was, 0
+        for pdf in batches:
+            now, opened = max(now, float(pdf["score"].max())), opened + int(pdf["open"].sum())
+        state.update((now,))
+        yield pd.DataFrame([(key[0], was, now, opened)], columns=[c.split()[0] for c in CHANGE_OUT.split(", ")])
+
+    return alerts.select("account", "score", "open").groupBy("account").applyInPandasWithState(update, CHANGE_OUT, "best double", "append", "NoTimeout")
+
+
+def pulse_writer(folder: str):
+    """What a batch of `score_changes` adds to the metrics: one row, from the batch alone."""
+
+    def added(df: DataFrame, batch: int) -> DataFrame:
+        watched = lambda c: (severity_of(F.col(c)) != "CLEAN").cast("long")
+        return df.agg(
+            F.coalesce(F.sum("opened"), F.lit(0)).alias("opened"), F.coalesce(F.sum(watched("now") - watched("was")), F.lit(0)).alias("watched"),
+            F.coalesce(F.sum(F.col("now") - F.col("was")), F.lit(0.0)).alias("gained"), F.max(F.struct(F.col("now").alias("score"), (-F.col("account")).alias("neg"))).alias("best"))
+
+    return batch_writer(folder, "pulse", added)
+
+
+def read_pulse(spark: SparkSession, folder: str, accounts: int, first: int, upto: int | None = None) -> DataFrame:
+    """The metrics after batch ``upto`` (the last by default): the sum of what the batches added.
+
+    ``accounts`` is the number of accounts, ``first`` the smallest one: all scores begin at 0.
+    """
+    rows = spark.read.parquet(f"{folder}/pulse")
+    if upto is not None:
+        rows = rows.where(F.col("batch") <= upto)
+    whole = rows.agg(F.sum("opened").alias("open_alerts"), F.sum("watched").alias("watched"), F.max("best").alias("best"), F.sum("gained").alias("gained"))
+    start = F.struct(F.lit(0.0).alias("score"), F.lit(-first).cast("long").alias("neg"))
+    best = F.greatest(F.coalesce("best", start), start)
+    return whole.select(
+        F.coalesce("open_alerts", F.lit(0)).alias("open_alerts"), F.coalesce("watched", F.lit(0)).alias("watched"), (-best["neg"]).alias("highest_account"), best["score"].alias("highest_score"),
+        F.round(F.coalesce("gained", F.lit(0.0)) / accounts, 4).alias("average_score"))
 
 
 def freeze_writer(folder: str, edges: DataFrame, max_hops: int = 4):

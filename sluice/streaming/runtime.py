@@ -20,6 +20,20 @@ def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None
     return reader.parquet(folder)
 
 
+def sliced_events(spark: SparkSession, folder: str, work: str, slices: int = 4) -> DataFrame:
+    """The event table cut by id into slices that arrive one after another, a batch each."""
+    events = table(spark, folder, "events")
+    low, high = events.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
+    for i in range(slices):
+        part = events.where(F.col("event_id").between(low + (high - low + 1) * i // slices, low + (high - low + 1) * (i + 1) // slices - 1))
+        part.coalesce(1).write.mode("append").parquet(f"{work}/events")
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{work}/events")
+
+
+def sliced_transfers(spark: SparkSession, folder: str, work: str, slices: int = 4) -> DataFrame:
+    return events_to_transfers(sliced_events(spark, folder, work, slices), F.lit(population(spark, folder)))
+
+
 def population(spark: SparkSession, folder: str) -> int:
     """One number, known before the stream starts."""
     return table(spark, folder, "events").agg(F.max("user_id") + 1).first()[0]

@@ -122,3 +122,20 @@ def test_gate_drops_repeats(spark, small, sliced):
     T.drain(I.gate(t.unionByName(stream(spark, small, sliced).withColumn("ts", F.timestamp_seconds("epoch")))), folder)
     rows = spark.read.parquet(f"{folder}/data")
     assert rows.count() == rows.select("txn_id").distinct().count()
+
+
+def test_pulse_after_every_slice(spark, small, sliced):
+    from sluice.operators.flows import live_facts
+
+    folder = T.work_folder(spark, "t-pulse")
+    marked = lambda d: d.withColumn("open", ~F.col("status").isin("RESOLVED", "FALSE_POSITIVE"))
+    T.drain(Q.score_changes(marked(A.events_to_alerts(T.event_stream(spark, sliced, 1)))), folder, each=Q.pulse_writer(folder))
+    accounts = A.accounts(spark, small)
+    n, first = accounts.agg(F.count(F.lit(1)), F.min("account")).first()
+    for upto in range(4):
+        events = spark.read.parquet(*[f"{sliced}/events-{i}.parquet" for i in range(upto + 1)])
+        alerts = A.events_to_alerts(events)
+        best = alerts.groupBy("account").agg(F.max("score").alias("score"))
+        profiles = accounts.select("account").join(best, "account", "left").fillna(0.0, ["score"]).withColumn("severity", A.severity_of(F.col("score")))
+        want = live_facts(alerts, profiles).first()
+        assert tuple(Q.read_pulse(spark, folder, n, first, upto).select(*want.asDict()).first()) == tuple(want)
