@@ -119,7 +119,7 @@ def betweenness(nodes: DataFrame, links: DataFrame, keys: Sequence[str] = (), pi
     """
     keys = list(keys)
     on, full = [*keys, "account"], [*keys, "pivot", "account"]
-    start = top_ranked(nodes.select(*on), keys or [F.lit(0)], [F.xxhash64("account", F.lit(seed)), F.col("account")], pivots)
+    start = top_ranked(nodes.select(*on), keys or [F.lit(0)], [F.md5(F.concat_ws("/", F.lit(seed), "account")), F.col("account")], pivots)
     seen = cut(start.select(*keys, F.col("account").alias("pivot"), "account", F.lit(0).alias("level"), F.lit(1.0).alias("paths")))
     frontier, levels = seen, [seen]
     for level in count(1) if max_depth is None else range(1, max_depth + 1):
@@ -310,6 +310,63 @@ def cycles(edges: DataFrame, keys: Sequence[str], longest: int = 6) -> DataFrame
     return found.groupBy(*keys, "nodes", "size").agg(F.round(F.max("volume"), 2).alias("volume"))
 
 
+def cyclic_part(links: DataFrame) -> DataFrame:
+    """The links that can lie on a cycle.
+
+    Accounts without a payee or without a payer are peeled off until none is left; then
+    the largest id that reaches an account goes forward as its colour, and links between
+    colours go, as all accounts of a cycle share theirs. ``links``: src, dst, and more.
+    """
+    links, n = cut(links), -1
+    while n != (left := links.count()):
+        n = left
+        payers, payees = links.select(F.col("src").alias("dst")).distinct(), links.select(F.col("dst").alias("src")).distinct()
+        links = cut(links.join(payers, "dst", "left_semi").join(payees, "src", "left_semi").select(*links.columns))
+    colour = cut(links.select(F.col("src").alias("account")).distinct().withColumn("colour", F.col("account")))
+    while True:
+        came = links.join(colour.select(F.col("account").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("account")).agg(F.max("colour").alias("came"))
+        nxt = cut(colour.join(came, "account", "left").select("account", F.col("colour").alias("was"), F.greatest("colour", "came").alias("colour")))
+        done, colour = nxt.where("was <> colour").isEmpty(), nxt.select("account", "colour")
+        if done:
+            break
+    side = lambda end: colour.select(F.col("account").alias(end), F.col("colour").alias(f"c_{end}"))
+    return links.join(side("src"), "src").join(side("dst"), "dst").where("c_src = c_dst").select(*links.columns)
+
+
+def meeting_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
+    """Directed simple cycles of 3..``longest`` accounts of a whole graph, one row per set of accounts.
+
+    A cycle is two half paths that meet: out of its first account, and back to it, keyed
+    by both ends, so no path longer than three links is ever spelled out. The first account
+    is the one with the fewest links (ties: the smallest id), so a busy account starts
+    few half paths. Of several orders of a set the largest volume stays.
+    """
+    if not 3 <= longest <= 6:
+        raise ValueError("half paths are laid out for cycles of three to six accounts")
+    links = cyclic_part(pair_weights(edges))
+    degree = links.select(F.explode(F.array("src", "dst")).alias("account")).groupBy("account").agg(F.count(F.lit(1)).alias("d"))
+    place = cut(degree.select("account", F.struct("d", "account").alias("o")))
+    side = lambda end, o: place.select(F.col("account").alias(end), F.col("o").alias(o))
+    links = cut(links.join(side("src", "o_src"), "src").join(side("dst", "o_dst"), "dst"))
+    # out: from the first account, over later ones only; back: to it, the same
+    out = {1: links.where("o_src < o_dst").select(F.col("src").alias("first"), F.col("o_src").alias("o"), F.col("dst").alias("last"), F.array().cast("array<bigint>").alias("between"), F.col("weight").alias("v"))}
+    back = {1: links.where("o_dst < o_src").select(F.col("dst").alias("first"), F.col("o_dst").alias("o"), F.col("src").alias("last"), F.array().cast("array<bigint>").alias("between"), F.col("weight").alias("v"))}
+    for k in range(2, -(-longest // 2) + 1):
+        for halves, near, far in ((out, "src", "dst"), (back, "dst", "src")):
+            if halves is back and k > longest // 2:
+                continue
+            step = links.select(F.col(near).alias("last"), F.col(far).alias("next"), F.col(f"o_{far}").alias("o_next"), F.col("weight").alias("w"))
+            grown = halves[k - 1].join(step, "last").where((F.col("o_next") > F.col("o")) & ~F.array_contains("between", F.col("next")))
+            halves[k] = cut(grown.select("first", "o", F.col("next").alias("last"), F.array_append("between", F.col("last")).alias("between"), (F.col("v") + F.col("w")).alias("v")))
+    found = []
+    for size in range(3, longest + 1):
+        there, home = out[-(-size // 2)], back[size // 2].select("first", "last", F.col("between").alias("others"), F.col("v").alias("w"))
+        met = there.join(home, ["first", "last"]).where(~F.arrays_overlap("between", "others"))
+        nodes = F.sort_array(F.concat(F.array("first", "last"), "between", "others"))
+        found.append(met.select(nodes.alias("nodes"), F.lit(size).alias("size"), (F.col("v") + F.col("w")).alias("volume")))
+    return reduce(DataFrame.unionByName, found).groupBy("nodes", "size").agg(F.round(F.max("volume"), 2).alias("volume"))
+
+
 def ring_membership(rings: DataFrame) -> DataFrame:
     return rings.select(F.explode("nodes").alias("account"), "volume").groupBy("account").agg(F.count(F.lit(1)).alias("rings"), F.round(F.sum("volume"), 2).alias("ring_volume"))
 

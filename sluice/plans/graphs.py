@@ -29,24 +29,39 @@ dl AS (SELECT DISTINCT epoch // 86400 AS day, src AS account, dst AS peer FROM c
 dn AS (SELECT day, account FROM dl UNION SELECT day, peer FROM dl)"""
 
 
+INSIDE = """
+il AS (SELECT DISTINCT i.incident, t.src AS account, t.dst AS peer FROM c_incidents i JOIN c_transfers t ON t.epoch <= i.complaint
+  JOIN c_cand a ON a.incident = i.incident AND a.account = t.src JOIN c_cand b ON b.incident = i.incident AND b.account = t.dst)"""
+
+
+def inside(spark, sf):
+    """Links among each incident's candidates that its complaint may know."""
+    inc, cand = A.incidents(spark, sf).select("incident", "complaint"), A.candidates(spark, sf).select("incident", "account")
+    t = A.transfers(spark, sf).groupBy(F.col("src").alias("account"), F.col("dst").alias("peer")).agg(F.min("epoch").alias("first"))
+    rows = cand.join(inc, "incident").join(t, "account").where("first <= complaint").select("incident", "account", "peer")
+    return cand, rows.join(cand.withColumnRenamed("account", "peer"), ["incident", "peer"], "left_semi").select("incident", "account", "peer")
+
+
 @query("hops_from_victim", "2.9.10", f"""
-WITH RECURSIVE {DAILY}, b(day, account, hops) AS (SELECT DISTINCT t0 // 86400, victim, 0 FROM c_incidents UNION SELECT b.day, l.peer, b.hops + 1 FROM b JOIN dl l ON l.day = b.day AND l.account = b.account WHERE b.hops < 40),
-m AS (SELECT day, account, min(hops) AS h FROM b GROUP BY ALL)
-SELECT dn.day, dn.account, coalesce(m.h, 99)::DOUBLE AS hops_from_victim FROM dn LEFT JOIN m ON m.day = dn.day AND m.account = dn.account""")
+WITH RECURSIVE {INSIDE}, b(incident, account, hops) AS (SELECT incident, victim, 0 FROM c_incidents UNION SELECT b.incident, l.peer, b.hops + 1 FROM b JOIN il l ON l.incident = b.incident AND l.account = b.account WHERE b.hops < 40),
+m AS (SELECT incident, account, min(hops) AS h FROM b GROUP BY ALL)
+SELECT c.incident, c.account, coalesce(m.h, 99)::DOUBLE AS hops_from_victim FROM (SELECT DISTINCT incident, account FROM c_cand) c LEFT JOIN m ON m.incident = c.incident AND m.account = c.account""")
 def hops_from_victim(spark, sf):
-    nodes, links = daily_links(spark, sf)
-    starts = A.incidents(spark, sf).select(F.floor(F.col("t0") / 86400).alias("day"), F.col("victim").alias("account"))
-    return R.hops_from(nodes, links, starts, ["day"])
+    nodes, links = inside(spark, sf)
+    starts = A.incidents(spark, sf).select("incident", F.col("victim").alias("account"))
+    return R.hops_from(nodes.distinct(), links, starts, ["incident"])
 
 
 @query("hops_to_exit", "2.9.11", f"""
-WITH RECURSIVE {DAILY}, b(day, account, hops) AS (SELECT DISTINCT day, account, 0 FROM dl WHERE peer % 25 = 7 UNION SELECT b.day, l.account, b.hops + 1 FROM b JOIN dl l ON l.day = b.day AND l.peer = b.account WHERE b.hops < 12),
-m AS (SELECT day, account, min(hops) AS h FROM b GROUP BY ALL)
-SELECT dn.day, dn.account, coalesce(m.h, 99)::DOUBLE AS hops_to_exit FROM dn LEFT JOIN m ON m.day = dn.day AND m.account = dn.account""")
+WITH RECURSIVE {INSIDE}, px AS (SELECT DISTINCT i.incident, t.src AS account FROM c_incidents i JOIN c_transfers t ON t.epoch <= i.complaint JOIN c_cand a ON a.incident = i.incident AND a.account = t.src WHERE t.dst % 25 = 7),
+b(incident, account, hops) AS (SELECT incident, account, 0 FROM px UNION SELECT b.incident, l.account, b.hops + 1 FROM b JOIN il l ON l.incident = b.incident AND l.peer = b.account WHERE b.hops < 12),
+m AS (SELECT incident, account, min(hops) AS h FROM b GROUP BY ALL)
+SELECT c.incident, c.account, coalesce(m.h, 99)::DOUBLE AS hops_to_exit FROM (SELECT DISTINCT incident, account FROM c_cand) c LEFT JOIN m ON m.incident = c.incident AND m.account = c.account""")
 def hops_to_exit(spark, sf):
-    nodes, links = daily_links(spark, sf)
-    payers = links.join(A.exits(spark, sf).select(F.col("account").alias("peer")), "peer", "left_semi").select("day", "account").distinct()
-    return R.hops_to_exit(nodes, links, payers, ["day"])
+    nodes, links = inside(spark, sf)
+    paid = A.transfers(spark, sf).join(A.exits(spark, sf).select(F.col("account").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("account")).agg(F.min("epoch").alias("first"))
+    payers = nodes.join(A.incidents(spark, sf).select("incident", "complaint"), "incident").join(paid, "account").where("first <= complaint").select("incident", "account").distinct()
+    return R.hops_to_exit(nodes.distinct(), links, payers, ["incident"])
 
 
 def pagerank_sql(rounds):
@@ -67,10 +82,29 @@ def pagerank(spark, sf):
     return rounded(R.pagerank(nodes, R.pair_weights(A.transfers(spark, sf)), tolerance=1e-12), 9, "pagerank")
 
 
-@query("betweenness", "2.9.9")
+def betweenness_sql(pivots=64, seed=7, depth=12):
+    """Path counts out and dependencies back, a level at a time, from the same pivots."""
+    parts = [
+        "l AS (SELECT DISTINCT src AS account, dst AS peer FROM c_transfers)", "n AS (SELECT account FROM l UNION SELECT peer FROM l)",
+        f"pv AS (SELECT account AS origin FROM n ORDER BY md5('{seed}/' || account), account LIMIT {pivots})",
+        f"d(origin, account, level) AS (SELECT origin, origin, 0 FROM pv UNION SELECT origin, peer, level + 1 FROM d JOIN l ON l.account = d.account WHERE level < {depth})",
+        "m AS (SELECT origin, account, min(level) AS level FROM d GROUP BY origin, account)", "s0 AS (SELECT origin, origin AS account, 1.0::DOUBLE AS paths FROM pv)"]
+    for k in range(1, depth + 1):
+        parts.append(f"s{k} AS (SELECT s.origin, l.peer AS account, sum(s.paths) AS paths FROM s{k - 1} s JOIN l ON l.account = s.account JOIN m ON m.origin = s.origin AND m.account = l.peer AND m.level = {k} GROUP BY ALL)")
+    parts.append(f"b{depth} AS (SELECT origin, account, 0.0::DOUBLE AS dep FROM s{depth})")
+    for k in range(depth - 1, -1, -1):
+        parts.append(f"""b{k} AS (SELECT s.origin, s.account, coalesce(x.dep, 0) AS dep FROM s{k} s LEFT JOIN (SELECT u.origin, u.account, sum(u.paths / v.paths * (1 + b.dep)) AS dep
+ FROM s{k} u JOIN l ON l.account = u.account JOIN s{k + 1} v ON v.origin = u.origin AND v.account = l.peer JOIN b{k + 1} b ON b.origin = v.origin AND b.account = v.account GROUP BY ALL) x ON x.origin = s.origin AND x.account = s.account)""")
+    every = " UNION ALL ".join(f"SELECT account, dep FROM b{k}" for k in range(1, depth + 1))
+    return f"""WITH RECURSIVE {", ".join(parts)}, t AS (SELECT account, sum(dep) AS dep FROM ({every}) GROUP BY account), z AS (SELECT count(*)::DOUBLE AS n FROM n)
+SELECT n.account, round(coalesce(dep, 0) * CASE WHEN z.n > 2 THEN z.n / least(z.n, {pivots}) / ((z.n - 1) * (z.n - 2)) ELSE 0 END, 9) AS betweenness FROM n CROSS JOIN z LEFT JOIN t ON t.account = n.account"""
+
+
+@query("betweenness", "2.9.9", betweenness_sql())
 def betweenness(spark, sf):
-    nodes, links = daily_links(spark, sf)
-    return R.betweenness(nodes, links, ["day"])
+    links = A.transfers(spark, sf).select(F.col("src").alias("account"), F.col("dst").alias("peer")).distinct()
+    nodes = links.select("account").union(links.select("peer")).distinct()
+    return rounded(R.betweenness(nodes, links), 9, "betweenness")
 
 
 RECIP = """
@@ -215,6 +249,18 @@ def ring_membership(spark, sf):
     return R.ring_membership(R.cycles(daily(spark, sf), ["day"]))
 
 
+WHOLE = """
+w AS (SELECT src, dst, sum(amount) AS w FROM c_transfers GROUP BY ALL),
+c3 AS (SELECT list_sort([a.src, a.dst, b.dst]) AS nodes, 3 AS size, a.w + b.w + c.w AS v FROM w a JOIN w b ON b.src = a.dst AND b.dst > a.src JOIN w c ON c.src = b.dst AND c.dst = a.src WHERE a.dst > a.src),
+c4 AS (SELECT list_sort([a.src, a.dst, b.dst, c.dst]) AS nodes, 4 AS size, a.w + b.w + c.w + d.w AS v FROM w a JOIN w b ON b.src = a.dst AND b.dst > a.src JOIN w c ON c.src = b.dst AND c.dst > a.src AND c.dst <> a.dst JOIN w d ON d.src = c.dst AND d.dst = a.src WHERE a.dst > a.src)"""
+
+
+@query("whole_graph_cycles", "2.9.18", f"WITH {WHOLE} SELECT array_to_string(nodes, '-') AS ring, size, round(max(v), 2) AS volume FROM (SELECT * FROM c3 UNION ALL SELECT * FROM c4) GROUP BY nodes, size")
+def whole_graph_cycles(spark, sf):
+    """Cycles of three and four accounts over all transfers; longer ones of a graph this dense are too many to list."""
+    return R.meeting_cycles(A.transfers(spark, sf), 4).select(F.array_join("nodes", "-").alias("ring"), "size", "volume")
+
+
 SHAPES = f"""{cycle_sql()}, mem AS (SELECT day, array_to_string(nodes, '-') AS ring, size, unnest(nodes) AS account FROM cyc), dd AS (SELECT DISTINCT day, src, dst FROM w),
 deg AS (SELECT m.day, m.ring, m.size, m.account, count(x.account) AS d FROM mem m LEFT JOIN (SELECT a.day, a.ring, a.account FROM mem a JOIN dd ON dd.day = a.day AND dd.src = a.account JOIN mem b ON b.day = a.day AND b.ring = a.ring AND b.account = dd.dst) x ON x.day = m.day AND x.ring = m.ring AND x.account = m.account GROUP BY ALL),
 shp AS (SELECT day, ring, size, CASE WHEN max(d) >= size * 0.6 THEN 'STAR' WHEN sum(d) / (size * (size - 1))::DOUBLE >= 0.6 THEN 'DENSE_CLUSTER' WHEN count(*) FILTER (d <= 1) >= size * 0.4 THEN 'CHAIN' ELSE 'CYCLE' END AS shape, arg_max(account, d * 1000000 - account) AS hub FROM deg GROUP BY day, ring, size)"""

@@ -157,3 +157,68 @@ def test_bridge_is_the_member_all_paths_need(spark):
     got = {r.account: r.role for r in graph.ring_roles(rings, graph.ring_shapes(rings, path, ["g"]), path, ["g"]).collect()}
     # only 2 -> 1 has no direct edge and needs 3; 1 is the hub of the tie
     assert got == {1: "HUB", 2: "MULE", 3: "BRIDGE"}
+
+
+def all_cycles(links, longest):
+    """Node sets of directed simple cycles with their largest volume, by search."""
+    follow = {}
+    for (a, b), w in links.items():
+        follow.setdefault(a, []).append((b, w))
+    out = {}
+
+    def walk(first, at, path, volume):
+        for b, w in follow.get(at, ()):
+            if b == first and len(path) >= 3:
+                key = tuple(sorted(path))
+                out[key] = max(out.get(key, 0.0), volume + w)
+            if b > first and b not in path and len(path) < longest:
+                walk(first, b, [*path, b], volume + w)
+
+    for first in follow:
+        walk(first, first, [first], 0.0)
+    return {k: round(v, 2) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("seed, nodes, count", [(1, 12, 30), (2, 30, 60), (3, 9, 40), (4, 40, 45)])
+def test_meeting_cycles_against_search(spark, seed, nodes, count):
+    import random
+
+    pick = random.Random(seed)
+    rows = [(pick.randrange(nodes), pick.randrange(nodes), float(pick.randrange(1, 100))) for _ in range(count)]
+    rows = [r for r in rows if r[0] != r[1]]
+    links = {}
+    for a, b, w in rows:
+        links[a, b] = links.get((a, b), 0.0) + w
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint, amount double")
+    for longest in (3, 5, 6):
+        got = {tuple(r.nodes): r.volume for r in graph.meeting_cycles(edges, longest).collect()}
+        assert got == all_cycles(links, longest)
+    kept = {(r.src, r.dst) for r in graph.cyclic_part(graph.pair_weights(edges)).collect()}
+    on_cycles = all_cycles(links, nodes)
+    assert kept >= {(a, b) for a, b in links for c in on_cycles if a in c and b in c and (a, b) in links and len(c) == 3}
+
+
+def test_neighbourhood_masks_beyond_one_block(spark):
+    import random
+
+    pick = random.Random(7)
+    rows = [(pick.randrange(150), pick.randrange(150), 1.0) for _ in range(200)]
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint, amount double")
+    seeds = spark.createDataFrame([(i,) for i in range(0, 150)], "seed bigint")
+    near = {}
+    for a, b, _ in rows:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for seed in range(150):
+        level, seen = {seed}, {seed: 0}
+        for h in range(1, 4):
+            level = {y for x in level for y in near.get(x, ())} - seen.keys()
+            seen |= {y: h for y in level}
+        want |= {(seed, a): h for a, h in seen.items()}
+    reach, inside = graph.neighbourhood(seeds, edges, 3)
+    assert {(r.seed, r.account): r.hops for r in reach.collect()} == want
+    pairs = {(a, b) for a, b, _ in rows}
+    expect = {(h, s, a, b) for s in range(150) for a, b in pairs for h in (1, 2, 3) if want.get((s, a), 9) <= h and want.get((s, b), 9) <= h}
+    assert {(r.hops, r.seed, r.src, r.dst) for r in inside.collect()} == expect
