@@ -19,6 +19,7 @@ from ..sources import adapters as A
 from . import stages as S
 from .aggregates import rounded
 from .registry import query
+from .tracing import HELD, trace_sql
 
 N_ROLLOUTS, N_PARCELS = M.ROLLOUTS, M.PARCELS
 BUDGETS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
@@ -235,6 +236,21 @@ def replay_conserves_money(spark, sf):
     return results(spark, sf).select("incident", "policy", "mode", (F.abs(F.col("accounted") - F.col("amount")) < 1).alias("conserved"))
 
 
+@query("replay_without_freezes", "2.9.56", f"""
+WITH RECURSIVE {trace_sql('horizon')}, {HELD}, h AS (SELECT incident, sum(held) FILTER (held > {T.FLOOR}) AS residual, sum(held) AS inside FROM hd GROUP BY incident),
+g AS (SELECT fl.incident, sum(tainted) FILTER (to_exit) AS leaked, sum(tainted) FILTER (to_exit AND fl.epoch <= i.complaint) AS gone FROM fl JOIN c_incidents i ON i.incident = fl.incident GROUP BY fl.incident)
+SELECT i.incident, round(coalesce(h.residual, 0), 2) AS residual, round(coalesce(g.leaked, 0), 2) AS leaked, round(coalesce(g.gone, 0), 2) AS already_gone, round(h.inside + coalesce(g.leaked, 0), 2) AS accounted, 0.0::DOUBLE AS recovered
+FROM c_incidents i JOIN h ON h.incident = i.incident LEFT JOIN g ON g.incident = i.incident""")
+def replay_without_freezes(spark, sf):
+    """A replay that freezes nothing ends where the trace to the horizon ends."""
+    inc, t, ex = A.incidents(spark, sf), A.transfers(spark, sf), A.exits(spark, sf)
+    runs = cut(inc.select(F.concat_ws("|", F.col("incident").cast("string"), F.lit("none")).alias("run"), "incident", F.lit("none").alias("policy"), F.lit(0.0).alias("reroute")))
+    nothing = spark.createDataFrame([], "run string, incident bigint, account bigint, issue_at_minute bigint, effectiveness double")
+    moves = cut(Y.replay_moves(inc, S.touched(spark, sf), t, ex, nothing, runs))
+    r = Y.replay_results(inc, S.touched(spark, sf), gone(spark, sf), moves, nothing, runs, ex, A.labels(spark, sf))
+    return r.select("incident", "residual", "leaked", "already_gone", "accounted", "recovered")
+
+
 @query("replay_frames", "2.10.12")
 def replay_frames(spark, sf):
     from ..operators.cases import minute_frames
