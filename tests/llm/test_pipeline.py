@@ -13,6 +13,11 @@ import corpus_pipeline  # noqa: E402
 from sluice.llm import language, mixing, pieces, polyhash, simhash  # noqa: E402
 
 
+def shingles(text):
+    w = helpers.words(helpers.lower(text))
+    return {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
 def test_stages_are_listed():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact-dedup", "near-dedup", "mix", "pieces"]
     assert corpus_pipeline.ORACLE_SQL is None
@@ -37,7 +42,7 @@ def test_each_stage_takes_effect(spark, small):
     assert staged.columns == docs.columns and sorted(r.doc_id for r in staged.collect()) == sorted(r.doc_id for r in kept)
 
     kept.sort(key=lambda r: r.doc_id)
-    prints = [int.from_bytes(simhash.fingerprint(r.text.encode()), "big") for r in kept]
+    found = [shingles(r.text) for r in kept]
     root = list(range(len(kept)))
 
     def find(x):
@@ -47,7 +52,8 @@ def test_each_stage_takes_effect(spark, small):
 
     for i in range(len(kept)):
         for j in range(i):
-            if bin(prints[i] ^ prints[j]).count("1") <= 3:
+            both = len(found[i] & found[j])
+            if both >= 0.8 * (len(found[i]) + len(found[j]) - both):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     kept = [r for i, r in enumerate(kept) if find(i) == i]
@@ -65,6 +71,18 @@ def test_each_stage_takes_effect(spark, small):
     assert Counter(tuple(r[:3]) + (tuple(r.ids),) for r in again.collect()) == Counter(tuple(r[:3]) + (tuple(r.ids),) for r in out)
 
 
+def test_language_stage_keeps_unlabelled_texts_and_wanted_languages(spark):
+    texts = ["the of and with that", "der die und nicht auf", "123 ...", None, ""]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in language.identified(rows).collect()} == {0, 1}
+    assert language.identified(rows, wanted=["en"]).collect() == []
+    known = [(100 + i, t, lang) for i in range(20) for t, lang in (("the of and with that this", "en"), ("der die und nicht auf ein", "de"))]
+    both = rows.unionByName(spark.createDataFrame(known, rows.schema))
+    kept = {r.doc_id for r in language.identified(both, wanted=["en"]).collect()}
+    assert 0 in kept and 1 not in kept and {r.doc_id for r in language.identified(both).collect() if r.doc_id < 100} == {0, 1}
+    assert language.identified(both, least=1.1).collect() == []
+
+
 def test_stages_take_odd_and_empty_tables(spark):
     odd, _ = helpers.odd(spark)
     for docs in (odd, helpers.none(spark)):
