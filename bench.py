@@ -2,8 +2,10 @@
 
 BENCH_SF_DIR picks the tables, BENCH_CPUS the local cores, BENCH_ONLY a comma list of
 query names. Every query runs to completion into a no-op sink and starts without the
-stages of earlier queries. With BENCH_PUBLISHED set, operators whose time per incident is
-published follow and are reported per incident, until BENCH_LIMIT seconds have passed.
+stages of earlier queries. Operators whose time per incident is published follow, over all
+incidents of BENCH_INCIDENT_DIR (the tables of sf0.01 beside the others, named in the
+output as ``incident_sample``), until BENCH_LIMIT seconds have passed; BENCH_PUBLISHED=0
+leaves them out.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ def main() -> None:
     # one small query first, so JVM start-up is not charged to the first headline
     catalog.RUN["scan_transfers"](spark, folder).limit(1).collect()
     times, failed, skipped, began = {}, {}, [], time.perf_counter()
-    incidents = adapters.incidents(spark, folder).count()
-    more = PUBLISHED if os.environ.get("BENCH_PUBLISHED") else ()
+    sample = os.environ.get("BENCH_INCIDENT_DIR", os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.01"))
+    more = PUBLISHED if os.environ.get("BENCH_PUBLISHED", "1") != "0" and os.path.isdir(sample) else ()
     for name in only or (*HEADLINE, *more):
         if name in more and time.perf_counter() - began > LIMIT:
             skipped.append(name)
@@ -48,7 +50,7 @@ def main() -> None:
         stages.forget()
         start = time.perf_counter()
         try:
-            catalog.RUN[name](spark, folder).write.format("noop").mode("overwrite").save()
+            catalog.RUN[name](spark, sample if name in more else folder).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
         except Exception as exc:  # noqa: BLE001 - one failing query must not hide the others
             failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
@@ -57,8 +59,10 @@ def main() -> None:
         "metric": "headline_total", "value": round(sum(s for q, s in times.items() if q not in PUBLISHED), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }
-    out["incidents"] = incidents
-    out["seconds_per_incident"] = {q: round(times[q] / max(incidents, 1), 4) for q in PUBLISHED if q in times}
+    done = [q for q in PUBLISHED if q in times and q in more]
+    incidents = adapters.incidents(spark, sample).count() if done else 0
+    out["incident_sample"], out["incidents"] = os.path.basename(sample.rstrip("/")), incidents
+    out["seconds_per_incident"] = {q: round(times[q] / max(incidents, 1), 4) for q in done}
     if failed:
         out["failed"] = failed
     if skipped:

@@ -113,6 +113,7 @@ def encode_edge(amount: Column, delay: Column, night: Column, channel: Column) -
     ]
 
 
+# Products of features.
 INTERACTIONS = {
     "comm_ring": ("community_fraud_rate_feat", "ring_membership_feat"),
     "comm_burst": ("community_fraud_rate_feat", "burst_score"),
