@@ -29,7 +29,7 @@ HEADLINE = (
 # operators with a published time per incident: each starts from the tables, without stages of an earlier query
 PUBLISHED = ("feature_matrix", "greedy_plans", "policy_benchmark")
 # seconds after which no further one of these is begun
-LIMIT = float(os.environ.get("BENCH_LIMIT", "300"))
+LIMIT = float(os.environ.get("BENCH_LIMIT", "240"))
 
 
 def main() -> None:
