@@ -1,9 +1,18 @@
 from __future__ import annotations
 
+import sys
+from pathlib import Path
+
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators import detectors, forest
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
+
+import check  # noqa: E402
+from sluice.operators import detectors, forest  # noqa: E402
+from sluice.plans import catalog  # noqa: E402
 
 
 def test_isolation_forest_ranks_outliers_first(spark):
@@ -45,3 +54,32 @@ def test_detectors_separate_the_classes(spark):
         m = {r.label: r.m for r in s}
         assert m[1.0] > m[0.0] + 0.1
     assert trees(df).where("score < 0.0001 OR score > 0.9999").isEmpty()
+
+
+@pytest.fixture(scope="module")
+def broke(small, tmp_path_factory):
+    """The smallest tables with mean balances of -1, where the burst divides by zero."""
+    folder = tmp_path_factory.mktemp("broke")
+    for source in Path(small).glob("*.parquet"):
+        if source.name != "customer.parquet":
+            (folder / source.name).symlink_to(source)
+    duckdb.connect().execute(
+        f"COPY (SELECT * REPLACE (CASE WHEN c_custkey % 7 = 3 THEN -1.0 ELSE c_acctbal END AS c_acctbal) FROM '{small}/customer.parquet') TO '{folder}/customer.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["anomaly_features", "interaction_features"])
+def test_features_of_a_balance_of_minus_one_equal_the_sql(spark, broke, name):
+    con = duckdb.connect()
+    for t in check.TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{broke}/{t}.parquet'")
+    message, ok = check.compare(spark, con, broke, name, catalog.RUN[name], catalog.CHECK[name])
+    assert ok, message
+
+
+def test_forest_and_ablation_stand_infinite_features(spark, broke):
+    scored = catalog.RUN["isolation_forest"](spark, broke)
+    n = spark.read.parquet(f"{broke}/customer.parquet").count()
+    assert scored.count() == n and scored.where("raw IS NULL OR isnan(raw) OR raw <= 0 OR raw >= 1").isEmpty()
+    assert scored.select(F.round("raw", 6)).distinct().count() > 10
+    assert catalog.RUN["ablation_importance"](spark, broke).count() == 3 * n
