@@ -104,7 +104,7 @@ SELECT epoch // 300 * 300 AS start, ja3, count(*) AS velocity, count(DISTINCT sr
 def stream_fingerprint_windows(spark, sf):
     folder = T.work_folder(spark, "windows")
     T.drain(I.fingerprint_windows(finger_stream(spark, sf)), folder, "update", T.batch_writer(folder))
-    return T.latest_per_key(spark, folder, ["start", "ja3"])
+    return I.window_totals(T.latest_per_key(spark, folder, ["start", "ja3", "account"]))
 
 
 @query("stream_identity", "2.10.5", """
