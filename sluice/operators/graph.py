@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -33,11 +33,12 @@ def undirected(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return a.unionByName(b).where("account <> peer").distinct()
 
 
-def breadth_first(start: DataFrame, links: DataFrame, keys: Sequence[str], depth: int | None, link_keys: Sequence[str] | None = None) -> DataFrame:
+def breadth_first(start: DataFrame, links: DataFrame, keys: Sequence[str], depth: int | None, link_keys: Sequence[str] | None = None, usable: Column | None = None) -> DataFrame:
     """Fewest hops from the start accounts of each key along ``links`` (account -> peer).
 
-    ``links`` may be shared by all keys (``link_keys=[]``) or carry them. Only the
-    newest frontier is joined each round; ``depth=None`` runs until nothing is new.
+    ``links`` may be shared by all keys (``link_keys=[]``) or carry them; ``usable`` tells
+    which of the shared links a key may take. Only the newest frontier is joined each
+    round; ``depth=None`` runs until nothing is new.
     """
     keys = list(keys)
     on = [*(keys if link_keys is None else link_keys), "account"]
@@ -45,7 +46,10 @@ def breadth_first(start: DataFrame, links: DataFrame, keys: Sequence[str], depth
     frontier, level = seen, 0
     while depth is None or level < depth:
         level += 1
-        step = frontier.join(links, on).select(*keys, F.col("peer").alias("account")).distinct()
+        step = frontier.join(links, on)
+        if usable is not None:
+            step = step.where(usable)
+        step = step.select(*keys, F.col("peer").alias("account")).distinct()
         new = cut(step.join(seen, [*keys, "account"], "left_anti").withColumn("hops", F.lit(level)))
         if new.isEmpty():
             break
@@ -56,13 +60,13 @@ def breadth_first(start: DataFrame, links: DataFrame, keys: Sequence[str], depth
     return seen
 
 
-def hops_from(nodes: DataFrame, links: DataFrame, starts: DataFrame, keys: Sequence[str], out: str = "hops_from_victim", depth: int | None = None) -> DataFrame:
+def hops_from(nodes: DataFrame, links: DataFrame, starts: DataFrame, keys: Sequence[str], out: str = "hops_from_victim", depth: int | None = None, link_keys: Sequence[str] | None = None, usable: Column | None = None) -> DataFrame:
     """Directed hops from the start accounts inside each key's graph, 99 where unreachable.
 
-    ``nodes`` and ``starts``: keys, account. ``links``: keys, account, peer.
+    ``nodes`` and ``starts``: keys, account. ``links``: keys, account, peer, or shared as in ``breadth_first``.
     """
     keys = list(keys)
-    found = breadth_first(starts, links, keys, depth)
+    found = breadth_first(starts, links, keys, depth, link_keys, usable)
     return nodes.join(found, [*keys, "account"], "left").select(*keys, "account", F.coalesce(F.col("hops").cast("double"), F.lit(UNREACHABLE)).alias(out))
 
 

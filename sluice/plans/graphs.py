@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import graph as R
 from ..operators.joins import shared_infrastructure
+from ..session import cut
 from ..sources import adapters as A
 from .aggregates import rounded
 from .registry import query
@@ -42,11 +43,38 @@ def inside(spark, sf):
     return cand, rows.join(cand.withColumnRenamed("account", "peer"), ["incident", "peer"], "left_semi").select("incident", "account", "peer")
 
 
+KNOWN = """
+pf AS (SELECT src AS account, dst AS peer, min(epoch // 86400) AS first FROM c_transfers GROUP BY ALL),
+dy AS (SELECT DISTINCT epoch // 86400 AS day FROM c_transfers)"""
+
+
+def known_links(spark, sf):
+    """(nodes, links): what is known by the end of each day. Links carry the day they were first used."""
+    t = daily(spark, sf)
+    links = cut(t.groupBy(F.col("src").alias("account"), F.col("dst").alias("peer")).agg(F.min("day").alias("first")))
+    ends = links.select("account", "first").union(links.select("peer", "first")).groupBy("account").agg(F.min("first").alias("first"))
+    nodes = t.select("day").distinct().join(ends, F.col("first") <= F.col("day")).select("day", "account")
+    return nodes, links
+
+
 @query("hops_from_victim", "2.9.10", f"""
+WITH RECURSIVE {KNOWN}, b(day, account, hops) AS (SELECT DISTINCT t0 // 86400, victim, 0 FROM c_incidents UNION SELECT b.day, l.peer, b.hops + 1 FROM b JOIN pf l ON l.account = b.account AND l.first <= b.day WHERE b.hops < 40),
+m AS (SELECT day, account, min(hops) AS h FROM b GROUP BY ALL),
+nd AS (SELECT account, min(first) AS first FROM (SELECT account, first FROM pf UNION ALL SELECT peer, first FROM pf) GROUP BY account)
+SELECT dy.day, nd.account, coalesce(m.h, 99)::DOUBLE AS hops_from_victim FROM dy JOIN nd ON nd.first <= dy.day LEFT JOIN m ON m.day = dy.day AND m.account = nd.account""")
+def hops_from_victim(spark, sf):
+    """Hops from the nearest of a day's victims over every transfer known by the end of that day."""
+    nodes, links = known_links(spark, sf)
+    starts = A.incidents(spark, sf).select(F.floor(F.col("t0") / 86400).alias("day"), F.col("victim").alias("account"))
+    return R.hops_from(nodes, links, starts, ["day"], link_keys=[], usable=F.col("first") <= F.col("day"))
+
+
+@query("hops_inside_candidates", "2.9.10", f"""
 WITH RECURSIVE {INSIDE}, b(incident, account, hops) AS (SELECT incident, victim, 0 FROM c_incidents UNION SELECT b.incident, l.peer, b.hops + 1 FROM b JOIN il l ON l.incident = b.incident AND l.account = b.account WHERE b.hops < 40),
 m AS (SELECT incident, account, min(hops) AS h FROM b GROUP BY ALL)
 SELECT c.incident, c.account, coalesce(m.h, 99)::DOUBLE AS hops_from_victim FROM (SELECT DISTINCT incident, account FROM c_cand) c LEFT JOIN m ON m.incident = c.incident AND m.account = c.account""")
-def hops_from_victim(spark, sf):
+def hops_inside_candidates(spark, sf):
+    """Hops from the victim among its incident's candidates."""
     nodes, links = inside(spark, sf)
     starts = A.incidents(spark, sf).select("incident", F.col("victim").alias("account"))
     return R.hops_from(nodes.distinct(), links, starts, ["incident"])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import evaluation, graph
+from sluice.sources import adapters as A
 
 
 def edges(spark, pairs, amount=1.0):
@@ -222,3 +223,16 @@ def test_neighbourhood_masks_beyond_one_block(spark):
     pairs = {(a, b) for a, b, _ in rows}
     expect = {(h, s, a, b) for s in range(150) for a, b in pairs for h in (1, 2, 3) if want.get((s, a), 9) <= h and want.get((s, b), 9) <= h}
     assert {(r.hops, r.seed, r.src, r.dst) for r in inside.collect()} == expect
+
+
+def test_hops_cross_midnight_and_leave_the_candidates(spark, small):
+    """Every account known by a day has its row, over links of all earlier days."""
+    from sluice.plans import catalog
+
+    got = catalog.RUN["hops_from_victim"](spark, small)
+    t = A.transfers(spark, small).withColumn("day", F.floor(F.col("epoch") / 86400))
+    seen = t.select("day", F.col("src").alias("account")).union(t.select("day", "dst")).distinct()
+    assert seen.join(got, ["day", "account"], "left_anti").isEmpty()
+    far = got.where("hops_from_victim BETWEEN 1 AND 98")
+    alone = t.select("day", F.col("dst").alias("account")).distinct()
+    assert not far.join(alone, ["day", "account"], "left_anti").isEmpty()
