@@ -236,3 +236,20 @@ def test_hops_cross_midnight_and_leave_the_candidates(spark, small):
     far = got.where("hops_from_victim BETWEEN 1 AND 98")
     alone = t.select("day", F.col("dst").alias("account")).distinct()
     assert not far.join(alone, ["day", "account"], "left_anti").isEmpty()
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_labels_that_swap_settle(spark, rounds):
+    """Nodes left swapping by the halves come to rest at labels no neighbourhood outvotes."""
+    pairs = random_pairs(60, 140, 4)
+    both = {(min(p), max(p)) for p in pairs}
+    w = spark.createDataFrame([(a, b, 1.0) for a, b in both], "a bigint, b bigint, weight double")
+    label = {r.account: r.community for r in graph.label_propagation(nodes(spark, range(60)), w, rounds).collect()}
+    assert len(label) == 60
+    for v in label:
+        votes = {}
+        for a, b in both:
+            if v in (a, b):
+                other = label[b if v == a else a]
+                votes[other] = votes.get(other, 0) + 1
+        assert not votes or votes.get(label[v], 0) == max(votes.values())
