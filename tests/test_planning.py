@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sluice.operators import detectors as D
 from sluice.operators import features as X
+from sluice.operators import filters, flows
 from sluice.operators import rollouts as M
 from sluice.plans import planning, scoring
 from sluice.plans import stages as S
+from sluice.sources import adapters as A
 
 
 def test_registered_rollouts_are_the_whole_number():
@@ -48,3 +52,14 @@ def test_tree_detector_trains_default_trees_on_all_features(spark, small, monkey
     scoring.tree_detector(spark, small)
     S.forget()
     assert asked == {"graph": True} and seen == {"names": list(X.FEATURES), "trees": 40, "depth": 5}
+
+
+def test_activity_as_of_a_moment_equals_the_visible_transfers(spark, small):
+    """Running totals looked up give what each incident's own transfers give."""
+    inc, t = A.incidents(spark, small), A.transfers(spark, small)
+    until = inc.select("incident", F.col("complaint").alias("until"))
+    pool = A.accounts(spark, small).select("account").crossJoin(inc.select("incident"))
+    got = flows.activity_at(pool.join(until, "incident"), t).select("incident", "account", "in_degree", F.round("log_total_out", 9).alias("o"))
+    seen = filters.visible_edges(t, pool, until)
+    want = pool.join(flows.flow_aggregate(seen, ["incident"]), ["incident", "account"], "left").fillna(0, ["in_degree", "log_total_out"]).select("incident", "account", "in_degree", F.round("log_total_out", 9).alias("o"))
+    assert got.count() == pool.count() and got.exceptAll(want).isEmpty() and not want.where("in_degree > 1").isEmpty()
