@@ -10,8 +10,8 @@ from sluice.llm.common import fresh
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned; those that are ``und`` go."""
-    return language.identified(docs)
+    """Documents in one of the languages learned; ``lang`` is the one their text is in, ``und`` ones go."""
+    return language.identified(docs, label="lang")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

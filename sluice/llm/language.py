@@ -165,8 +165,11 @@ def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
     return predict(docs, fit(docs if train is None else docs.where(train)))
 
 
-def identified(docs: DataFrame, train: Column | None = None, wanted: Sequence[str] | None = None, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is one of ``wanted`` (all learned ones by default); columns unchanged.
+def identified(docs: DataFrame, train: Column | None = None, wanted: Sequence[str] | None = None, least: float = 0.0, label: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is one of ``wanted`` (all learned ones by default).
+
+    Columns are unchanged, but the one named ``label`` gets the predicted language where one
+    was learned; what reads it afterwards goes by the text instead of a missing or wrong mark.
 
     A row stays if the posterior of the wanted languages together is above one half and the
     predicted one's is at least ``least``. Rows whose text is null or has no letter go. Where
@@ -177,11 +180,12 @@ def identified(docs: DataFrame, train: Column | None = None, wanted: Sequence[st
     model = fit(docs if train is None else docs.where(train))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     taken = np.array([wanted is None or name in wanted for name in model.languages], bool)
+    names = np.array(model.languages, object)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            kept = []
+            kept, told = [], []
             for part in slices(batch, "text", SLICE):
                 texts = part.column(at).cast(pa.string())
                 logs, lettered = _posterior(shared.value, texts)
@@ -189,9 +193,13 @@ def identified(docs: DataFrame, train: Column | None = None, wanted: Sequence[st
                     shares = np.exp(logs - logs.max(axis=0))
                     shares /= shares.sum(axis=0)
                     lettered &= (shares[taken].sum(axis=0) > 0.5) & (shares.max(axis=0) >= least)
+                    told.append(np.flatnonzero(taken)[logs[taken].argmax(axis=0)] if taken.any() else np.zeros(len(texts), np.int64))
                 elif wanted is not None:
                     lettered &= False
                 kept.append(lettered)
+            if label is not None and told:
+                where = batch.schema.get_field_index(label)
+                batch = batch.set_column(where, batch.schema.field(where), pa.array(names[np.concatenate(told)], pa.string()).cast(batch.schema.field(where).type))
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -92,3 +92,12 @@ def test_stages_take_odd_and_empty_tables(spark):
         assert staged.count() >= 0
     assert staged.count() == 0
     assert {m.__name__ for m in (language, polyhash, simhash, mixing, pieces)}
+
+
+def test_language_stage_marks_what_follows(spark):
+    """A missing or wrong mark is replaced by the language of the text, and the last stage shows it."""
+    known = [(100 + i, t, lang) for i in range(20) for t, lang in (("the of and with that this", "en"), ("der die und nicht auf ein", "de"))]
+    odd = [(0, "the of and with that", None), (1, "der die und nicht auf", "en"), (2, "123 ...", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "web", len(t)) for i, t, lang in odd + known], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.token_stage(spark, corpus_pipeline.language_stage(spark, docs, ""), "")
+    assert {r.doc_id: r.lang for r in out.where("doc_id < 100").collect()} == {0: "en", 1: "de"}
