@@ -111,6 +111,28 @@ def test_frontier_limit_fills_lowest_ids_first(spark):
     assert not any(r.truncated for r in trace.frontier(start, tx, ex, cut, limit=8).collect())
 
 
+def test_frontier_packs_incidents_and_writes_no_row_per_account(spark, monkeypatch):
+    """Several lists of incidents, cutoffs equal to a first payment, and exits that are not passed."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(a), int(b), 1.0, int(e), "") for i, (a, b, e) in enumerate(zip(rng.integers(0, 40, 160), rng.integers(0, 40, 160), rng.integers(0, 9000, 160))) if a != b]
+    ex = {7, 32}
+    starts = {n: (n % 40, rows[n % len(rows)][4] + n % 2) for n in range(70) if n % 40 not in ex}
+    written, cut = [], trace.cut
+    monkeypatch.setattr(trace, "cut", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(trace, "PART", 9, raising=False)
+    got = trace.frontier(
+        spark.createDataFrame([(n, a) for n, (a, _) in starts.items()], "incident bigint, account bigint"), spark.createDataFrame(rows, TX),
+        spark.createDataFrame([(x,) for x in ex], "account bigint"), spark.createDataFrame([(n, u) for n, (_, u) in starts.items()], "incident bigint, until bigint"))
+    want = set()
+    for n, (a, until) in starts.items():
+        seen = {a}
+        for _ in range(3):
+            seen |= {b for _, x, b, _, e, _ in rows if x in seen and e <= until and b not in ex}
+        want |= {(n, x) for x in seen}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 2 * len(starts)
+    assert all({"incident", "account"} - set(w.columns) for w in written)
+
+
 def test_reach_follows_a_long_chain_to_its_end(spark):
     tx = spark.createDataFrame([(i, i, i + 1, 9.0, 10 * i, "") for i in range(60)], TX)
     start = spark.createDataFrame([(1, 0, 0, 7200)], "run bigint, account bigint, arrival bigint, until bigint")
