@@ -156,9 +156,10 @@ def classes(docs: DataFrame, split: int = SPLIT) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs``, columns unchanged; rows that repeat id and text leave the first by their other columns."""
-    keep = classes(docs).where("kept").select(F.col("doc_id").alias("__k_id"), F.col("text_sha256").alias("__k_sha"))
-    rows = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    rows = rows.join(keep, (F.col("__sha") == F.col("__k_sha")) & F.col("doc_id").eqNullSafe(F.col("__k_id")), "left_semi")
+    # one key for the join and the window, so that texts are shuffled once for both
+    key = lambda sha: F.concat_ws("/", sha, F.col("doc_id").cast("long").cast("string")).alias("__key")
+    keep = classes(docs).where("kept").select(key(F.col("text_sha256")))
+    rows = docs.select("*", key(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))).join(keep, "__key", "left_semi")
     others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind] or [F.lit(0)]
-    place = F.row_number().over(W.partitionBy("__sha", "doc_id").orderBy(*others))
+    place = F.row_number().over(W.partitionBy("__key").orderBy(*others))
     return rows.withColumn("__place", place).where("__place = 1").select(*docs.columns)

@@ -76,3 +76,19 @@ def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
 
 def test_bytes_are_widened_beyond_zero():
     assert polyhash._widened(b"\x00\xff").tolist() == [1, 256] and polyhash._widened(b"\x00").dtype == np.uint64
+
+
+def test_texts_are_shuffled_once_to_be_kept(spark):
+    """The join with the kept rows and the window over repeated ones share an exchange."""
+    rows = [(1, "a b", "x"), (1, "a b", "w"), (2, "a b", "z"), (None, "c", "q"), (None, "c", "p"), (3, None, "r"), (4, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = polyhash.deduplicated(docs)
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(2, "a b", "z"), (None, "c", "p"), (4, "", "s")]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = polyhash.deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    carried = [line for line in plan.splitlines() if "Exchange hashpartitioning(__key" in line]
+    assert len(carried) == 2 and "Exchange hashpartitioning(__sha" not in plan
