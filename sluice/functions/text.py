@@ -105,5 +105,15 @@ def reason_codes(attributions: DataFrame, keys: list[str], k: int = 3) -> DataFr
     """Sentences of the k strongest raising attributions of each account."""
     from ..operators.ranking import top_ranked
 
-    top = top_ranked(attributions, keys, [F.desc(F.abs("contribution")), F.col("feature")], k)
+    return _spoken(top_ranked(attributions, keys, [F.desc(F.abs("contribution")), F.col("feature")], k), keys)
+
+
+def reason_codes_of(rows: DataFrame, keys: list[str], parts: Column, k: int = 3) -> DataFrame:
+    """The same where a row holds all attributions of its account. ``parts``: array of feature, value, contribution."""
+    from ..operators.ranking import strongest
+
+    return _spoken(strongest(rows, keys, parts, k), keys)
+
+
+def _spoken(top: DataFrame, keys: list[str]) -> DataFrame:
     return top.where("contribution > 0").select(*keys, "rank", phrase(F.col("feature"), F.col("value")).alias("reason"))
