@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import release, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20
@@ -42,8 +42,8 @@ DRAWN = 1 << 15
 SPANS = 63
 #: bits of the table of pieces' hashes
 MARKS = 22
-#: bytes of text that are encoded at once
-SLICE = 4 << 20
+#: bytes of text that are encoded at once; arrays over all spans of its segments take some 100 times that
+SLICE = 1 << 20
 #: a run of spaces with what follows, a line end, or a start without a space
 SEGMENT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
@@ -406,6 +406,7 @@ def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop: float =
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), ids, pc.utf8_length(texts).cast(pa.int64()), pa.array(good, pa.bool_()), *[part.column(i) for i in range(2, part.num_columns)]],
                     names=["doc_id", "ids", "n_chars", "lossless", *keep])
+            release()
 
     return rows.mapInArrow(run, schema)
 

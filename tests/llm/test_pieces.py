@@ -114,3 +114,20 @@ def test_each_occurrence_has_its_own_dropout(model, monkeypatch):
 def test_a_frequent_word_has_many_segmentations(model):
     ids = pieces.Segmenter(model).encode(pa.array(["transformation"] * 2000), np.arange(2000).astype(np.uint64)).to_pylist()
     assert len(set(map(tuple, ids))) > 20
+
+
+def test_a_slice_of_varied_text_is_encoded_in_bounded_memory(model):
+    import tracemalloc
+
+    from sluice.llm.common import slices
+
+    pick = random.Random(9)
+    texts = [" ".join("".join(pick.choice("etaoinshrdlu") for _ in range(pick.randint(3, 9))) for _ in range(300)) for _ in range(3000)]
+    seg, batch = pieces.Segmenter(model), pa.record_batch({"text": texts})
+    part = next(slices(batch, "text", pieces.SLICE)).column(0)
+    tracemalloc.start()
+    try:
+        seg.encode(part, np.arange(len(part), dtype=np.uint64))
+        assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    finally:
+        tracemalloc.stop()
