@@ -12,7 +12,6 @@ from ..operators import flows as W
 from ..operators import forest as Z
 from ..operators import graph as R
 from ..operators import signals as G
-from ..operators.filters import visible_edges
 from ..sources import adapters as A
 from . import stages
 from .aggregates import FLOWS, OUTCOME_SQL, case_outcome_rows, rounded
@@ -83,9 +82,7 @@ FROM s LEFT JOIN g ON g.incident = s.incident AND g.account = s.account"""
 def case_signal_score(spark, sf):
     inc = A.incidents(spark, sf)
     pool, acc = A.candidates(spark, sf), A.accounts(spark, sf)
-    edges = visible_edges(A.transfers(spark, sf), pool, inc.select("incident", F.col("complaint").alias("until")))
-    leg = F.explode(F.array(F.struct(F.col("src").alias("account"), F.lit("OUT").alias("direction")), F.struct(F.col("dst").alias("account"), F.lit("IN").alias("direction")))).alias("leg")
-    legs = edges.select("incident", leg, "amount", "epoch").select("incident", "leg.*", "amount", "epoch").join(inc.select("incident", "complaint"), "incident")
+    legs = G.account_legs(A.transfers(spark, sf)).join(pool.join(inc.select("incident", "complaint"), "incident"), "account")
     peers = W.device_peers(pool, acc)
     prof = pool.join(acc, "account").join(peers, ["incident", "account"]).join(inc.select("incident", F.col("complaint").alias("at")), "incident").select(
         "incident", "account", "segment", (F.col("prior_day") * 86400).alias("last_active"), (F.col("open_day") * 86400).alias("opened_at"), F.lit(1).alias("n_devices"),

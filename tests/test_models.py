@@ -83,3 +83,16 @@ def test_forest_and_ablation_stand_infinite_features(spark, broke):
     assert scored.count() == n and scored.where("raw IS NULL OR isnan(raw) OR raw <= 0 OR raw >= 1").isEmpty()
     assert scored.select(F.round("raw", 6)).distinct().count() > 10
     assert catalog.RUN["ablation_importance"](spark, broke).count() == 3 * n
+
+
+def test_case_signals_take_legs_of_candidates_only(spark, small, monkeypatch):
+    from sluice.operators import signals
+    from sluice.plans import scoring
+    from sluice.sources import adapters as A
+
+    seen, whole = [], signals.signal_features
+    monkeypatch.setattr(signals, "signal_features", lambda prof, legs, *rest: (seen.append(legs), whole(prof, legs, *rest))[1])
+    scoring.case_signal_score(spark, small)
+    pool = A.candidates(spark, small)
+    assert not seen[0].isEmpty()
+    assert seen[0].join(pool, ["incident", "account"], "left_anti").isEmpty()
