@@ -74,10 +74,8 @@ def stream_reset_totals(spark, sf):
 SELECT h * 3600 AS start, src AS account, count(*) AS n, round(sum(amount), 2) AS total FROM (SELECT src, amount, unnest(range(epoch // 3600 - 23, epoch // 3600 + 1)) AS h FROM c_transfers) GROUP BY ALL""")
 def stream_sliding_totals(spark, sf):
     folder = T.work_folder(spark, "sliding")
-    t = T.transfer_stream(spark, sf).withColumn("ts", F.timestamp_seconds("epoch"))
-    agg = t.withWatermark("ts", "1 hour").groupBy(F.window("ts", "24 hours", "1 hour").alias("w"), F.col("src").alias("account")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("total"))
-    T.drain(agg.select(F.unix_timestamp("w.start").alias("start"), "account", "n", "total"), folder, "update", T.batch_writer(folder))
-    return T.latest_per_key(spark, folder, ["start", "account"])
+    T.drain(U.hour_totals(T.transfer_stream(spark, sf)), folder, "update", T.batch_writer(folder))
+    return U.sliding_totals(T.latest_per_key(spark, folder, ["hour", "account"]))
 
 
 def finger_stream(spark, sf):

@@ -11,6 +11,7 @@ from ..operators.signals import account_legs
 
 HOURS = 48
 DAY, WEEK = 86_400, 7 * 86_400
+SPAN = 24
 
 SCORE_OUT = "account bigint, as_of bigint, n48 bigint, near bigint, sent double, received double"
 SCORE_STATE = "sent double, received double, near bigint, last bigint, hours array<bigint>, counts array<bigint>"
@@ -61,6 +62,26 @@ def live_scores(totals: DataFrame, segments: DataFrame) -> DataFrame:
     return totals.join(segments, "account").select("account", "as_of", score.alias("score"), band_for(score).alias("severity"))
 
 
+def hour_totals(transfers: DataFrame) -> DataFrame:
+    """Count and sum sent per account and clock hour (update mode), the panes of `sliding_totals`.
+
+    A pane takes late rows as long as the last sliding window over it would.
+    """
+    rows = transfers.withColumn("ts", F.timestamp_seconds("epoch")).withWatermark("ts", f"{SPAN} hours")
+    panes = rows.groupBy(F.window("ts", "1 hour").alias("w"), F.col("src").alias("account")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
+    return panes.select(F.unix_timestamp("w.start").alias("hour"), "account", "n", "total")
+
+
+def sliding_totals(panes: DataFrame) -> DataFrame:
+    """Totals of every window of 24 hours, one hour apart, that holds a row.
+
+    Only panes are shuffled, by account; an account has at most one per hour.
+    """
+    starts = F.explode(F.sequence(F.col("hour") - (SPAN - 1) * 3600, F.col("hour"), F.lit(3600))).alias("start")
+    return panes.repartition("account").select(starts, "account", "n", "total").groupBy("start", "account").agg(
+        F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
+
+
 RESET_OUT = (
     "account bigint, total_out_24h double, total_in_24h double, txn_count_24h bigint, "
     "total_out_7d double, total_in_7d double, txn_count_7d bigint, unique_counterparties_7d bigint"

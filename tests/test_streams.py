@@ -153,3 +153,15 @@ def test_accounts_of_a_window_are_counted_exactly(spark, tmp_path):
     got = I.window_totals(T.latest_per_key(spark, f"{tmp_path}/out", ["start", "ja3", "account"]))
     want = rows.groupBy((F.floor(F.unix_timestamp("ts") / 300) * 300).alias("start"), "ja3").agg(F.count(F.lit(1)).alias("velocity"), F.countDistinct("account").alias("fanout"))
     assert got.count() == want.count() == 2000 and got.exceptAll(want).isEmpty()
+
+
+def test_sliding_totals_keep_one_row_per_hour_and_expand_when_read(spark, small, monkeypatch):
+    from sluice.plans import streams
+
+    kept, read = [], T.latest_per_key
+    monkeypatch.setattr(T, "latest_per_key", lambda s, folder, keys, name="data": (kept.append(s.read.parquet(f"{folder}/{name}").count()), read(s, folder, keys, name))[1])
+    found = {(r["start"], r["account"]): (r["n"], r["total"]) for r in streams.stream_sliding_totals(spark, small).collect()}
+    t = A.transfers(spark, small).select(F.floor(F.col("epoch") / 3600).alias("h"), F.col("src").alias("account"), "amount")
+    assert kept == [t.select("h", "account").distinct().count()]
+    want = t.select(F.explode(F.sequence(F.col("h") - 23, F.col("h"))).alias("h"), "account", "amount").groupBy("h", "account").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("t"))
+    assert found == {(r["h"] * 3600, r["account"]): (r["n"], pytest.approx(r["t"])) for r in want.collect()}
