@@ -12,6 +12,9 @@ from ..schema import EVENTS
 from ..session import shared_dir
 from ..sources.adapters import events_to_transfers, table
 
+# rows of a slice that are worth a file of their own
+FILE_ROWS = 50_000
+
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet")
@@ -21,13 +24,24 @@ def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None
 
 
 def sliced_events(spark: SparkSession, folder: str, work: str, slices: int = 4) -> DataFrame:
-    """The event table cut by id into slices that arrive one after another, a batch each."""
+    """The event table cut by id into slices that arrive one after another, a batch each.
+
+    A slice is written by several tasks, one file for each remainder of the id, and a batch
+    takes as many files. If a remainder is missing somewhere, all slices are one file each.
+    """
     events = table(spark, folder, "events")
-    low, high = events.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
+    low, high, n = events.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0)), F.count(F.lit(1))).first()
+    bounds = [low + (high - low + 1) * i // slices for i in range(slices + 1)]
+    files = max(1, min(spark.sparkContext.defaultParallelism, n // (slices * FILE_ROWS)))
+    if files > 1:
+        at = sum((F.when(F.col("event_id") >= b, 1).otherwise(0) for b in bounds[1:-1]), F.lit(0))
+        found = events.where("event_id IS NOT NULL").select(at.alias("i"), F.pmod("event_id", F.lit(files)).alias("r")).distinct().count()
+        files = files if found == files * slices else 1
     for i in range(slices):
-        part = events.where(F.col("event_id").between(low + (high - low + 1) * i // slices, low + (high - low + 1) * (i + 1) // slices - 1))
-        part.coalesce(1).write.mode("append").parquet(f"{work}/events")
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{work}/events")
+        part = events.where(F.col("event_id").between(bounds[i], bounds[i + 1] - 1))
+        part = part.coalesce(1) if files == 1 else part.repartitionById(files, F.pmod("event_id", F.lit(files)).cast("int"))
+        part.write.mode("append").parquet(f"{work}/events")
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(f"{work}/events")
 
 
 def sliced_transfers(spark: SparkSession, folder: str, work: str, slices: int = 4) -> DataFrame:

@@ -165,3 +165,17 @@ def test_sliding_totals_keep_one_row_per_hour_and_expand_when_read(spark, small,
     assert kept == [t.select("h", "account").distinct().count()]
     want = t.select(F.explode(F.sequence(F.col("h") - 23, F.col("h"))).alias("h"), "account", "amount").groupBy("h", "account").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("t"))
     assert found == {(r["h"] * 3600, r["account"]): (r["n"], pytest.approx(r["t"])) for r in want.collect()}
+
+
+def test_slices_are_written_by_several_tasks_and_arrive_one_a_batch(spark, small, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    monkeypatch.setattr(T, "FILE_ROWS", 50, raising=False)
+    rows = T.sliced_events(spark, small, str(tmp_path))
+    n = len(list(Path(tmp_path, "events").glob("*.parquet")))
+    assert n > 4 and n % 4 == 0
+    T.drain(rows.select("event_id"), str(tmp_path), each=T.batch_writer(str(tmp_path)))
+    got = spark.read.parquet(f"{tmp_path}/data").groupBy("batch").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.count("*").alias("n")).orderBy("batch").collect()
+    assert len(got) == 4
+    assert all(a["hi"] < b["lo"] for a, b in zip(got, got[1:]))
+    assert sum(r["n"] for r in got) == A.table(spark, small, "events").count()
