@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import detectors as D
@@ -63,3 +64,28 @@ def test_activity_as_of_a_moment_equals_the_visible_transfers(spark, small):
     seen = filters.visible_edges(t, pool, until)
     want = pool.join(flows.flow_aggregate(seen, ["incident"]), ["incident", "account"], "left").fillna(0, ["in_degree", "log_total_out"]).select("incident", "account", "in_degree", F.round("log_total_out", 9).alias("o"))
     assert got.count() == pool.count() and got.exceptAll(want).isEmpty() and not want.where("in_degree > 1").isEmpty()
+
+
+def test_rollouts_as_known_equal_those_over_tables_and_write_moving_parcels_only(spark, small, monkeypatch):
+    inc, t, ex = A.incidents(spark, small), A.transfers(spark, small), A.exits(spark, small)
+    S.forget()
+    pool, until = S.frontier(spark, small), inc.selectExpr("incident", "complaint AS until")
+    held = S.touched(spark, small).join(inc.selectExpr("incident", "delay AS complaint_minute"), "incident")
+    S.forget()
+    facts, cells = M.behaviour_tables(filters.visible_edges(t, pool, until), ex, pool)
+    hops, ends = M.run_rollouts(held, facts, cells, 4, 60)
+    cut, written = M.cut, []
+    monkeypatch.setattr(M, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rests, left = M.known_rollouts(held, until, t, ex, pool, 3, 4, 60)
+    rests, left = cut(rests), cut(left)
+    got = rests.select(hops.columns)
+    assert got.exceptAll(hops).isEmpty() and hops.exceptAll(got).isEmpty()
+    first, index = M.first_rests(rests), M.blocking_index(hops)
+    assert first.exceptAll(index).isEmpty() and first.count() == index.count()
+    same = left.join(ends.selectExpr("incident", "rollout", "parcel", "value AS v", "exited AS e"), ["incident", "rollout", "parcel"])
+    assert same.where("e = exited AND abs(v - value) < 1e-6").count() == ends.count() == left.count() > 0
+    leak = {r.incident: r.expected_leak for r in M.expected_leak(ends, 4).collect()}
+    assert {r.incident: r.expected_leak for r in M.expected_leak(rests, 4).collect()} == pytest.approx(leak) and sum(leak.values()) > 0
+    # a parcel that rests once or twice is not written
+    parcels = [w for w in written if {"code", "codes", "rollout"} & set(w.columns)]
+    assert parcels and sum(w.count() for w in parcels) < hops.count() / 4
