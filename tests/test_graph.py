@@ -253,3 +253,17 @@ def test_labels_that_swap_settle(spark, rounds):
                 other = label[b if v == a else a]
                 votes[other] = votes.get(other, 0) + 1
         assert not votes or votes.get(label[v], 0) == max(votes.values())
+
+
+def test_overlap_keeps_recipients_as_lists_per_range(spark, monkeypatch):
+    from sluice.operators import sets
+
+    pick = np.random.default_rng(4)
+    paid = {a: {int(d) for d in pick.integers(0, 3 * sets.SPAN, 40)} | set(range(sets.SPAN - 3, sets.SPAN + a % 4)) for a in range(12)}
+    edges = spark.createDataFrame([(a, d) for a, ds in paid.items() for d in ds for _ in range(2)], "src bigint, dst bigint")
+    pairs = spark.createDataFrame([(a, b) for a in paid for b in paid if a != b] + [(0, 99)], "account bigint, peer bigint")
+    cut, kept = sets.cut, []
+    monkeypatch.setattr(sets, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = {(r.account, r.peer): r.jaccard for r in sets.overlap(edges, pairs).collect()}
+    assert got == pytest.approx({(a, b): len(paid[a] & paid[b]) / len(paid[a] | paid[b]) for a in paid for b in paid if a != b})
+    assert kept[0].count() == 3 * len(paid) < edges.count() / 10
